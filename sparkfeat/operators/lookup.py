@@ -1,0 +1,50 @@
+"""Dictionary lookups and chained joins on one key."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sparkfeat.functions.nulls import column
+from sparkfeat.sources.staging import checked_broadcast
+
+_KEY = "__lookup_key"
+
+
+def lookup(df: DataFrame, mapping: DataFrame, key: str, values: dict[str, str] | str,
+           mapping_key: str | None = None, default=None) -> DataFrame:
+    """Add mapped columns to ``df``: a left join that never drops or repeats a row.
+
+    ``values`` names the mapping's value column, or maps it to an output name. A key that is
+    missing from the mapping, or NULL, gives ``default``.
+
+    The mapping (staged by the fit functions) is measured first. A small one is broadcast
+    and the big table is not shuffled. A large one becomes a shuffle join in which adaptive
+    execution splits the partitions of hot keys.
+    """
+    names = {values: values} if isinstance(values, str) else dict(values)
+    source = mapping_key or key
+    side = mapping.where(column(source).isNotNull()).select(
+        column(source).alias(_KEY), *[column(n).alias(f"__value_{n}") for n in names])
+    joined = df.join(checked_broadcast(side), column(key) == F.col(_KEY), "left")
+    fallback = default if isinstance(default, Column) else F.lit(default)
+    out = {
+        new: F.col(f"`__value_{old}`") if default is None
+        else F.coalesce(F.col(f"`__value_{old}`"), fallback)
+        for old, new in names.items()
+    }
+    return joined.withColumns(out).drop(_KEY, *[f"__value_{n}" for n in names])
+
+
+def left_join_all(base: DataFrame, others: Sequence[DataFrame], on: str) -> DataFrame:
+    """Left-join per-entity tables onto ``base``.
+
+    Each input is an aggregate by ``on`` and so already partitioned by it: the joins add no
+    exchange.
+    """
+    result = base
+    for other in others:
+        result = result.join(other, on, "left")
+    return result

@@ -1,4 +1,9 @@
 from sparkfeat.plans.cards import card_features, card_profile, profile_spec, transaction_rows
 from sparkfeat.plans.machines import machine_features
+from sparkfeat.plans.scoring import oof_predictions, random_search
+from sparkfeat.plans.selection import boruta_select, keep_confirmed
 
-__all__ = ["card_features", "card_profile", "machine_features", "profile_spec", "transaction_rows"]
+__all__ = [
+    "boruta_select", "card_features", "card_profile", "keep_confirmed", "machine_features",
+    "oof_predictions", "profile_spec", "random_search", "transaction_rows",
+]

@@ -7,7 +7,7 @@ from sparkfeat.operators.folds import hashed_folds, stratified_folds
 from sparkfeat.operators.group_means import mean_encode, with_group_mean
 from sparkfeat.operators.impute import fill_mean, fill_quantile
 from sparkfeat.operators.lag import lag_difference, lag_ratio, with_previous
-from sparkfeat.operators.lookup import left_join_all, lookup
+from sparkfeat.operators.lookups import left_join_all, lookup
 from sparkfeat.operators.narrow import narrow_types, narrowing_report
 from sparkfeat.operators.profile import (
     distinct_profile, entity_profile, smoothed_group_mean, successive_aggregate,

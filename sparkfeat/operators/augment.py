@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sparkfeat.functions.nulls import clean, column
 from sparkfeat.operators.ranking import bucket_count, bucket_offsets, hash_bucket
-from sparkfeat.sources.staging import checked_broadcast, stage
 
 SEED = 4590
 _GROUP = ["__class", "__copy", "__series"]
@@ -25,56 +24,63 @@ def _shuffled(df: DataFrame, cols: Sequence[str], key: str, seed: int, group: Co
     repartitioned table the same answer. ``carry`` columns move together, as one series.
     """
     count = buckets or bucket_count(df)
-    data_types = list(dict.fromkeys(df.schema[c].dataType.simpleString() for c in cols))
-    slot = {c: f"v{data_types.index(df.schema[c].dataType.simpleString())}" for c in cols}
-
-    def cell(series: int, filled: dict[str, Column]) -> Column:
-        fields = [F.lit(series).alias("series")]
-        for i, data_type in enumerate(data_types):
-            fields.append(filled.get(f"v{i}", F.lit(None)).cast(data_type).alias(f"v{i}"))
+    types = {c: df.schema[c].dataType.simpleString() for c in [*cols, *carry]}
+    data_types = list(dict.fromkeys(types[c] for c in cols))
+    slots = {data_type: f"v{i}" for i, data_type in enumerate(data_types)}
+    carried_type = "struct<" + ",".join(f"c{i}:{types[c]}" for i, c in enumerate(carry)) + ">"
+
+    # A cell has one field per data type, so that columns of different types share an array.
+    # The wide expressions are SQL text: building them call by call takes seconds.
+    def cell(series: int, name: str | None) -> str:
+        fields = [f"'series', {series}"]
+        for data_type, slot in slots.items():
+            here = name is not None and types[name] == data_type
+            fields.append(f"'{slot}', " + (_clean_sql(name, data_type) if here
+                                           else f"CAST(NULL AS {data_type})"))
         if carry:
-            own = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(carry)])
-            empty = F.when(F.lit(False), own)
-            fields.append((own if "carried" in filled else empty).alias("carried"))
-        return F.struct(*fields)
+            own = "named_struct(" + ", ".join(f"'c{i}', {_quoted(c)}" for i, c in enumerate(carry)) + ")"
+            fields.append(f"'carried', CAST({own if name is None else 'NULL'} AS {carried_type})")
+        return "named_struct(" + ", ".join(fields) + ")"
 
-    cells = [cell(i, {slot[c]: clean(df, c)}) for i, c in enumerate(cols)]
-    if carry:
-        cells.append(cell(len(cols), {"carried": F.lit(True)}))
+    cells = [cell(i, c) for i, c in enumerate(cols)] + ([cell(len(cols), None)] if carry else [])
 
     def ranked(rows: DataFrame) -> DataFrame:
         hashed = F.xxhash64(F.lit(seed), F.col("__key"), F.col("__series"), F.col("__copy"))
         return rows.withColumn("__hash", hashed).withColumn(
             "__bucket", hash_bucket(F.col("__hash"), count))
 
-    repeated = df.withColumn("__class", group).withColumn("__key", column(key)).withColumn(
+    repeated = df.withColumns({"__class": group, "__key": column(key)}).withColumn(
         "__copy", F.explode(copies))
     # The counting pass needs keys only, so the scan below it reads no feature column.
     keys = repeated.select("__class", "__copy", "__key").withColumn(
         "__series", F.explode(F.sequence(F.lit(0), F.lit(len(cells) - 1))))
     counts = ranked(keys).groupBy(*_GROUP, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = stage(bucket_offsets(counts, _GROUP, "__bucket", "__n")
-                    .select(*_GROUP, "__bucket", "__before"))
+    offsets = bucket_offsets(counts, _GROUP, "__bucket", "__n").select(*_GROUP, "__bucket", "__before")
 
-    values = ranked(repeated.withColumn("__cell", F.explode(F.array(*cells)))
+    values = ranked(repeated.withColumn("__cell", F.expr(f"explode(array({', '.join(cells)}))"))
                     .select("__class", "__copy", "__key", F.col("__cell.series").alias("__series"), "__cell"))
     within = Window.partitionBy(*_GROUP, "__bucket").orderBy("__hash", "__key")
     position = F.row_number().over(within)
-    numbered = values.withColumn("__position", position).join(
-        checked_broadcast(offsets), [*_GROUP, "__bucket"])
-    rows = numbered.withColumn("__row", F.col("__before") + F.col("__position"))
-
-    def of_series(i: int, field: str) -> Column:
-        return F.max(F.when(F.col("__series") == i, F.col(f"__cell.{field}")))
-
-    outputs = [of_series(i, slot[c]).alias(c) for i, c in enumerate(cols)]
-    if carry:
-        outputs.append(F.any_value(F.col("__cell.carried"), True).alias("__carried"))
-    result = rows.groupBy("__class", "__copy", "__row").agg(*outputs)
-    if carry:
-        result = result.select("*", *[F.col(f"__carried.c{i}").alias(f"__carried_{c}")
-                                      for i, c in enumerate(carry)]).drop("__carried")
-    return result
+    # The window leaves the cells partitioned and sorted by this join's keys.
+    numbered = values.withColumn("__position", position).join(offsets, [*_GROUP, "__bucket"])
+    place = ["__class", "__copy", "__row"]
+    rows = numbered.withColumn("__row", F.col("__before") + F.col("__position")).select(*place, "__cell")
+    # Every row gets exactly one cell per series. Cells are shuffled as they are and gathered
+    # behind the shuffle: one aggregate per column would widen each to a whole row before it.
+    gathered = rows.repartition(*place).groupBy(*place).agg(
+        F.sort_array(F.collect_list("__cell")).alias("__cells"))
+    outputs = [f"__cells[{i}].{slots[types[c]]} AS {_quoted(c)}" for i, c in enumerate(cols)]
+    outputs += [f"__cells[{len(cols)}].carried.c{i} AS {_quoted('__carried_' + c)}"
+                for i, c in enumerate(carry)]
+    return gathered.selectExpr(*place, *outputs)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _clean_sql(name: str, data_type: str) -> str:
+    return f"nanvl({_quoted(name)}, NULL)" if data_type in ("double", "float") else _quoted(name)
 
 
 def shuffle_columns(df: DataFrame, cols: Sequence[str], key: str, seed: int = SEED,

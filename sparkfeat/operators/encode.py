@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.nulls import clean, column
-from sparkfeat.operators.lookup import lookup
+from sparkfeat.operators.lookups import lookup
 from sparkfeat.operators.profile import as_level
 from sparkfeat.operators.ranking import running_total
 from sparkfeat.sources.staging import stage

@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from sparkfeat.functions.nulls import column
-from sparkfeat.operators.lookup import lookup
+from sparkfeat.operators.lookups import is_small, lookup
 from sparkfeat.operators.profile import grouped_means
 from sparkfeat.sources.staging import stage
 
@@ -19,9 +18,11 @@ def with_group_mean(df: DataFrame, cats: Sequence[str], value: str) -> DataFrame
     categories come from one aggregation pass and are looked up map-side.
     """
     means = stage(grouped_means(df, cats, [value]))
+    small = is_small(means)
     result = df
     for cat in cats:
-        result = lookup(result, means, cat, {f"mean_{value}": f"{cat}_mean"}, mapping_key=f"level_{cat}")
+        result = lookup(result, means, cat, {f"mean_{value}": f"{cat}_mean"},
+                        mapping_key=f"level_{cat}", small=small)
     return result
 
 
@@ -33,11 +34,12 @@ def mean_encode(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[st
     training never saw gives NULL. One pass fits all columns and mixes.
     """
     means = stage(grouped_means(train, cols, mix_cols))
+    small = is_small(means)
     encoded = []
     for frame in [train, *others]:
         result = frame
         for col in cols:
             names = {f"mean_{mix}": f"{col}_{mix}" for mix in mix_cols}
-            result = lookup(result, means, col, names, mapping_key=f"level_{col}")
+            result = lookup(result, means, col, names, mapping_key=f"level_{col}", small=small)
         encoded.append(result)
     return encoded

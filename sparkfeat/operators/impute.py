@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.nulls import clean, null_if_nan
+from sparkfeat.functions.nulls import column, null_if_nan
 from sparkfeat.operators.quantiles import exact_quantiles
 
 
-def _as_double(df: DataFrame, name: str):
-    return null_if_nan(clean(df, name).cast("double"))
+def _as_double(name: str) -> Column:
+    return null_if_nan(column(name).cast("double"))
 
 
 def fill_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -20,10 +20,10 @@ def fill_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     All means come from one aggregation, read through a scalar subquery.
     """
-    means = df.agg(F.struct(*[F.avg(_as_double(df, c)).alias(f"m{i}") for i, c in enumerate(cols)])
+    means = df.agg(F.struct(*[F.avg(_as_double(c)).alias(f"m{i}") for i, c in enumerate(cols)])
                    .alias("means")).scalar()
     return df.withColumns({
-        c: F.coalesce(_as_double(df, c), means.getField(f"m{i}")) for i, c in enumerate(cols)})
+        c: F.coalesce(_as_double(c), means.getField(f"m{i}")) for i, c in enumerate(cols)})
 
 
 def fill_quantile(df: DataFrame, cols: Sequence[str], q: float = 0.5,
@@ -31,4 +31,4 @@ def fill_quantile(df: DataFrame, cols: Sequence[str], q: float = 0.5,
     """Columns as doubles with missing values replaced by the column's quantile."""
     found = exact_quantiles(df, cols, [q], approximate=approximate)
     return df.withColumns({
-        c: F.coalesce(_as_double(df, c), F.lit(found[c][0]).cast("double")) for c in cols})
+        c: F.coalesce(_as_double(c), F.lit(found[c][0]).cast("double")) for c in cols})

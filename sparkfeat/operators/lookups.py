@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.nulls import column
-from sparkfeat.sources.staging import checked_broadcast
+from sparkfeat.sources.staging import BROADCAST_BYTES, measured_bytes
 
 _KEY = "__lookup_key"
 
 
+def is_small(mapping: DataFrame) -> bool:
+    """Whether the measured mapping may be broadcast."""
+    return measured_bytes(mapping) <= BROADCAST_BYTES
+
+
 def lookup(df: DataFrame, mapping: DataFrame, key: str, values: dict[str, str] | str,
-           mapping_key: str | None = None, default=None) -> DataFrame:
+           mapping_key: str | None = None, default=None, small: bool | None = None) -> DataFrame:
     """Add mapped columns to ``df``: a left join that never drops or repeats a row.
 
     ``values`` names the mapping's value column, or maps it to an output name. A key that is
@@ -22,13 +27,16 @@ def lookup(df: DataFrame, mapping: DataFrame, key: str, values: dict[str, str] |
 
     The mapping (staged by the fit functions) is measured first. A small one is broadcast
     and the big table is not shuffled. A large one becomes a shuffle join in which adaptive
-    execution splits the partitions of hot keys.
+    execution splits the partitions of hot keys. ``small`` carries the verdict of an earlier
+    measurement when one mapping is looked up several times.
     """
     names = {values: values} if isinstance(values, str) else dict(values)
     source = mapping_key or key
     side = mapping.where(column(source).isNotNull()).select(
         column(source).alias(_KEY), *[column(n).alias(f"__value_{n}") for n in names])
-    joined = df.join(checked_broadcast(side), column(key) == F.col(_KEY), "left")
+    if small is None:
+        small = is_small(side)
+    joined = df.join(F.broadcast(side) if small else side, column(key) == F.col(_KEY), "left")
     fallback = default if isinstance(default, Column) else F.lit(default)
     out = {
         new: F.col(f"`__value_{old}`") if default is None

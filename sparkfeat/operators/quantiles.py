@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.nulls import clean, null_if_nan
+from sparkfeat.functions.nulls import column, null_if_nan
 from sparkfeat.operators.ranking import GROUP_LIMIT, running_total
 from sparkfeat.sources.staging import stage
 
@@ -55,7 +55,7 @@ def _bracketed(cells: DataFrame, intervals: dict[int, list]) -> DataFrame:
 def _cells(df: DataFrame, cols: Sequence[str], pooled: bool) -> DataFrame:
     """Long form of the columns: (series, value), missing cells left out."""
     def number(name: str) -> Column:
-        return null_if_nan(clean(df, name).cast("double"))
+        return null_if_nan(column(name).cast("double"))
 
     pairs = F.array(*[
         F.struct(F.lit(0 if pooled else i).alias("series"), number(c).alias("value"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.nulls import clean, null_if_nan
+from sparkfeat.functions.nulls import column, null_if_nan
 
 STATISTICS = ("sum", "min", "max", "mean", "std", "skew", "kurt", "med")
 
@@ -30,18 +30,19 @@ def row_statistics(df: DataFrame, cols: Sequence[str], prefix: str = "") -> Data
     The moments are the sample versions with bias correction: std needs 2 values, skew 3,
     kurt 4; skew and kurt of equal values are 0. The sum of no values is 0.
     """
-    cells = [null_if_nan(clean(df, c).cast("double")) for c in cols]
-    work = df.withColumn("__cells", F.array_compact(F.array(*cells)))
+    cells = [null_if_nan(column(c).cast("double")) for c in cols]
+    # Missing cells sort to the front, so the values start at position width - n.
+    work = df.withColumn("__sorted", F.sort_array(F.array(*cells)))
 
     def total(term: Callable[[Column], Column]) -> Column:
         if len(cells) <= NARROW:
             return _add_up([F.coalesce(term(c), F.lit(0.0)) for c in cells])
-        return F.aggregate("__cells", F.lit(0.0), lambda so_far, x: so_far + term(x))
+        return F.aggregate("__sorted", F.lit(0.0),
+                           lambda so_far, x: so_far + F.coalesce(term(x), F.lit(0.0)))
 
     work = work.withColumns({
-        "__n": F.size("__cells").cast("double"),
+        "__n": total(lambda x: F.when(x.isNotNull(), F.lit(1.0))),
         "__sum": total(lambda x: x),
-        "__sorted": F.sort_array("__cells"),
     })
     work = work.withColumn("__mean", F.try_divide("__sum", "__n"))
     mean = F.col("__mean")
@@ -51,22 +52,26 @@ def row_statistics(df: DataFrame, cols: Sequence[str], prefix: str = "") -> Data
         "__m4": total(lambda x: (x - mean) * (x - mean) * (x - mean) * (x - mean)),
     })
     n, m2, m3, m4 = (F.col(c) for c in ("__n", "__m2", "__m3", "__m4"))
-    middle = F.floor((n - 1) / 2).cast("int")
-    upper = F.floor(n / 2).cast("int")
-    spread = F.element_at("__sorted", -1) > F.element_at("__sorted", 1)
+
+    def nth(position: Column) -> Column:
+        return F.get("__sorted", (F.lit(len(cells)) - n + position).cast("int"))
+
+    least, greatest = nth(F.lit(0)), nth(n - 1)
+    middle, upper = nth(F.floor((n - 1) / 2)), nth(F.floor(n / 2))
+    spread = greatest > least
     skew = n * F.sqrt(n - 1) / (n - 2) * F.try_divide(m3, F.pow(m2, F.lit(1.5)))
     kurt = (F.try_divide(n * (n + 1) * (n - 1) * m4, (n - 2) * (n - 3) * m2 * m2)
             - F.lit(3.0) * (n - 1) * (n - 1) / ((n - 2) * (n - 3)))
     results = {
         "sum": F.col("__sum"),
-        "min": F.when(n > 0, F.get("__sorted", F.lit(0))),
-        "max": F.when(n > 0, F.get("__sorted", (n - 1).cast("int"))),
+        "min": F.when(n > 0, least),
+        "max": F.when(n > 0, greatest),
         "mean": mean,
         "std": F.when(n >= 2, F.sqrt(m2 / (n - 1))),
         "skew": F.when(n >= 3, F.when(spread, skew).otherwise(0.0)),
         "kurt": F.when(n >= 4, F.when(spread, kurt).otherwise(0.0)),
-        "med": F.when(n > 0, (F.get("__sorted", middle) + F.get("__sorted", upper)) / 2),
+        "med": F.when(n > 0, (middle + upper) / 2),
     }
     named = {f"{prefix}{name}": results[name] for name in STATISTICS}
     return work.withColumns(named).drop(
-        "__cells", "__n", "__sum", "__sorted", "__mean", "__m2", "__m3", "__m4")
+        "__sorted", "__n", "__sum", "__mean", "__m2", "__m3", "__m4")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from sparkfeat.operators.group_means import with_group_mean
-from sparkfeat.operators.lookup import left_join_all
+from sparkfeat.operators.lookups import left_join_all
 from sparkfeat.operators.profile import entity_profile, successive_features, two_level_profile
 from sparkfeat.operators.project import map_values, month_diff, one_hot, time_features
 from sparkfeat.operators.ratios import ratio_features, recency_features

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Day arithmetic on zone-free timestamps needs UTC; the adaptive settings are Spark's
-# defaults, named here because wide joins lean on them to split hot partitions.
+# Day arithmetic on zone-free timestamps needs UTC. The adaptive settings are Spark's
+# defaults, named here because wide joins lean on them to split hot partitions. Recording the
+# Python call site of every column costs more than planning the wide aggregates does.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

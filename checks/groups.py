@@ -8,6 +8,7 @@ from checks.views import (
     AS_OF, LABELLED_SQL, MONTHLY_SQL, TXN_SQL, labelled_documents, monthly_amounts, r, rounded, table, txn,
 )
 from sparkfeat import operators as ops
+from sparkfeat import plans
 from sparkfeat.plans import cards
 
 QUERIES, ORACLES = {}, {}
@@ -341,3 +342,39 @@ def mean_encode(spark, sf):
     parts = ops.mean_encode(train, [test], cols, mixes)
     names = [f"{c}_{m}" for c in cols for m in mixes]
     return rounded(parts[0].unionByName(parts[1]).select("o_orderkey", *names))
+
+
+# A parts table in the shape of the machine table: text to clean, gaps, rare levels, versions.
+_MACHINES = """
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_partkey % 3 = 0 AS INT) END AS detected,
+ concat_ws('_', lower(p_type), p_size, p_partkey % 5) AS branch,
+ CASE WHEN p_partkey % 6 = 0 THEN concat('X_SERVER_', p_type) ELSE upper(p_type) END AS sku, p_name AS battery,
+ CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_retailprice END AS price,
+ CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS size, p_name AS suite,
+ concat_ws('.', p_partkey % 3 + 1, p_size, p_partkey) AS version, p_brand AS brand FROM {part}"""
+
+
+@check("machine_features", f"""
+WITH t AS ({_MACHINES.format(part='part')}),
+c AS (SELECT suite, count(*) AS n, min(p_partkey) AS m FROM t GROUP BY suite),
+g AS (SELECT CASE WHEN n < 31 THEN 'others' ELSE suite END AS kept, min(m) AS m FROM c GROUP BY 1),
+code AS (SELECT kept, CAST(row_number() OVER (ORDER BY m, kept) - 1 AS INT) AS code FROM g),
+v AS (SELECT p_partkey, string_split(version, '.') AS s FROM t),
+w AS (SELECT max(length(s[1])) AS m1, max(length(s[2])) AS m2, max(length(s[3])) AS m3 FROM v),
+b AS (SELECT brand, avg(detected) AS m FROM t WHERE detected IS NOT NULL GROUP BY brand)
+SELECT t.p_partkey, detected,
+ array_to_string(list_slice(string_split(branch, '_'), 1, 2), '_') AS branch,
+ CASE WHEN contains(sku, 'SERVER') THEN 'SERVER' WHEN substr(sku, 1, 4) = 'PRO_' THEN 'PROF' ELSE substr(sku, 1, 4) END AS sku,
+ CASE WHEN contains(lower(battery), 'li') THEN 1 ELSE 0 END AS battery,
+ {r("coalesce(price, (SELECT avg(price) FROM t))")} AS price,
+ {r("coalesce(size, (SELECT quantile_cont(CAST(size AS DOUBLE), 0.5) FROM t))")} AS size, code AS suite,
+ {r("CAST(" + " || ".join(f"lpad(s[{i}], greatest(length(s[{i}]), m{i} - length(s[{i}]))::INT, '0')" for i in (1, 2, 3)) + " AS DOUBLE)")} AS version,
+ {r("coalesce(b.m, (SELECT avg(m) FROM b))")} AS brand
+FROM t JOIN c USING (suite) JOIN code ON kept = CASE WHEN n < 31 THEN 'others' ELSE suite END
+ JOIN v ON v.p_partkey = t.p_partkey CROSS JOIN w LEFT JOIN b ON b.brand = t.brand""")
+def machine_features(spark, sf):
+    machines = spark.sql(_MACHINES, part=table(spark, sf, "part"))
+    return rounded(plans.machine_features(
+        machines, "p_partkey", "detected", branch_cols=["branch"], sku_cols=["sku"], battery_cols=["battery"],
+        mean_cols=["price"], median_cols=["size"], rare_thresholds={"suite": 31}, version_cols=["version"],
+        target_cols=["brand"]))

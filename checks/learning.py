@@ -163,6 +163,6 @@ def random_search(spark, sf):
 @check("boruta_select", "SELECT 9 AS features, 'confirmed' AS planted FROM (SELECT count(*) FROM embeddings)")
 def boruta_select(spark, sf):
     found = plans.boruta_select(_planted(spark, sf), [*VECTOR_FEATURES, "planted"], "y", "vec_id",
-                                max_iter=10, trees=20, depth=4)
+                                max_iter=8, trees=20, depth=4)
     return found.agg(F.count(F.lit(1)).cast("int").alias("features"),
                      F.max(F.when(F.col("feature") == "planted", F.col("status"))).alias("planted"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.nulls import clean, column
+from sparkfeat.sources.staging import stage
 
 # Columns whose values are bounded by what they mean: their exact distinct count is the
 # number of bits set in one 64-bit mask, an aggregate of constant size.
@@ -170,12 +171,15 @@ def smoothed_group_mean(df: DataFrame, key: str, value: str,
     """Group means moved by the table's mean: (mean * n + prior) / n per group.
 
     ``prior_weight`` C gives the usual shrinkage (mean * n + prior * C) / (n + C) instead.
-    n counts all rows of the group, missing values included. The prior is a scalar subquery.
+    n counts all rows of the group, missing values included. One scan fills a table of group
+    sums; the prior comes from that table.
     """
-    rows = df.select(column(key).alias(key), clean(df, value).alias("__v"))
-    prior = rows.agg(F.avg("__v").alias("prior")).scalar()
-    groups = rows.where(column(key).isNotNull()).groupBy(key).agg(
-        F.avg("__v").alias("__mean"), F.count(F.lit(1)).alias("__n"))
+    rows = df.select(column(key).alias(key), clean(df, value).cast("double").alias("__v"))
+    sums = stage(rows.groupBy(key).agg(
+        F.sum("__v").alias("__sum"), F.count("__v").alias("__filled"), F.count(F.lit(1)).alias("__n")))
+    prior = sums.agg(F.try_divide(F.sum("__sum"), F.sum("__filled")).alias("prior")).scalar()
+    groups = sums.where(column(key).isNotNull()).withColumn(
+        "__mean", F.try_divide("__sum", "__filled"))
     n = F.col("__n").cast("double")
     if prior_weight is None:
         smoothed = (F.col("__mean") * n + prior) / n

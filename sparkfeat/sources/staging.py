@@ -49,6 +49,13 @@ def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*columns)
 
 
+def clear_staging(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames that still read them stop working."""
+    jvm, context = spark._jvm, spark.sparkContext
+    folder = jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _width(field: T.StructField) -> Column:
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):

@@ -211,7 +211,8 @@ x AS (SELECT card_id, {r('lo')} AS purchase_date_min, {r('hi')} AS purchase_date
 SELECT * FROM (SELECT * EXCLUDE (purchase_date_min, purchase_date_max) FROM p) JOIN x USING (card_id)
  LEFT JOIN m USING (card_id) LEFT JOIN s USING (card_id)""")
 def card_features(spark, sf):
-    return _plain(cards.card_features(txn(spark, sf), MERCHANT_COLS, AS_OF, ["authorized_flag"], DISTINCT_COLS))
+    return _plain(cards.card_features(txn(spark, sf), MERCHANT_COLS, AS_OF, ["authorized_flag"], DISTINCT_COLS,
+                                      stage_rows=True))
 
 
 @check("value_counts", 'SELECT props, count(*) AS "count" FROM events GROUP BY props')
@@ -249,8 +250,7 @@ _LAG = "lag(purchase_amount) OVER (PARTITION BY card_id ORDER BY month_lag)"
 SELECT card_id, month_lag, {r('q')} AS purchase_ratio FROM (
  SELECT card_id, month_lag, {_LAG} / NULLIF(purchase_amount, 0) AS q FROM ({MONTHLY_SQL})) WHERE q IS NOT NULL""")
 def lag_ratio(spark, sf):
-    result = ops.lag_ratio(monthly_amounts(spark, sf), "card_id", "month_lag", "purchase_amount",
-                           "purchase_ratio", bounded_groups=True)
+    result = cards.purchase_ratio(txn(spark, sf))
     return rounded(result.select("card_id", "month_lag", "purchase_ratio"))
 
 

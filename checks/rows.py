@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from checks.views import AS_OF, LABELLED_SQL, TXN_SQL, r, rounded, table, txn
+from checks.views import AS_OF, LABELLED_SQL, TXN_SQL, labelled_documents, r, rounded, table, txn, vectors
 from sparkfeat import operators as ops
+from sparkfeat import plans
 from sparkfeat.functions import contains_flag, first_parts, sku_family
-from sparkfeat.sources import read_table, staging_root, write_table
+from sparkfeat.sources import read_table, stage, staging_root, write_table
 
 QUERIES, ORACLES = {}, {}
 
@@ -201,6 +202,23 @@ def global_quantiles(spark, sf):
     return rounded(rows.select("l_orderkey", "l_linenumber", "quan_1", "quan_2", "quan_3", "quan_4"))
 
 
+# The eight embedding elements of a vector with a table-wide quantile next to its row statistics.
+_E8 = [f"e{i}" for i in range(8)]
+
+
+@check("row_features", f"""
+WITH t AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+c AS (SELECT unnest(v) AS x FROM t),
+q AS (SELECT quantile_cont(x, 0.01) AS q1, quantile_cont(x, 0.05) AS q2, quantile_cont(x, 0.95) AS q3,
+ quantile_cont(x, 0.99) AS q4 FROM c)
+SELECT vec_id, {r("list_sum(v)")} AS sum, {r("list_min(v)")} AS min, {r("list_max(v)")} AS max, {r("list_avg(v)")} AS mean,
+ {r("list_aggregate(v, 'stddev_samp')")} AS std, {r("list_aggregate(v, 'skewness')")} AS skew,
+ {r("list_aggregate(v, 'kurtosis')")} AS kurt, {r("list_aggregate(v, 'median')")} AS med,
+ {r('q1')} AS quan_1, {r('q2')} AS quan_2, {r('q3')} AS quan_3, {r('q4')} AS quan_4 FROM t, q""")
+def row_features(spark, sf):
+    return rounded(plans.row_features(vectors(spark, sf).drop("y"), _E8).drop(*_E8))
+
+
 @check("fill_mean", f"""
 WITH t AS ({TXN_SQL})
 SELECT txn_id, {r("coalesce(installments, (SELECT avg(installments) FROM t))")} AS installments,
@@ -289,8 +307,6 @@ def segment_widths(spark, sf):
 WITH m AS (SELECT source, {r("avg(quality)")} AS q FROM ({LABELLED_SQL}) WHERE quality IS NOT NULL GROUP BY source HAVING count(*) > 17)
 SELECT doc_id, coalesce(q, -1.0) AS q FROM documents d LEFT JOIN m ON d.source = m.source""")
 def lookup_default(spark, sf):
-    from checks.views import labelled_documents
-    from sparkfeat.sources import stage
     labelled = labelled_documents(spark, sf).where("quality IS NOT NULL")
     groups = labelled.groupBy("source").agg(F.avg("quality").alias("q"), F.count("*").alias("n"))
     mapping = stage(rounded(groups.where("n > 17").select("source", "q")))

@@ -1,9 +1,15 @@
-from sparkfeat.plans.cards import card_features, card_profile, profile_spec, transaction_rows
-from sparkfeat.plans.machines import machine_features
+from sparkfeat.plans.cards import (
+    card_features, card_profile, float_columns, mix_features, monthly_profile, monthly_purchases,
+    profile_spec, purchase_ratio, transaction_rows,
+)
+from sparkfeat.plans.machines import MACHINE_COLUMNS, machine_features
+from sparkfeat.plans.numeric import row_features
 from sparkfeat.plans.scoring import oof_predictions, random_search
 from sparkfeat.plans.selection import boruta_select, keep_confirmed
 
 __all__ = [
-    "boruta_select", "card_features", "card_profile", "keep_confirmed", "machine_features",
-    "oof_predictions", "profile_spec", "random_search", "transaction_rows",
+    "MACHINE_COLUMNS", "boruta_select", "card_features", "card_profile", "float_columns",
+    "keep_confirmed", "machine_features", "mix_features", "monthly_profile", "monthly_purchases",
+    "oof_predictions", "profile_spec", "purchase_ratio", "random_search", "row_features",
+    "transaction_rows",
 ]

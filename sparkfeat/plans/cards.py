@@ -6,11 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from sparkfeat.operators.group_means import with_group_mean
+from pyspark.sql import functions as F
+
+from sparkfeat.functions.nulls import clean
+from sparkfeat.operators.group_means import mean_encode, with_group_mean
+from sparkfeat.operators.lag import lag_ratio
 from sparkfeat.operators.lookups import left_join_all
-from sparkfeat.operators.profile import entity_profile, successive_features, two_level_profile
-from sparkfeat.operators.project import map_values, month_diff, one_hot, time_features
+from sparkfeat.operators.profile import aggregate, entity_profile, successive_features, two_level_profile
+from sparkfeat.operators.project import cast_columns, map_values, month_diff, one_hot, time_features
 from sparkfeat.operators.ratios import ratio_features, recency_features
+from sparkfeat.sources.staging import stage
 
 # Which statistics each transaction column contributes.
 MOMENTS = ["sum", "mean", "max", "min", "std"]
@@ -43,6 +48,11 @@ CATEGORY_2_LEVELS = (1.0, 2.0, 3.0, 4.0, 5.0)
 CATEGORY_3_LEVELS = ("A", "B", "C")
 FLAG_VALUES = {"Y": 1, "N": 0}
 MONTHLY_STATISTICS = ("count", "sum", "mean", "min", "max", "std")
+# Merchant columns that may hold infinities and are kept as 4-byte floats.
+FLOAT_COLUMNS = ("numerical_1", "numerical_2", "active_months_lag12", "avg_sales_lag12",
+                 "avg_purchases_lag12", "merchant_profit3", "merchant_profit6", "merchant_profit12")
+MIXED_FEATURES = ("feature_1", "feature_2", "feature_3")
+MIXES = ("outliers", "hist_purchase_amount_mean")
 SUCCESSIVE_PAIRS = (
     ("category_1", "purchase_amount"),
     ("category_2", "purchase_amount"),
@@ -100,11 +110,43 @@ def monthly_profile(rows: DataFrame) -> DataFrame:
                              MONTHLY_STATISTICS, ["mean", "std"])
 
 
+def monthly_purchases(rows: DataFrame) -> DataFrame:
+    """Purchase amount per card and month."""
+    months = rows.where(F.col("card_id").isNotNull() & F.col("month_lag").isNotNull())
+    return months.groupBy("card_id", "month_lag").agg(
+        aggregate(clean(rows, "purchase_amount"), "sum").alias("purchase_amount"))
+
+
+def purchase_ratio(rows: DataFrame) -> DataFrame:
+    """Each month's predecessor over the month itself; a card has one row per month."""
+    return lag_ratio(monthly_purchases(rows), "card_id", "month_lag", "purchase_amount",
+                     "purchase_ratio", bounded_groups=True)
+
+
+def float_columns(rows: DataFrame, cols: Sequence[str] = FLOAT_COLUMNS) -> DataFrame:
+    return cast_columns(rows, cols, "float")
+
+
+def mix_features(train: DataFrame, test: DataFrame, features: Sequence[str] = MIXED_FEATURES,
+                 mixes: Sequence[str] = MIXES) -> tuple[DataFrame, DataFrame]:
+    """Training means of the mixes per level of each card feature, added to both tables."""
+    encoded = mean_encode(train, [test], features, mixes)
+    return encoded[0], encoded[1]
+
+
 def card_features(transactions: DataFrame, merchant_cols: Sequence[str], as_of: str,
                   flags: Sequence[str] = ("authorized_flag", "category_1"),
-                  distinct_cols: Sequence[str] = DISTINCT_COLUMNS) -> DataFrame:
-    """Everything per card: profile, monthly statistics and successive aggregates."""
+                  distinct_cols: Sequence[str] = DISTINCT_COLUMNS,
+                  stage_rows: bool = False) -> DataFrame:
+    """Everything per card: profile, monthly statistics and successive aggregates.
+
+    The rows are read five times, each time only the columns in use. If ``transactions`` is
+    itself the result of joins rather than a stored table, ``stage_rows`` writes the prepared
+    rows once so that those joins do not run five times.
+    """
     rows = transaction_rows(transactions, as_of, flags)
+    if stage_rows:
+        rows = stage(rows)
     return left_join_all(
         card_profile(rows, merchant_cols, as_of, distinct_cols),
         [monthly_profile(rows), successive_features(rows, "card_id", SUCCESSIVE_PAIRS)],

@@ -15,6 +15,15 @@ from sparkfeat.operators.version import version_number
 # The battery marker, and the branch name's delimiter and parts to keep.
 BATTERY_NEEDLE = "li"
 BRANCH_DELIMITER, BRANCH_PARTS = "_", 2
+# The machine table's columns by treatment, and the level sizes to keep.
+MACHINE_COLUMNS = {
+    "branch_cols": ["Census_OSBranch"],
+    "sku_cols": ["Census_OSSkuName"],
+    "battery_cols": ["Census_InternalBatteryType"],
+    "rare_thresholds": {"OsSuite": 100, "LocaleEnglishNameIdentifier": 100000},
+    "version_cols": ["OsVer", "AvSigVersion", "EngineVersion", "AppVersion", "Census_OSVersion"],
+}
+MACHINE_LABEL = "HasDetections"
 
 
 def machine_features(df: DataFrame, key: str, label: str, branch_cols: Sequence[str] = (),

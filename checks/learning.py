@@ -140,7 +140,7 @@ def oof_predictions(spark, sf):
     """With a copy of the label among the features every held-out row lands on its side."""
     features = [*VECTOR_FEATURES, "planted"]
     folded = ops.stratified_folds(_planted(spark, sf), "y", "vec_id", k=3)
-    scored = plans.oof_predictions(folded, features, "y", "fold", "vec_id", {"maxIter": 5, "maxDepth": 3})
+    scored = plans.oof_predictions(folded, features, "y", "fold", "vec_id", {"maxIter": 5, "maxDepth": 3}, parallelism=3)
     right = (F.col("prediction") > 0.5) == (F.col("y") > 0.5)
     return scored.groupBy("y").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("keys"),
@@ -153,7 +153,7 @@ FROM (SELECT count(*) FROM embeddings)""")
 def random_search(spark, sf):
     space = {"maxDepth": (2, 4), "stepSize": (0.05, 1.0), "minInstancesPerNode": (5, 30), "subsamplingRate": (0.5, 1.0)}
     found = plans.random_search(vectors(spark, sf), VECTOR_FEATURES, "y", "vec_id", space=space, n_trials=3,
-                                folds=2, fixed={"maxIter": 3})
+                                folds=2, fixed={"maxIter": 3}, parallelism=2)
     return found.agg(
         F.count(F.lit(1)).alias("trials"), F.count_if("is_best").alias("best"),
         F.count_if(F.col("score").between(0.0, 1.0)).alias("scored"),

@@ -1,6 +1,7 @@
 from sparkfeat.operators.augment import augment, shuffle_columns, with_shadows
 from sparkfeat.operators.encode import (
-    bucket_rare, factorize, factorize_fit, target_encode, target_encode_apply, target_encode_fit,
+    bucket_rare, bucket_rare_apply, bucket_rare_fit, factorize, factorize_fit, target_encode,
+    target_encode_apply, target_encode_columns, target_encode_fit,
 )
 from sparkfeat.operators.evaluate import auc_metric, exact_auc, metric_row, neg_rmse, neg_rmse_metric
 from sparkfeat.operators.folds import hashed_folds, stratified_folds

@@ -11,19 +11,23 @@ from sparkfeat.functions.nulls import clean, column
 from sparkfeat.operators.ranking import bucket_count, bucket_offsets, hash_bucket
 
 SEED = 4590
-_GROUP = ["__class", "__copy", "__series"]
 
 
-def _shuffled(df: DataFrame, cols: Sequence[str], key: str, seed: int, group: Column,
-              copies: Column, carry: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+def _shuffled(df: DataFrame, cols: Sequence[str], key: str, seed: int, copies: Column,
+              group: Column | None = None, carry: Sequence[str] = (),
+              buckets: int | None = None) -> DataFrame:
     """Rows (``__class``, ``__copy``, ``__row``, columns...) with each column permuted by itself.
 
+    ``group`` divides the rows into classes that are permuted apart.
+
     Every value gets a rank by a hash of (key, column, copy), and the values of one rank form
     a new row. Ranks are positions inside hash ranges plus the sizes of the ranges before, so
     one class may be the whole table. Hashes, unlike random numbers, give a retried task or a
     repartitioned table the same answer. ``carry`` columns move together, as one series.
     """
     count = buckets or bucket_count(df)
+    classes = [] if group is None else ["__class"]
+    by, place = [*classes, "__copy", "__series"], [*classes, "__copy", "__row"]
     types = {c: df.schema[c].dataType.simpleString() for c in [*cols, *carry]}
     data_types = list(dict.fromkeys(types[c] for c in cols))
     slots = {data_type: f"v{i}" for i, data_type in enumerate(data_types)}
@@ -49,21 +53,20 @@ def _shuffled(df: DataFrame, cols: Sequence[str], key: str, seed: int, group: Co
         return rows.withColumn("__hash", hashed).withColumn(
             "__bucket", hash_bucket(F.col("__hash"), count))
 
-    repeated = df.withColumns({"__class": group, "__key": column(key)}).withColumn(
-        "__copy", F.explode(copies))
+    classed = df if group is None else df.withColumn("__class", group)
+    repeated = classed.withColumn("__key", column(key)).withColumn("__copy", F.explode(copies))
     # The counting pass needs keys only, so the scan below it reads no feature column.
-    keys = repeated.select("__class", "__copy", "__key").withColumn(
+    keys = repeated.select(*classes, "__copy", "__key").withColumn(
         "__series", F.explode(F.sequence(F.lit(0), F.lit(len(cells) - 1))))
-    counts = ranked(keys).groupBy(*_GROUP, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = bucket_offsets(counts, _GROUP, "__bucket", "__n").select(*_GROUP, "__bucket", "__before")
+    counts = ranked(keys).groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = bucket_offsets(counts, by, "__bucket", "__n").select(*by, "__bucket", "__before")
 
     values = ranked(repeated.withColumn("__cell", F.expr(f"explode(array({', '.join(cells)}))"))
-                    .select("__class", "__copy", "__key", F.col("__cell.series").alias("__series"), "__cell"))
-    within = Window.partitionBy(*_GROUP, "__bucket").orderBy("__hash", "__key")
+                    .select(*classes, "__copy", "__key", F.col("__cell.series").alias("__series"), "__cell"))
+    within = Window.partitionBy(*by, "__bucket").orderBy("__hash", "__key")
     position = F.row_number().over(within)
     # The window leaves the cells partitioned and sorted by this join's keys.
-    numbered = values.withColumn("__position", position).join(offsets, [*_GROUP, "__bucket"])
-    place = ["__class", "__copy", "__row"]
+    numbered = values.withColumn("__position", position).join(offsets, [*by, "__bucket"])
     rows = numbered.withColumn("__row", F.col("__before") + F.col("__position")).select(*place, "__cell")
     # Every row gets exactly one cell per series. Cells are shuffled as they are and gathered
     # behind the shuffle: one aggregate per column would widen each to a whole row before it.
@@ -89,8 +92,7 @@ def shuffle_columns(df: DataFrame, cols: Sequence[str], key: str, seed: int = SE
 
     ``key`` must identify a row. Output: ``copy`` (from 1), ``row`` (from 1) and the columns.
     """
-    shuffled = _shuffled(df, cols, key, seed, F.lit(0), F.sequence(F.lit(1), F.lit(copies)),
-                         buckets=buckets)
+    shuffled = _shuffled(df, cols, key, seed, F.sequence(F.lit(1), F.lit(copies)), buckets=buckets)
     return shuffled.select(F.col("__copy").alias("copy"), F.col("__row").alias("row"),
                            *[column(c) for c in cols])
 
@@ -103,7 +105,7 @@ def with_shadows(df: DataFrame, cols: Sequence[str], key: str, keep: Sequence[st
     is needed.
     """
     kept = list(dict.fromkeys([key, *keep, *cols]))
-    shuffled = _shuffled(df, cols, key, seed, F.lit(0), F.array(F.lit(1)), carry=kept, buckets=buckets)
+    shuffled = _shuffled(df, cols, key, seed, F.array(F.lit(1)), carry=kept, buckets=buckets)
     return shuffled.select(
         *[column(f"__carried_{c}").alias(c) for c in kept],
         *[column(c).alias(f"{prefix}{c}") for c in cols])
@@ -122,7 +124,7 @@ def augment(df: DataFrame, cols: Sequence[str], label: str, key: str, times: int
     repeats = F.when(y > 0, F.lit(times)).otherwise(F.lit(times // 2))
     copies = F.when(repeats > 0, F.sequence(F.lit(1), F.greatest(repeats, F.lit(1)))).otherwise(
         F.array().cast("array<int>"))
-    shuffled = _shuffled(classed, cols, key, seed, group, copies, buckets=buckets)
+    shuffled = _shuffled(classed, cols, key, seed, copies, group, buckets=buckets)
     new_rows = shuffled.select(
         F.lit(None).cast(df.schema[key].dataType).alias(key),
         F.col("__class").cast(df.schema[label].dataType).alias(label),

@@ -27,8 +27,8 @@ def fill_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fill_quantile(df: DataFrame, cols: Sequence[str], q: float = 0.5,
-                  approximate: bool = False) -> DataFrame:
+                  approximate: bool = False, fit_on: DataFrame | None = None) -> DataFrame:
     """Columns as doubles with missing values replaced by the column's quantile."""
-    found = exact_quantiles(df, cols, [q], approximate=approximate)
+    found = exact_quantiles(df if fit_on is None else fit_on, cols, [q], approximate=approximate)
     return df.withColumns({
         c: F.coalesce(_as_double(c), F.lit(found[c][0]).cast("double")) for c in cols})

@@ -145,6 +145,8 @@ def successive_features(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]
         *[clean(df, f2).alias(m) for f2, m in measure.items()])
     means = rows.groupingSets([[key, g] for g in group.values()], key, *group.values()).agg(
         *[F.avg(m).alias(f"{m}_mean") for m in measure.values()])
+    # Catalyst moves this below the first aggregation: rows without the set's field stop there.
+    means = means.where(_any_filled(list(group.values())))
     # A set's own column is NULL in every other set, and where the field itself is missing.
     exprs = [
         aggregate(F.when(column(group[f1]).isNotNull(), column(f"{measure[f2]}_mean")), how)

@@ -27,23 +27,23 @@ def segment_widths(df: DataFrame, cols: Sequence[str], delimiter: str = ".") ->
 
 
 def version_number(df: DataFrame, cols: Sequence[str], fixed_width: bool = False,
-                   delimiter: str = ".") -> DataFrame:
+                   delimiter: str = ".", widths: dict[str, list[int]] | None = None) -> DataFrame:
     """Zero-pad each segment, join them and read the digits as a double.
 
     By default a segment is padded to (longest - own length) digits, which leaves longer
     segments untouched and does not keep version order; ``fixed_width`` pads to the longest
     length of the position and does. A missing segment counts as empty. Text that is no
-    number gives NULL.
+    number gives NULL. ``widths`` takes the result of an earlier :func:`segment_widths`.
     """
-    widths = segment_widths(df, cols, delimiter)
+    longest = widths or segment_widths(df, cols, delimiter)
 
     def number(name: str) -> Column:
         pieces = literal_split(column(name).cast("string"), delimiter)
         padded = []
-        for i, longest in enumerate(widths[name]):
+        for i, width in enumerate(longest[name]):
             piece = F.coalesce(F.get(pieces, F.lit(i)), F.lit(""))
             size = F.length(piece)
-            wanted = F.lit(longest) if fixed_width else F.lit(longest) - size
+            wanted = F.lit(width) if fixed_width else F.lit(width) - size
             padded.append(F.call_function("lpad", piece, F.greatest(size, wanted), F.lit("0")))
         joined = F.concat(*padded) if padded else F.lit(None).cast("string")
         return F.when(column(name).isNotNull(), joined.try_cast("double"))

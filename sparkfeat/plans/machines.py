@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 
 from sparkfeat.functions.nulls import column
 from sparkfeat.functions.text import contains_flag, first_parts, sku_family
-from sparkfeat.operators.encode import bucket_rare, target_encode
+from sparkfeat.operators.encode import bucket_rare_apply, bucket_rare_fit, target_encode_columns
 from sparkfeat.operators.impute import fill_mean, fill_quantile
-from sparkfeat.operators.version import version_number
+from sparkfeat.operators.version import segment_widths, version_number
 
 # The battery marker, and the branch name's delimiter and parts to keep.
 BATTERY_NEEDLE = "li"
@@ -34,21 +34,23 @@ def machine_features(df: DataFrame, key: str, label: str, branch_cols: Sequence[
                      target_cols: Sequence[str] = ()) -> DataFrame:
     """Clean text, fill gaps, merge rare levels, number versions, encode by label.
 
-    ``label`` is NULL on unlabelled rows, which are encoded from the labelled ones. Each fit
-    is one aggregation; all applications share a single pass with map-side lookups.
+    ``label`` is NULL on unlabelled rows, which are encoded from the labelled ones. Every fit
+    aggregates the cleaned table itself, not the half-encoded one with its joins; all
+    applications share a single pass with map-side lookups.
     """
     cleaned = df.withColumns({
         **{c: first_parts(column(c), BRANCH_DELIMITER, BRANCH_PARTS) for c in branch_cols},
         **{c: sku_family(column(c)) for c in sku_cols},
         **{c: contains_flag(column(c), BATTERY_NEEDLE) for c in battery_cols},
     })
-    filled = fill_mean(cleaned, mean_cols) if mean_cols else cleaned
-    filled = fill_quantile(filled, median_cols) if median_cols else filled
-    encoded = filled
-    for name, threshold in (rare_thresholds or {}).items():
-        encoded = bucket_rare(encoded, name, threshold, key, out=name)
+    codes = {c: bucket_rare_fit(cleaned, c, n, key) for c, n in (rare_thresholds or {}).items()}
+    widths = segment_widths(cleaned, version_cols) if version_cols else {}
+
+    encoded = fill_mean(cleaned, mean_cols) if mean_cols else cleaned
+    if median_cols:
+        encoded = fill_quantile(encoded, median_cols, fit_on=cleaned)
+    for name, mapping in codes.items():
+        encoded = bucket_rare_apply(encoded, mapping, name, out=name)
     if version_cols:
-        encoded = version_number(encoded, version_cols)
-    for name in target_cols:
-        encoded = target_encode(encoded, name, label, out=name)
-    return encoded
+        encoded = version_number(encoded, version_cols, widths=widths)
+    return target_encode_columns(encoded, target_cols, label, fit_on=cleaned) if target_cols else encoded

@@ -6,7 +6,10 @@ import json
 import random
 import time
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -57,29 +60,39 @@ def _model(task: str, params: Mapping, seed: int):
 
 
 def _fold_predictions(rows: DataFrame, features: Sequence[str], params: Mapping, task: str,
-                      seed: int) -> DataFrame:
+                      seed: int, parallelism: int) -> DataFrame:
     assembler = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(features))],
                                 outputCol="__features")
     assembled = assembler.transform(rows)
     fold_numbers = sorted(row["__fold"] for row in rows.select("__fold").distinct().collect())
-    scored = None
-    for fold in fold_numbers:
-        model = _model(task, params, seed).fit(assembled.where(F.col("__fold") != fold))
-        held_out = model.transform(assembled.where(F.col("__fold") == fold))
-        score = vector_to_array("probability")[1] if task == "binary" else F.col("prediction")
-        part = held_out.select("__key", "__label", "__fold", score.alias("__score"))
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+
+    def fitted(fold: int):
+        return _model(task, params, seed).fit(assembled.where(F.col("__fold") != fold))
+
+    # Only the submission of Spark jobs is threaded, as in Spark ML's own cross-validation.
+    with ThreadPool(min(parallelism, len(fold_numbers))) as pool:
+        models = pool.map(inheritable_thread_target(rows.sparkSession)(fitted), fold_numbers)
+
+    score = vector_to_array("probability")[1] if task == "binary" else F.col("prediction")
+    scored = [
+        model.transform(assembled.where(F.col("__fold") == fold))
+        .select("__key", "__label", "__fold", score.alias("__score"))
+        for fold, model in zip(fold_numbers, models)
+    ]
+    return reduce(DataFrame.unionByName, scored)
 
 
 def oof_predictions(df: DataFrame, features: Sequence[str], label: str, fold_col: str, key: str,
-                    params: Mapping | None = None, task: str = "binary", seed: int = SEED) -> DataFrame:
+                    params: Mapping | None = None, task: str = "binary", seed: int = SEED,
+                    parallelism: int = 1) -> DataFrame:
     """One prediction per labelled row, from a model that never saw the row's fold.
 
     Output: key, label, fold and ``prediction`` (the probability of label 1, or the value).
+    ``parallelism`` is the number of folds trained at the same time, each of which caches its
+    own training rows.
     """
     rows = prepared(df, features, label, fold_col, key)
-    scored = _fold_predictions(rows, features, params or {}, task, seed)
+    scored = _fold_predictions(rows, features, params or {}, task, seed, parallelism)
     return scored.select(F.col("__key").alias(key), F.col("__label").alias(label),
                          F.col("__fold").alias(fold_col), F.col("__score").alias("prediction"))
 
@@ -106,7 +119,8 @@ def random_search(df: DataFrame, features: Sequence[str], label: str, key: str,
                   fold_col: str | None = None, space: Mapping[str, tuple] = SEARCH_SPACE,
                   n_trials: int = 20, timeout: float = TIME_LIMIT, task: str = "binary",
                   metric: Callable[[DataFrame], float] | None = None, maximize: bool = True,
-                  folds: int = FOLDS, seed: int = SEED, fixed: Mapping | None = None) -> DataFrame:
+                  folds: int = FOLDS, seed: int = SEED, fixed: Mapping | None = None,
+                  parallelism: int = 1) -> DataFrame:
     """Seeded draws from ``space``, each scored once on its out-of-fold predictions.
 
     Output: one row per finished trial (trial, params as JSON, score, is_best). The score is
@@ -124,7 +138,7 @@ def random_search(df: DataFrame, features: Sequence[str], label: str, key: str,
         if number and time.monotonic() - started > timeout:
             break
         params = {**(fixed or {}), **draw(space, generator)}
-        scored = _fold_predictions(rows, features, _as_params(params), task, seed)
+        scored = _fold_predictions(rows, features, _as_params(params), task, seed, parallelism)
         predictions = scored.select(F.col("__key").alias("key"), F.col("__label").alias("label"),
                                     F.col("__score").alias("prediction"))
         trials.append((number, json.dumps(params, sort_keys=True), score_of(predictions)))

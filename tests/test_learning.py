@@ -40,6 +40,12 @@ def test_shuffle_depends_on_the_seed_only(cells):
     assert rows(ops.shuffle_columns(cells, ["a", "c"], "key", seed=2), "row") != base
 
 
+def test_shuffle_moves_each_cell_twice(cells):
+    """Once to be ranked and once into its row; counting the hash ranges takes two small ones."""
+    tree = plan(ops.shuffle_columns(cells, ["a", "b"], "key")).split("\n\n")[0]
+    assert tree.count("Exchange") - tree.count("BroadcastExchange") - 2 == 2
+
+
 def test_shadows_travel_with_real_rows(cells):
     out = ops.with_shadows(cells, ["a", "c"], "key", keep=["y"])
     assert out.columns == ["key", "y", "a", "c", "shadow_a", "shadow_c"]

@@ -6,11 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkfeat.functions.nulls import column
 from sparkfeat.sources.staging import BROADCAST_BYTES, measured_bytes
 
 _KEY = "__lookup_key"
+NULL_SPREAD = 1024
+_NOT_HASHABLE = (T.MapType, T.VariantType)
 
 
 def is_small(mapping: DataFrame) -> bool:
@@ -26,9 +29,10 @@ def lookup(df: DataFrame, mapping: DataFrame, key: str, values: dict[str, str] |
     missing from the mapping, or NULL, gives ``default``.
 
     The mapping (staged by the fit functions) is measured first. A small one is broadcast
-    and the big table is not shuffled. A large one becomes a shuffle join in which adaptive
-    execution splits the partitions of hot keys. ``small`` carries the verdict of an earlier
-    measurement when one mapping is looked up several times.
+    and the big table is not shuffled. A large one becomes a shuffle join: rows without a key
+    are spread over many partitions, and adaptive execution splits the partitions of hot keys.
+    ``small`` carries the verdict of an earlier measurement when one mapping is looked up
+    several times.
     """
     names = {values: values} if isinstance(values, str) else dict(values)
     source = mapping_key or key
@@ -36,7 +40,10 @@ def lookup(df: DataFrame, mapping: DataFrame, key: str, values: dict[str, str] |
         column(source).alias(_KEY), *[column(n).alias(f"__value_{n}") for n in names])
     if small is None:
         small = is_small(side)
-    joined = df.join(F.broadcast(side) if small else side, column(key) == F.col(_KEY), "left")
+    if small:
+        joined = df.join(F.broadcast(side), column(key) == F.col(_KEY), "left")
+    else:
+        joined = _spread_join(df, side, key)
     fallback = default if isinstance(default, Column) else F.lit(default)
     out = {
         new: F.col(f"`__value_{old}`") if default is None
@@ -46,6 +53,18 @@ def lookup(df: DataFrame, mapping: DataFrame, key: str, values: dict[str, str] |
     return joined.withColumns(out).drop(_KEY, *[f"__value_{n}" for n in names])
 
 
+def _spread_join(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Left shuffle join in which NULL keys, all of one hash otherwise, take many partitions."""
+    hashable = [column(f.name) for f in df.schema.fields if not isinstance(f.dataType, _NOT_HASHABLE)]
+    spread = F.when(column(key).isNull(), F.pmod(F.xxhash64(*hashable), F.lit(NULL_SPREAD))).otherwise(F.lit(0))
+    # Always 0, but not a literal: a constant would be folded out of the join keys.
+    none = F.pmod(F.xxhash64(F.col(_KEY)), F.lit(1))
+    left = df.withColumn("__spread", spread.cast("long"))
+    right = side.withColumn("__no_spread", none)
+    match = (column(key) == F.col(_KEY)) & (F.col("__spread") == F.col("__no_spread"))
+    return left.join(right, match, "left").drop("__spread", "__no_spread")
+
+
 def left_join_all(base: DataFrame, others: Sequence[DataFrame], on: str) -> DataFrame:
     """Left-join per-entity tables onto ``base``.
 

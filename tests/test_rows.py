@@ -204,5 +204,10 @@ def test_lookup_broadcasts_only_small_mappings(spark, monkeypatch):
         large = ops.lookup(df, mapping, "k", "v")
         assert "BroadcastHashJoin" not in plan(large)
         assert large.where("v = 1").count() == 10
+        holes = spark.range(100).select(F.col("id").alias("i"), F.when(F.col("id") < 5, F.col("id")).alias("k"))
+        joined = ops.lookup(holes, mapping, "k", "v", default=0)
+        # Rows without a key must not share one partition.
+        assert "__spread" in plan(joined).split("Join")[1]
+        assert rows(joined.select("i", "v"), "i") == [(i, int(i < 5)) for i in range(100)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -90,8 +90,10 @@ def rows(spark, sf):
 
 @check("entity_profile", PROFILE_SQL)
 def entity_profile(spark, sf):
-    with_means = ops.with_group_mean(rows(spark, sf), cards.CATEGORIES, "purchase_amount")
-    return _plain(ops.entity_profile(with_means, "card_id", cards.profile_spec(MERCHANT_COLS, DISTINCT_COLS)))
+    prepared = rows(spark, sf)
+    with_means = ops.with_group_mean(prepared, cards.CATEGORIES, "purchase_amount")
+    spec = cards.profile_spec(MERCHANT_COLS, DISTINCT_COLS)
+    return _plain(ops.entity_profile(with_means, "card_id", spec, distinct_from=prepared))
 
 
 @check("distinct_profile", f"""

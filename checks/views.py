@@ -19,7 +19,7 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every double column for comparison with another engine."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     return df.withColumns({
-        name: F.round(F.col(f"`{name}`") + F.lit(float(NUDGE)), digits) for name in doubles})
+        name: F.expr(f"round(`{name}` + CAST({NUDGE} AS DOUBLE), {digits})") for name in doubles})
 
 
 def r(expression: str, digits: int = 4) -> str:

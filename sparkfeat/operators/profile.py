@@ -69,13 +69,14 @@ def distinct_profile(df: DataFrame, key: str, cols: Sequence[str], approximate:
 def entity_profile(df: DataFrame, key: str, spec: Mapping[str, Sequence[str]],
                    count_name: str | None = "transactions_count",
                    domains: Mapping[str, tuple[int, int]] = CALENDAR_DOMAINS,
-                   approximate: bool = False) -> DataFrame:
+                   approximate: bool = False, distinct_from: DataFrame | None = None) -> DataFrame:
     """Aggregate ``{column: [sum, mean, max, min, std, count, nunique]}`` by ``key``.
 
     Outputs are named ``{column}_{statistic}``; the row count comes with the same grouping.
     Distinct counts of columns without a small declared domain are computed apart, on narrow
     rows, and joined on the key: inside one wide aggregate Spark would carry every other
-    aggregate's buffer along with each distinct value.
+    aggregate's buffer along with each distinct value. ``distinct_from`` may name the same rows
+    before lookups that only the other aggregates need.
     """
     rows = df.where(column(key).isNotNull())
     exprs, order, wide_distinct = [], [], []
@@ -87,7 +88,10 @@ def entity_profile(df: DataFrame, key: str, spec: Mapping[str, Sequence[str]],
         for how in statistics:
             out = f"{name}_{how}"
             order.append(out)
-            if how != "nunique":
+            if how == "mean" and "sum" in statistics:
+                # Shares the sum's buffer; Spark would keep a second one for avg().
+                exprs.append(F.try_divide(F.sum(value).cast("double"), F.count(value)).alias(out))
+            elif how != "nunique":
                 exprs.append(aggregate(value, how).alias(out))
             elif name in domains:
                 exprs.append(_bitmask_distinct(value, *domains[name]).alias(out))
@@ -96,7 +100,8 @@ def entity_profile(df: DataFrame, key: str, spec: Mapping[str, Sequence[str]],
     if not wide_distinct:
         result = rows.groupBy(key).agg(*exprs)
     else:
-        distinct = distinct_profile(rows, key, wide_distinct, approximate)
+        source = rows if distinct_from is None else distinct_from
+        distinct = distinct_profile(source, key, wide_distinct, approximate)
         result = rows.groupBy(key).agg(*exprs).join(distinct, key, "left") if exprs else distinct
     return result.select(column(key), *[column(name) for name in order])
 

@@ -120,10 +120,9 @@ def _select_ranks(cells: DataFrame, intervals: dict[int, list], ranks: dict[int,
     """Find the values at the given 0-based ranks; return the series whose bracket missed one."""
     counts = stage(_bracketed(cells.where(F.col("series").isin(list(intervals))), intervals))
     # At most (2 * probabilities + 1) regions per column.
-    totals = {
-        (row["series"], row["region"]): row["n"]
-        for row in counts.groupBy("series", "region").agg(F.sum("n").alias("n")).collect()
-    }
+    found_regions = counts.groupBy("series", "region").agg(
+        F.sum("n").alias("n"), F.count("value").alias("distinct")).collect()
+    totals = {(row["series"], row["region"]): row["n"] for row in found_regions}
     missed, wanted = [], []
     for i, found in intervals.items():
         local = []
@@ -143,7 +142,8 @@ def _select_ranks(cells: DataFrame, intervals: dict[int, list], ranks: dict[int,
         return missed
     inside = counts.where(F.col("value").isNotNull())
     ordered = running_total(inside, F.col("n"), ["value"], by=["series", "region"],
-                            group_limit=group_limit)
+                            group_limit=group_limit,
+                            largest=max(row["distinct"] for row in found_regions))
     targets = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(region).alias("r"), F.lit(rank).cast("long").alias("k"),
                  F.lit(whole).cast("long").alias("whole"))

@@ -38,16 +38,16 @@ def sliced(df: DataFrame, keys: Sequence[str], slices: int | None = None) -> Dat
 
 def running_total(df: DataFrame, value: Column, order: Sequence[str], by: Sequence[str] = (),
                   out: str = "before", group_limit: int = GROUP_LIMIT,
-                  slices: int | None = None) -> DataFrame:
+                  slices: int | None = None, largest: int | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same group that sort earlier.
 
     ``order`` must be unique within a group. ``df`` should be a staged frame, since its group
-    sizes are measured first: groups within ``group_limit`` use one window, larger ones
-    are sliced.
+    sizes are measured first (unless the caller knows the ``largest``): groups within
+    ``group_limit`` use one window, larger ones are sliced.
     """
     rows = df.withColumn("__value", value)
     groups, ordering = [column(b) for b in by], [column(o) for o in order]
-    if largest_group(df, by) <= group_limit:
+    if (largest_group(df, by) if largest is None else largest) <= group_limit:
         window = (Window.partitionBy(*(groups or [F.lit(0)])).orderBy(*ordering)
                   .rowsBetween(Window.unboundedPreceding, -1))
         total = F.coalesce(F.sum("__value").over(window), F.lit(0))

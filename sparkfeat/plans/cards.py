@@ -99,8 +99,9 @@ def transaction_rows(transactions: DataFrame, as_of: str,
 def card_profile(rows: DataFrame, merchant_cols: Sequence[str], as_of: str,
                  distinct_cols: Sequence[str] = DISTINCT_COLUMNS) -> DataFrame:
     """The aggregated card with its recency and ratio columns."""
-    rows = with_group_mean(rows, CATEGORIES, "purchase_amount")
-    profile = entity_profile(rows, "card_id", profile_spec(merchant_cols, distinct_cols))
+    with_means = with_group_mean(rows, CATEGORIES, "purchase_amount")
+    profile = entity_profile(with_means, "card_id", profile_spec(merchant_cols, distinct_cols),
+                             distinct_from=rows)
     return ratio_features(recency_features(profile, as_of))
 
 

@@ -121,7 +121,7 @@ def test_sliced_lag_equals_the_window_on_one_hot_key(spark):
 @pytest.mark.parametrize("limit", [1_000_000, 1])
 def test_factorize(spark, monkeypatch, limit):
     monkeypatch.setattr("sparkfeat.operators.ranking.running_total.__defaults__", (
-        (), "before", limit, 3 if limit == 1 else None))
+        (), "before", limit, 3 if limit == 1 else None, None))
     df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b"), (5, "c")], "i int, c string")
     assert [r[2] for r in rows(ops.factorize(df, "c", "i"), "i")] == [0, -1, 1, 0, 2]
 

@@ -1,4 +1,4 @@
-"""Timestamp helpers. All arithmetic assumes a UTC session."""
+"""Timestamp helpers on zone-free timestamps."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SECONDS_PER_DAY = 86_400
+MINUTES_PER_DAY = 1_440
 
 
 def to_timestamp(value: Column, from_text: bool = False) -> Column:
@@ -14,7 +15,12 @@ def to_timestamp(value: Column, from_text: bool = False) -> Column:
 
 
 def epoch_micros(value: Column) -> Column:
-    return F.unix_micros(value.cast("timestamp"))
+    """Microseconds since 1970 of a zone-free timestamp, whatever the session's zone."""
+    stamp = value.cast("timestamp_ntz")
+    days = F.datediff(stamp.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    minutes = days * F.lit(MINUTES_PER_DAY) + F.hour(stamp) * F.lit(60) + F.minute(stamp)
+    seconds = F.extract(F.lit("SECOND"), stamp)
+    return minutes * F.lit(60_000_000) + (seconds * F.lit(1_000_000)).cast("long")
 
 
 def epoch_seconds(value: Column) -> Column:

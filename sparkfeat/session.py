@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Day arithmetic on zone-free timestamps needs UTC. The adaptive settings are Spark's
+# Timestamps with a zone are read as UTC wall-clock time. The adaptive settings are Spark's
 # defaults, named here because wide joins lean on them to split hot partitions. Recording the
 # Python call site of every column costs more than planning the wide aggregates does.
 SETTINGS = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import plan, rows, same
 from sparkfeat import operators as ops
-from sparkfeat.functions import contains_flag, days_between, first_parts, sku_family
+from sparkfeat.functions import contains_flag, days_between, epoch_seconds, first_parts, sku_family
 from sparkfeat.sources import read_table, write_table
 
 
@@ -78,6 +78,18 @@ def test_days_are_floored(spark):
     assert ops.month_diff(df, "b", "lag", "2024-01-06").first()["month_diff"] == 2
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_seconds_do_not_depend_on_the_session_zone(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.25' AS a, timestamp_ntz'1969-12-31 23:59:59' AS b, "
+                       "CAST(NULL AS timestamp_ntz) AS c")
+        got = df.select(*[epoch_seconds(F.col(c)) for c in "abc"]).first()
+        assert tuple(got) == (1710037800.25, -1.0, None)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_narrowing_bounds_are_strict(spark):
     df = spark.createDataFrame(
         [(127, 126, 1, 2**63 - 1, 65504.0, float("inf"), None), (0, -127, 40000, 0, 0.0, 1.0, None)],

@@ -11,7 +11,7 @@ from sparkfeat.functions.nulls import clean, column
 from sparkfeat.operators.lookups import is_small, lookup
 from sparkfeat.operators.profile import as_level, grouped_means
 from sparkfeat.operators.ranking import running_total
-from sparkfeat.sources.staging import stage
+from sparkfeat.sources.staging import stage, staged
 
 MISSING_CODE = -1
 # Fixed value: the name of the bucket of rare levels.
@@ -21,10 +21,16 @@ OTHERS = "others"
 def factorize_fit(df: DataFrame, col: str, order_col: str) -> DataFrame:
     """Mapping (level, code): levels numbered from 0 by first appearance along ``order_col``."""
     rows = df.select(clean(df, col).alias("level"), column(order_col).alias("__order"))
-    firsts = stage(rows.where(F.col("level").isNotNull()).groupBy("level").agg(
-        F.min("__order").alias("first")))
-    coded = running_total(firsts, F.lit(1).cast("long"), ["first", "level"], out="code")
-    return stage(coded.select("level", F.col("code").cast("int").alias("code")))
+    firsts = rows.where(F.col("level").isNotNull()).groupBy("level").agg(
+        F.min("__order").alias("first"))
+    return _numbered(firsts)
+
+
+def _numbered(firsts: DataFrame) -> DataFrame:
+    """Mapping (level, code) from each level's first appearance."""
+    with staged(firsts) as levels:
+        coded = running_total(levels, F.lit(1).cast("long"), ["first", "level"], out="code")
+        return stage(coded.select("level", F.col("code").cast("int").alias("code")))
 
 
 def factorize(df: DataFrame, col: str, order_col: str, out: str | None = None) -> DataFrame:
@@ -40,13 +46,11 @@ def bucket_rare_fit(df: DataFrame, col: str, threshold: int, order_col: str) ->
     Missing values are a level of their own. One aggregation yields each level's size and
     first appearance. The mapping has at most rows / threshold entries, plus one.
     """
-    levels = stage(df.select(as_level(df, col).alias("level"), column(order_col).alias("__order"))
-                   .groupBy("level")
-                   .agg(F.count(F.lit(1)).alias("n"), F.min("__order").alias("first")))
+    counted = (df.select(as_level(df, col).alias("level"), column(order_col).alias("__order"))
+               .groupBy("level")
+               .agg(F.count(F.lit(1)).alias("n"), F.min("__order").alias("first")))
     kept = F.when(F.col("n") < threshold, F.lit(OTHERS)).otherwise(F.col("level"))
-    merged = stage(levels.groupBy(kept.alias("level")).agg(F.min("first").alias("first")))
-    coded = running_total(merged, F.lit(1).cast("long"), ["first", "level"], out="code")
-    return stage(coded.select("level", F.col("code").cast("int").alias("code")))
+    return _numbered(counted.groupBy(kept.alias("level")).agg(F.min("first").alias("first")))
 
 
 def bucket_rare_apply(df: DataFrame, mapping: DataFrame, col: str, out: str | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ def is_small(mapping: DataFrame) -> bool:
 
 def lookup(df: DataFrame, mapping: DataFrame, key: str, values: dict[str, str] | str,
            mapping_key: str | None = None, default=None, small: bool | None = None) -> DataFrame:
-    """Add mapped columns to ``df``: a left join that never drops or repeats a row.
+    """Add mapped columns to ``df`` by a left join; the mapping's keys must be unique.
 
     ``values`` names the mapping's value column, or maps it to an output name. A key that is
     missing from the mapping, or NULL, gives ``default``.

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sparkfeat.functions.nulls import column, null_if_nan
 from sparkfeat.operators.ranking import GROUP_LIMIT, running_total
-from sparkfeat.sources.staging import stage
+from sparkfeat.sources.staging import staged
 
 ACCURACY = 10_000
 _EVERYTHING = [(-math.inf, math.inf)]
@@ -118,7 +118,13 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 def _select_ranks(cells: DataFrame, intervals: dict[int, list], ranks: dict[int, list[int]],
                   values: dict, group_limit: int) -> list[int]:
     """Find the values at the given 0-based ranks; return the series whose bracket missed one."""
-    counts = stage(_bracketed(cells.where(F.col("series").isin(list(intervals))), intervals))
+    marked = _bracketed(cells.where(F.col("series").isin(list(intervals))), intervals)
+    with staged(marked) as counts:
+        return _from_counts(counts, intervals, ranks, values, group_limit)
+
+
+def _from_counts(counts: DataFrame, intervals: dict[int, list], ranks: dict[int, list[int]],
+                 values: dict, group_limit: int) -> list[int]:
     # At most (2 * probabilities + 1) regions per column.
     found_regions = counts.groupBy("series", "region").agg(
         F.sum("n").alias("n"), F.count("value").alias("distinct")).collect()

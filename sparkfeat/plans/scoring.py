@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sparkfeat.functions.nulls import clean, column
 from sparkfeat.operators.evaluate import auc_metric, neg_rmse_metric
 from sparkfeat.operators.folds import FOLDS, SEED, stratified_folds
-from sparkfeat.sources.staging import stage
+from sparkfeat.sources.staging import stage, staged
 
 # Trees here need a number in every cell; missing ones go far outside the usual range, where
 # a split can tell them apart.
@@ -38,16 +38,17 @@ TIME_LIMIT = (60 * 3) * 60
 _SMALLEST_SHARE = 0.01
 
 
-def prepared(df: DataFrame, features: Sequence[str], label: str, fold_col: str, key: str) -> DataFrame:
-    """Key, label, fold and gap-free features, written once and divided by fold.
+def _prepared(df: DataFrame, features: Sequence[str], label: str, fold_col: str, key: str) -> DataFrame:
+    """Key, label, fold and gap-free features of the labelled rows.
 
-    Training on k - 1 folds and scoring one then read only the files of those folds.
+    Written divided by fold, so that training on k - 1 folds and scoring one read only the
+    files of those folds.
     """
     cells = [F.coalesce(clean(df, c).cast("double"), F.lit(MISSING)).alias(f"__f{i}")
              for i, c in enumerate(features)]
     rows = df.select(column(key).alias("__key"), column(label).cast("double").alias("__label"),
                      column(fold_col).cast("int").alias("__fold"), *cells)
-    return stage(rows.where(F.col("__label").isNotNull()), partition_by=["__fold"])
+    return rows.where(F.col("__label").isNotNull())
 
 
 def _model(task: str, params: Mapping, seed: int):
@@ -91,7 +92,7 @@ def oof_predictions(df: DataFrame, features: Sequence[str], label: str, fold_col
     ``parallelism`` is the number of folds trained at the same time, each of which caches its
     own training rows.
     """
-    rows = prepared(df, features, label, fold_col, key)
+    rows = stage(_prepared(df, features, label, fold_col, key), partition_by=["__fold"])
     scored = _fold_predictions(rows, features, params or {}, task, seed, parallelism)
     return scored.select(F.col("__key").alias(key), F.col("__label").alias(label),
                          F.col("__fold").alias(fold_col), F.col("__score").alias("prediction"))
@@ -130,18 +131,18 @@ def random_search(df: DataFrame, features: Sequence[str], label: str, key: str,
     if fold_col is None:
         fold_col = "fold"
         df = stratified_folds(df, label, key, folds, seed, fold_col)
-    rows = prepared(df, features, label, fold_col, key)
     score_of = metric or (auc_metric if task == "binary" else neg_rmse_metric)
     generator = random.Random(seed)
     started, trials = time.monotonic(), []
-    for number in range(n_trials):
-        if number and time.monotonic() - started > timeout:
-            break
-        params = {**(fixed or {}), **draw(space, generator)}
-        scored = _fold_predictions(rows, features, _as_params(params), task, seed, parallelism)
-        predictions = scored.select(F.col("__key").alias("key"), F.col("__label").alias("label"),
-                                    F.col("__score").alias("prediction"))
-        trials.append((number, json.dumps(params, sort_keys=True), score_of(predictions)))
+    with staged(_prepared(df, features, label, fold_col, key), partition_by=["__fold"]) as rows:
+        for number in range(n_trials):
+            if number and time.monotonic() - started > timeout:
+                break
+            params = {**(fixed or {}), **draw(space, generator)}
+            scored = _fold_predictions(rows, features, _as_params(params), task, seed, parallelism)
+            predictions = scored.select(F.col("__key").alias("key"), F.col("__label").alias("label"),
+                                        F.col("__score").alias("prediction"))
+            trials.append((number, json.dumps(params, sort_keys=True), score_of(predictions)))
     known = [score for _, _, score in trials if score is not None]
     best = (max(known) if maximize else min(known)) if known else None
     first_best = next((n for n, _, s in trials if s is not None and s == best), None)

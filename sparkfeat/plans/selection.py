@@ -19,7 +19,7 @@ from sparkfeat.functions.nulls import clean, column
 from sparkfeat.operators.augment import with_shadows
 from sparkfeat.operators.project import select_supported
 from sparkfeat.plans.scoring import MISSING
-from sparkfeat.sources.staging import stage
+from sparkfeat.sources.staging import staged
 from sparkfeat.sources.tables import write_table
 
 CONFIRMED, TENTATIVE, REJECTED = "confirmed", "tentative", "rejected"
@@ -49,6 +49,22 @@ def _importances(rows: DataFrame, inputs: Sequence[str], task: str, trees: int,
     return dict(zip(inputs, fitted.featureImportances.toArray()))
 
 
+def _one_round(rows: DataFrame, real: Sequence[str], task: str, trees: int, depth: int,
+               seed: int) -> set[str]:
+    """Columns more important than the best of their shuffled shadows."""
+    # A very short list gets further shadows so that the best of them means something.
+    shadowed = (list(real) * _FEWEST_SHADOWS)[:max(len(real), _FEWEST_SHADOWS)]
+    copies = {f"s{i}": name for i, name in enumerate(shadowed)}
+    wide = rows.select("__key", "__label", *real, *[F.col(n).alias(s) for s, n in copies.items()])
+    mixed = with_shadows(wide, list(copies), "__key", keep=["__label", *real], seed=seed)
+    shadows = [f"shadow_{s}" for s in copies]
+    # The forest reads its input several times: shuffle once, read the files.
+    with staged(mixed) as table:
+        found = _importances(table, [*real, *shadows], task, trees, depth, seed)
+    best_shadow = max(found[s] for s in shadows)
+    return {name for name in real if found[name] > best_shadow}
+
+
 def boruta_select(df: DataFrame, features: Sequence[str], label: str, key: str, max_iter: int = 100,
                   alpha: float = 0.05, seed: int = 0, trees: int = 100, depth: int = 5,
                   task: str = "binary") -> DataFrame:
@@ -59,29 +75,21 @@ def boruta_select(df: DataFrame, features: Sequence[str], label: str, key: str,
     the table; the rounds end when no feature is undecided.
     """
     names = {c: f"f{i}" for i, c in enumerate(features)}
-    rows = stage(df.where(column(label).isNotNull()).select(
+    numbers = df.where(column(label).isNotNull()).select(
         column(key).alias("__key"), column(label).cast("double").alias("__label"),
-        *[F.coalesce(clean(df, c).cast("double"), F.lit(MISSING)).alias(n) for c, n in names.items()]))
+        *[F.coalesce(clean(df, c).cast("double"), F.lit(MISSING)).alias(n) for c, n in names.items()])
     hits, status = dict.fromkeys(features, 0), dict.fromkeys(features, TENTATIVE)
-    for run in range(1, max_iter + 1):
-        active = [c for c in features if status[c] != REJECTED]
-        if all(status[c] == CONFIRMED for c in active):
-            break
-        real = [names[c] for c in active]
-        # A very short list gets further shadows so that the best of them means something.
-        shadowed = (real * _FEWEST_SHADOWS)[:max(len(real), _FEWEST_SHADOWS)]
-        copies = {f"s{i}": name for i, name in enumerate(shadowed)}
-        wide = rows.select("__key", "__label", *real, *[F.col(n).alias(s) for s, n in copies.items()])
-        mixed = stage(with_shadows(wide, list(copies), "__key", keep=["__label", *real], seed=seed + run,
-                                   prefix="shadow_"))
-        shadows = [f"shadow_{s}" for s in copies]
-        found = _importances(mixed, [*real, *shadows], task, trees, depth, seed + run)
-        best_shadow = max(found[s] for s in shadows)
-        for c in active:
-            hits[c] += found[names[c]] > best_shadow
-        for c in active:
-            if status[c] == TENTATIVE:
-                status[c] = decide(hits[c], run, len(features), alpha)
+    with staged(numbers) as rows:
+        for run in range(1, max_iter + 1):
+            active = [c for c in features if status[c] != REJECTED]
+            if all(status[c] == CONFIRMED for c in active):
+                break
+            hit = _one_round(rows, [names[c] for c in active], task, trees, depth, seed + run)
+            for c in active:
+                hits[c] += names[c] in hit
+            for c in active:
+                if status[c] == TENTATIVE:
+                    status[c] = decide(hits[c], run, len(features), alpha)
     lines = [(c, int(hits[c]), status[c]) for c in features]
     return df.sparkSession.createDataFrame(lines, "feature string, hits int, status string")
 

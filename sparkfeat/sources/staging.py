@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +38,7 @@ def staging_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{context.applicationId}"
 
 
-def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Compute ``df`` once into the staging folder and return a frame that reads it back."""
+def _write(df: DataFrame, partition_by: Sequence[str]) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{uuid.uuid4().hex}"
     writer = df.write
@@ -46,14 +46,32 @@ def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     columns = [F.col(f"`{name}`") for name in df.columns]
-    return spark.read.schema(df.schema).parquet(path).select(*columns)
+    return spark.read.schema(df.schema).parquet(path).select(*columns), path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Compute ``df`` once into the staging folder and return a frame that reads it back."""
+    return _write(df, partition_by)[0]
+
+
+@contextmanager
+def staged(df: DataFrame, partition_by: Sequence[str] = ()) -> Iterator[DataFrame]:
+    """Like :func:`stage`, for work that ends inside the block: its files are removed after it."""
+    frame, path = _write(df, partition_by)
+    try:
+        yield frame
+    finally:
+        _delete(df.sparkSession, path)
 
 
 def clear_staging(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; frames that still read them stop working."""
-    jvm, context = spark._jvm, spark.sparkContext
-    folder = jvm.org.apache.hadoop.fs.Path(staging_root(spark))
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, staging_root(spark))
 
 
 def _width(field: T.StructField) -> Column:

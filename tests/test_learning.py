@@ -182,6 +182,21 @@ def test_binomial_decisions():
     assert selection.decide(0, 8, 9, 0.05) == "rejected"
 
 
+def test_loops_leave_no_files(spark, planted):
+    from pathlib import Path
+
+    from sparkfeat.sources import staging_root
+    root = Path(staging_root(spark).removeprefix("file:"))
+    plans.random_search(planted.withColumn("fold", F.col("key") % 2), ["n0"], "y", "key", "fold", space={"maxDepth": (1, 1)},
+                        n_trials=1, fixed={"maxIter": 1}, metric=lambda df: float(df.count()))
+    before = len(list(root.iterdir()))
+    plans.random_search(planted.withColumn("fold", F.col("key") % 2), ["n0"], "y", "key", "fold", space={"maxDepth": (1, 1)},
+                        n_trials=1, fixed={"maxIter": 1}, metric=lambda df: float(df.count()))
+    plans.boruta_select(planted, ["n0", "copy"], "y", "key", max_iter=1, trees=2, depth=2)
+    ops.exact_quantiles(planted, ["n0"], [0.5])
+    assert len(list(root.iterdir())) == before
+
+
 def test_boruta_confirms_the_planted_feature(planted, tmp_path):
     found = plans.boruta_select(planted, ["n0", "n1", "n2", "copy"], "y", "key", max_iter=8, trees=10, depth=3)
     verdicts = {r["feature"]: r["status"] for r in found.collect()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkfeat.functions.nulls import clean, column
 from sparkfeat.operators.ranking import GROUP_LIMIT, running_total
-from sparkfeat.sources.staging import stage
+from sparkfeat.sources.staging import stage, staged
 
 
 def exact_auc(df: DataFrame, label: str, score: str, by: str | None = None,
@@ -19,18 +19,27 @@ def exact_auc(df: DataFrame, label: str, score: str, by: str | None = None,
     is ordered; the negatives below each score are a running total over those. NULL when a
     class is absent.
     """
+    result = _auc(stage(_tally(df, label, score, by)), by, out, group_limit, slices)
+    return result.withColumnRenamed("__by", by) if by else result
+
+
+def _tally(df: DataFrame, label: str, score: str, by: str | None) -> DataFrame:
+    """Positives and negatives per distinct score."""
     rows = df.select(*([column(by).alias("__by")] if by else []),
                      clean(df, score).alias("__score"), clean(df, label).cast("double").alias("__label"))
     rows = rows.where(F.col("__score").isNotNull() & F.col("__label").isNotNull())
+    return rows.groupBy(*(["__by"] if by else []), "__score").agg(
+        F.count_if(F.col("__label") > 0).alias("pos"), F.count_if(F.col("__label") <= 0).alias("neg"))
+
+
+def _auc(tally: DataFrame, by: str | None, out: str, group_limit: int = GROUP_LIMIT,
+         slices: int | None = None) -> DataFrame:
     groups = ["__by"] if by else []
-    tally = stage(rows.groupBy(*groups, "__score").agg(
-        F.count_if(F.col("__label") > 0).alias("pos"), F.count_if(F.col("__label") <= 0).alias("neg")))
     ordered = running_total(tally, F.col("neg"), ["__score"], by=groups, out="below",
                             group_limit=group_limit, slices=slices)
     wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / F.lit(2.0)))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    result = ordered.groupBy(*groups).agg(F.try_divide(wins, pairs).alias(out))
-    return result.withColumnRenamed("__by", by) if by else result
+    return ordered.groupBy(*groups).agg(F.try_divide(wins, pairs).alias(out))
 
 
 def neg_rmse(df: DataFrame, label: str, prediction: str, out: str = "neg_rmse") -> DataFrame:
@@ -47,7 +56,9 @@ def metric_row(metric: DataFrame, name: str, higher_is_better: bool = True) -> D
 
 
 def auc_metric(df: DataFrame, label: str = "label", prediction: str = "prediction") -> float:
-    return exact_auc(df, label, prediction).first()["auc"]
+    """The AUC as a number, for a search; nothing stays behind in the staging folder."""
+    with staged(_tally(df, label, prediction, None)) as tally:
+        return _auc(tally, None, "auc").first()["auc"]
 
 
 def neg_rmse_metric(df: DataFrame, label: str = "label", prediction: str = "prediction") -> float:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sparkfeat.llm import bpe, decontaminate, exact_dedup, quality
+from sparkfeat.llm import bpe, decontaminate, exact_dedup, hmm, quality
 from sparkfeat.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -28,6 +28,16 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+@query("op1_hmm")
+def op1_hmm(spark, sf):
+    """The model's score of every document; a seventh is held out of training."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
+    scored = hmm.score(docs, hmm.fit(docs, ~held_out), ~held_out)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 @query("op3_quality")
 def op3_quality(spark, sf):
     """The score of every document; labels of the held-out fifth are not learned from."""

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.llm.common import parts_for
+from sparkfeat.llm.suffixes import suffix_array
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -55,31 +56,6 @@ class WaveletMatrix:
         return high - low
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix order by prefix doubling; only suffixes that still tie are sorted again."""
-    n = len(text)
-    order = np.argsort(text, kind="stable")
-    rank = np.empty(n, np.int64)
-    heads = np.r_[True, text[order][1:] != text[order][:-1]]
-    rank[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
-    step = 1
-    while step < n:
-        sizes = np.diff(np.append(np.flatnonzero(heads), n))
-        tied = np.flatnonzero(np.repeat(sizes > 1, sizes))
-        if not len(tied):
-            break
-        at = order[tied]
-        later = np.where(at + step < n, rank[np.minimum(at + step, n - 1)], -1)
-        again = np.lexsort((later, rank[at]))
-        order[tied] = at[again]
-        group, later = rank[at][again], later[again]
-        fresh = np.r_[True, (group[1:] != group[:-1]) | (later[1:] != later[:-1])]
-        heads[tied] = fresh
-        rank[order[tied]] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
-        step *= 2
-    return order
-
-
 class FmIndex:
     """Backward search over a sequence of numbers from 1; the index ends it with a 0 of its own."""
 

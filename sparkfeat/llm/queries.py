@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sparkfeat.llm import bpe, decontaminate, exact_dedup, hmm, quality
+from sparkfeat.llm import bpe, decontaminate, exact_dedup, hmm, quality, repeats
 from sparkfeat.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -70,3 +70,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 def op7_exact_dedup(spark, sf):
     """All documents as the first batch of a new index."""
     return exact_dedup.deduplicate(table(spark, sf, "documents", "doc_id", "text"), f"op7_index_{uuid.uuid4().hex}")
+
+
+@query("op10_repeats")
+def op10_repeats(spark, sf):
+    """Passages of 50 bytes and more that an earlier document has."""
+    return repeats.remove_repeats(table(spark, sf, "documents", "doc_id", "text")).drop("spans")

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfeat.llm import bpe, decontaminate, exact_dedup, quality
+from sparkfeat.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
 from sparkfeat.llm.queries import vocabulary_path
 from sparkfeat.sources.staging import stage
 
@@ -32,6 +32,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(verdict.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the row with the smallest doc_id stays."""
+    verdict = near_dedup.near_duplicates(docs)
+    return docs.join(verdict.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+
+
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
@@ -44,7 +50,8 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, vocabulary_path())
 
 
-STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("benchmark", benchmark_stage), ("tokens", token_stage)]
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage),
+          ("near_dedup", near_stage), ("benchmark", benchmark_stage), ("tokens", token_stage)]
 
 #: The classifier and the tokenizer have no SQL; the tests hold run() against a plain version.
 ORACLE_SQL = None

@@ -25,3 +25,20 @@ def parts_for(frame: DataFrame, text: str, bytes_each: int) -> int:
     """How many parts of about ``bytes_each`` bytes of text the frame makes, at least 1."""
     total = frame.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     return max(1, math.ceil(total / bytes_each))
+
+
+#: Groups of over 1/HOT_SHARE of the rows: there are at most HOT_SHARE of them, so that a
+#: broadcast of them is bounded whatever the number of rows.
+HOT_SHARE = 256
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of staged rows with what is known of their group (one row for each ``key``).
+
+    The few groups with a large share of the rows are broadcast, so that their rows stay where
+    they are; the others meet in a sort-merge join.
+    """
+    total = rows.count()
+    hot = F.broadcast(groups.where(F.col(size) * HOT_SHARE > total).orderBy(F.desc(size)).limit(HOT_SHARE))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.hint("merge"), key)
+    return rows.join(hot, key).unionByName(rest)

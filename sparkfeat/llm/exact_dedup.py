@@ -12,12 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import lower_ascii
+from sparkfeat.llm.common import join_groups, lower_ascii
 from sparkfeat.sources.staging import stage
 
-#: Groups of over 1/HOT_SHARE of a batch: there are at most HOT_SHARE of them, so that a
-#: broadcast of them is bounded whatever the size of the batch.
-HOT_SHARE = 256
 _SCHEMA = "digest binary, keep_id bigint, keep_row bigint, group_size bigint, batch string"
 
 
@@ -59,11 +56,7 @@ def deduplicate(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: s
         buckets, "digest").sortBy("digest").saveAsTable(index)
 
     known = spark.table(index)
-    total = rows.count()
-    hot = F.broadcast(known.where(F.col("group_size") * HOT_SHARE > total).orderBy(F.desc("group_size")).limit(HOT_SHARE))
-    in_hot = rows.join(hot, "digest")
-    in_rest = rows.join(hot.select("digest"), "digest", "left_anti").join(known.hint("merge"), "digest")
-    return in_hot.unionByName(in_rest).select(
+    return join_groups(rows, known, "digest", "group_size").select(
         F.col("id").alias(id_col), "keep_id", "group_size",
         ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

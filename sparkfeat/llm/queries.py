@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sparkfeat.llm import bpe, decontaminate, exact_dedup, hmm, quality, repeats
+from sparkfeat.llm import bpe, decontaminate, exact_dedup, hmm, near_dedup, quality, repeats
 from sparkfeat.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -72,6 +72,12 @@ def op7_exact_dedup(spark, sf):
     return exact_dedup.deduplicate(table(spark, sf, "documents", "doc_id", "text"), f"op7_index_{uuid.uuid4().hex}")
 
 
+@query("op8_near_dedup")
+def op8_near_dedup(spark, sf):
+    """Near-duplicate classes of all documents."""
+    return near_dedup.near_duplicates(table(spark, sf, "documents", "doc_id", "text"))
+
+
 @query("op10_repeats")
 def op10_repeats(spark, sf):
     """Passages of 50 bytes and more that an earlier document has."""

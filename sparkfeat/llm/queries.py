@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sparkfeat.llm import bpe, decontaminate, exact_dedup, hmm, near_dedup, quality, repeats
+from sparkfeat.llm import bpe, decontaminate, exact_dedup, hmm, html, licenses, line_dedup, near_dedup, quality, repeats
 from sparkfeat.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -38,6 +38,12 @@ def op1_hmm(spark, sf):
                          "base_score", "score")
 
 
+@query("op2_licenses")
+def op2_licenses(spark, sf):
+    """Licence notices and texts in every document."""
+    return licenses.scan(table(spark, sf, "documents", "doc_id", "text"))
+
+
 @query("op3_quality")
 def op3_quality(spark, sf):
     """The score of every document; labels of the held-out fifth are not learned from."""
@@ -55,6 +61,12 @@ def op4_bpe(spark, sf):
     return bpe.encode(table(spark, sf, "documents", "doc_id", "text"), vocabulary_path())
 
 
+@query("op5_html")
+def op5_html(spark, sf):
+    """The main text of every page."""
+    return html.extract(table(spark, sf, "pages", "page_id", "url", "html"))
+
+
 @query("op6_decontaminate")
 def op6_decontaminate(spark, sf):
     """Benchmark windows in every document."""
@@ -78,6 +90,12 @@ def op8_near_dedup(spark, sf):
     return near_dedup.near_duplicates(table(spark, sf, "documents", "doc_id", "text"))
 
 
+@query("op9_lines")
+def op9_lines(spark, sf):
+    """Blocks of lines that an earlier document has."""
+    return line_dedup.dedup_lines(table(spark, sf, "documents", "doc_id", "text"))
+
+
 @query("op10_repeats")
 def op10_repeats(spark, sf):
     """Passages of 50 bytes and more that an earlier document has."""

@@ -71,7 +71,7 @@ class Template:
                 begin = None
 
     def match(self, lines: list[list[bytes]]) -> list[tuple[float, int, int]]:
-        """``(coverage, first word, end word)`` of each window that covers enough of the template."""
+        """``(coverage, first word, end word)`` of windows that cover enough of the template; of overlapping ones the best."""
         starts = [0]
         for line in lines:
             starts.append(starts[-1] + len(line))
@@ -85,7 +85,11 @@ class Template:
             pairs = align(words, self.words)
             if len(pairs) >= COVERAGE * len(self.words):
                 out.append((len(pairs) / len(self.words), starts[begin] + pairs[0][0], starts[begin] + pairs[-1][0] + 1))
-        return out
+        chosen: list[tuple[float, int, int]] = []
+        for found in sorted(out, key=lambda m: (-m[0], m[2] - m[1], m[1])):
+            if all(found[2] <= a or b <= found[1] for _, a, b in chosen):
+                chosen.append(found)
+        return sorted(chosen, key=lambda m: m[1])
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stage(source.mapInPandas(_sign, f"id {kind}, print binary, bands array<bigint>").withColumn(
         "row", F.monotonically_increasing_id()))
     rows = signed.select("id", "row", "print")
-    texts = stage(signed.groupBy("print").agg(F.min(F.struct("id", "row")).alias("least"), F.count("*").alias("copies"),
+    texts = stage(signed.groupBy("print").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"), F.count("*").alias("copies"),
                                               F.min_by("bands", "row").alias("bands")).select(
         "print", F.col("least.id").alias("id"), F.col("least.row").alias("text_no"), "copies", "bands"))
 

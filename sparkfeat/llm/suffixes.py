@@ -10,7 +10,8 @@ def suffix_array(first: np.ndarray, step: int = 1) -> np.ndarray:
 
     ``first`` holds for each position a number that orders its first ``step`` symbols. Each round
     doubles the length by which suffixes are ordered: it sorts only groups that still tie, by the
-    rank of the suffix ``step`` later.
+    rank of the suffix ``step`` later. What follows the end counts as larger than any symbol, in
+    ``first`` as well.
     """
     n = len(first)
     order = np.argsort(first, kind="stable")
@@ -26,9 +27,9 @@ def suffix_array(first: np.ndarray, step: int = 1) -> np.ndarray:
         if not len(tied):
             break
         at = order[tied]
-        later = np.zeros(len(at), np.int64)
+        later = np.full(len(at), n, np.int64)
         inside = at + step < n
-        later[inside] = rank[at[inside] + step] + 1
+        later[inside] = rank[at[inside] + step]
         key = rank[at] << 32 | later
         again = np.argsort(key)
         at, key = at[again], key[again]
@@ -59,6 +60,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begins: np.ndarray, end
         lane = np.flatnonzero(lengths > j)
         at = begins[lane] + j
         other = before[at]
+        size[lane[other < 0]] = 0
         lane, at, other = lane[other >= 0], at[other >= 0], other[other >= 0]
         size[lane] = np.maximum(size[lane] - 1, 0)
         going = np.arange(len(lane))

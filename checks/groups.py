@@ -57,18 +57,33 @@ def _sql_aggregate(name: str, how: str) -> str:
     }[how]
 
 
-# Written out apart from the library's own spec, so that one checks the other.
-_M5 = "sum mean max min std"
-_PROFILE = [("category_1", "sum mean"), *[(n, "mean sum") for n, _ in _LEVELS], ("state_id", "nunique"),
-            ("city_id", "nunique"), ("purchase_amount", _M5), ("installments", _M5),
-            ("month", "mean max min std nunique"), ("purchase_date", "min max"),
-            ("month_lag", "nunique mean max min std"), ("month_diff", "mean max min std"), ("weekend", "sum mean"),
-            ("merchant_group_id", "nunique"), ("category_4", "sum mean"), ("merchant_profit3", _M5),
-            ("merchant_profit6", _M5), ("merchant_profit12", _M5), ("active_months_lag3", _M5),
-            ("active_months_lag6", _M5), ("active_months_lag12", _M5),
-            *[(c, "nunique") for c in DISTINCT_COLS],
-            *[(f"category_{i}_mean", "mean max min std") for i in (1, 2, 3, 4)]]
-_OUTPUTS = [(f"{c}_{how}", c, how) for c, hows in _PROFILE for how in hows.split()]
+# The statistics of each column, written out apart from the library's own spec, so
+# that one checks the other.
+_M5 = ["sum", "mean", "max", "min", "std"]
+_PROFILE = [
+    ("category_1", ["sum", "mean"]),
+    *[(n, ["mean", "sum"]) for n, _ in _LEVELS],
+    ("state_id", ["nunique"]),
+    ("city_id", ["nunique"]),
+    ("purchase_amount", _M5),
+    ("installments", _M5),
+    ("month", ["mean", "max", "min", "std", "nunique"]),
+    ("purchase_date", ["min", "max"]),
+    ("month_lag", ["nunique", "mean", "max", "min", "std"]),
+    ("month_diff", ["mean", "max", "min", "std"]),
+    ("weekend", ["sum", "mean"]),
+    ("merchant_group_id", ["nunique"]),
+    ("category_4", ["sum", "mean"]),
+    ("merchant_profit3", _M5),
+    ("merchant_profit6", _M5),
+    ("merchant_profit12", _M5),
+    ("active_months_lag3", _M5),
+    ("active_months_lag6", _M5),
+    ("active_months_lag12", _M5),
+    *[(c, ["nunique"]) for c in DISTINCT_COLS],
+    *[(f"category_{i}_mean", ["mean", "max", "min", "std"]) for i in (1, 2, 3, 4)],
+]
+_OUTPUTS = [(f"{c}_{how}", c, how) for c, hows in _PROFILE for how in hows]
 PROFILE_SQL = f"""
 SELECT card_id, CAST(count(*) AS BIGINT) AS transactions_count,
  {', '.join(f'{_sql_aggregate(c, how)} AS "{out}"' for out, c, how in _OUTPUTS)}
@@ -185,13 +200,25 @@ def successive_aggregate(spark, sf):
     return rounded(ops.successive_aggregate(txn(spark, sf), "card_id", "merchant_id", "purchase_amount"))
 
 
-_PAIRS = ["category_1 purchase_amount", "category_2 purchase_amount", "category_3 purchase_amount",
-          "installments purchase_amount", "city_id purchase_amount", "category_1 installments",
-          "category_2 installments", "category_3 installments", "category_2 merchant_profit3",
-          "category_2 merchant_profit6", "category_2 merchant_profit12", "category_4 merchant_profit3",
-          "category_4 merchant_profit6", "category_4 merchant_profit12"]
-_SUCCESSIVE_JOIN = "(" + _successive_sql(*_PAIRS[0].split()) + ") s0" + "".join(
-    f" LEFT JOIN ({_successive_sql(*p.split())}) s{i} USING (card_id)" for i, p in enumerate(_PAIRS) if i)
+# The pairs, written out apart from the library's.
+_PAIRS = [
+    ("category_1", "purchase_amount"),
+    ("category_2", "purchase_amount"),
+    ("category_3", "purchase_amount"),
+    ("installments", "purchase_amount"),
+    ("city_id", "purchase_amount"),
+    ("category_1", "installments"),
+    ("category_2", "installments"),
+    ("category_3", "installments"),
+    ("category_2", "merchant_profit3"),
+    ("category_2", "merchant_profit6"),
+    ("category_2", "merchant_profit12"),
+    ("category_4", "merchant_profit3"),
+    ("category_4", "merchant_profit6"),
+    ("category_4", "merchant_profit12"),
+]
+_SUCCESSIVE_JOIN = "(" + _successive_sql(*_PAIRS[0]) + ") s0" + "".join(
+    f" LEFT JOIN ({_successive_sql(*p)}) s{i} USING (card_id)" for i, p in enumerate(_PAIRS) if i)
 SUCCESSIVE_SQL = f"WITH t AS ({TXN_SQL}) SELECT * FROM {_SUCCESSIVE_JOIN}"
 
 
@@ -284,23 +311,24 @@ def factorize(spark, sf):
     return ops.factorize(txn(spark, sf), "category_3", "txn_id").select("txn_id", "category_3_code")
 
 
-def _rare_sql(relation: str, col: str, key: str, threshold: int) -> str:
+def _rare_sql(relation: str, col: str, key: str, share: int) -> str:
     return f"""
 WITH l AS (SELECT {key} AS k, coalesce(CAST({col} AS VARCHAR), 'nan') AS v FROM {relation}),
-c AS (SELECT v, CASE WHEN count(*) < {threshold} THEN 'others' ELSE v END AS b, min(k) AS m FROM l GROUP BY v),
+c AS (SELECT v, CASE WHEN count(*) < (SELECT count(*) // {share} FROM l) THEN 'others' ELSE v END AS b, min(k) AS m FROM l GROUP BY v),
 g AS (SELECT b, row_number() OVER (ORDER BY min(m), b) - 1 AS code FROM c GROUP BY b)
 SELECT k AS {key}, CAST(code AS INT) AS {col}_code FROM l JOIN c USING (v) JOIN g USING (b)"""
 
 
-@check("bucket_rare", _rare_sql("events", "props", "event_id", 100))
+@check("bucket_rare", _rare_sql("events", "props", "event_id", 100))  # a hundredth of the rows
 def bucket_rare(spark, sf):
-    return ops.bucket_rare(table(spark, sf, "events"), "props", 100, "event_id").select("event_id", "props_code")
+    events = table(spark, sf, "events")
+    return ops.bucket_rare(events, "props", events.count() // 100, "event_id").select("event_id", "props_code")
 
 
-@check("bucket_rare_null_level", _rare_sql(f"({TXN_SQL})", "installments", "txn_id", 2000))
+@check("bucket_rare_null_level", _rare_sql(f"({TXN_SQL})", "installments", "txn_id", 7))
 def bucket_rare_null_level(spark, sf):
     rows = txn(spark, sf).select("txn_id", "installments")
-    return ops.bucket_rare(rows, "installments", 2000, "txn_id").select("txn_id", "installments_code")
+    return ops.bucket_rare(rows, "installments", rows.count() // 7, "txn_id").select("txn_id", "installments_code")
 
 
 # Documents of the fixtures' last source are treated as never labelled, so that a category
@@ -359,7 +387,7 @@ SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_partkey % 3
 @check("machine_features", f"""
 WITH t AS ({_MACHINES.format(part='part')}),
 c AS (SELECT suite, count(*) AS n, min(p_partkey) AS m FROM t GROUP BY suite),
-g AS (SELECT CASE WHEN n < 31 THEN 'others' ELSE suite END AS kept, min(m) AS m FROM c GROUP BY 1),
+g AS (SELECT CASE WHEN n < (SELECT count(*) * 31 // 2000 FROM t) THEN 'others' ELSE suite END AS kept, min(m) AS m FROM c GROUP BY 1),
 code AS (SELECT kept, CAST(row_number() OVER (ORDER BY m, kept) - 1 AS INT) AS code FROM g),
 v AS (SELECT p_partkey, string_split(version, '.') AS s FROM t),
 w AS (SELECT max(length(s[1])) AS m1, max(length(s[2])) AS m2, max(length(s[3])) AS m3 FROM v),
@@ -372,11 +400,11 @@ SELECT t.p_partkey, detected,
  {r("coalesce(size, (SELECT quantile_cont(CAST(size AS DOUBLE), 0.5) FROM t))")} AS size, code AS suite,
  {r("CAST(" + " || ".join(f"lpad(s[{i}], greatest(length(s[{i}]), m{i} - length(s[{i}]))::INT, '0')" for i in (1, 2, 3)) + " AS DOUBLE)")} AS version,
  {r("coalesce(b.m, (SELECT avg(m) FROM b))")} AS brand
-FROM t JOIN c USING (suite) JOIN code ON kept = CASE WHEN n < 31 THEN 'others' ELSE suite END
+FROM t JOIN c USING (suite) JOIN code ON kept = CASE WHEN n < (SELECT count(*) * 31 // 2000 FROM t) THEN 'others' ELSE suite END
  JOIN v ON v.p_partkey = t.p_partkey CROSS JOIN w LEFT JOIN b ON b.brand = t.brand""")
 def machine_features(spark, sf):
     machines = spark.sql(_MACHINES, part=table(spark, sf, "part"))
     return rounded(plans.machine_features(
         machines, "p_partkey", "detected", branch_cols=["branch"], sku_cols=["sku"], battery_cols=["battery"],
-        mean_cols=["price"], median_cols=["size"], rare_thresholds={"suite": 31}, version_cols=["version"],
+        mean_cols=["price"], median_cols=["size"], rare_thresholds={"suite": machines.count() * 31 // 2000}, version_cols=["version"],
         target_cols=["brand"]))

@@ -5,6 +5,8 @@ Where a result is random or fitted, the query returns what must hold for every o
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.views import (
@@ -13,6 +15,7 @@ from checks.views import (
 from sparkfeat import operators as ops
 from sparkfeat import plans
 from sparkfeat.functions import column
+from sparkfeat.sources import read_table, stage, staging_root
 
 QUERIES, ORACLES = {}, {}
 
@@ -65,23 +68,43 @@ def augment(spark, sf):
     return _marginals(ops.augment(vectors(spark, sf), VECTOR_FEATURES, "y", "vec_id", times=3), "y")
 
 
-@check("stratified_folds", """
-WITH c AS (SELECT label AS l, count(*) AS n FROM embeddings GROUP BY label),
-f AS (SELECT l, n, unnest([0, 1, 2, 3, 4]) AS fold FROM c)
-SELECT l AS label, CAST(fold AS INT) AS fold, CAST((n * (fold + 1)) // 5 - (n * fold) // 5 AS BIGINT) AS n FROM f""")
+def _fold_sizes(folded, label: str, k: int):
+    """How many folds of a label have how many rows: which ones is up to the label's hash."""
+    sizes = folded.where(F.col("fold").between(0, k - 1)).groupBy(label, "fold").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy(label, "n").agg(F.count(F.lit(1)).alias("folds"))
+
+
+def _fold_sizes_sql(relation: str, label: str, k: int) -> str:
+    return f"""
+WITH c AS (SELECT {label} AS l, count(*) AS n FROM {relation} GROUP BY 1),
+f AS (SELECT l, (n * (j + 1)) // {k} - (n * j) // {k} AS n FROM (SELECT l, n, unnest(range({k})) AS j FROM c))
+SELECT l AS {label}, CAST(n AS BIGINT) AS n, count(*) AS folds FROM f WHERE n > 0 GROUP BY l, n"""
+
+
+@check("stratified_folds", _fold_sizes_sql("embeddings", "label", 5))
 def stratified_folds(spark, sf):
     folded = ops.stratified_folds(table(spark, sf, "embeddings").select("vec_id", "label"), "label", "vec_id")
-    return folded.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return _fold_sizes(folded, "label", 5)
+
+
+@check("stratified_folds_small_labels", _fold_sizes_sql("(SELECT *, o_orderkey // (1 + o_orderkey % 4) AS small FROM orders)", "small", 5)
+       .replace("SELECT l AS small, CAST(n AS BIGINT) AS n, count(*) AS folds FROM f WHERE n > 0 GROUP BY l, n",
+                "SELECT CAST(n AS BIGINT) AS n, count(*) AS folds, CAST(5 AS BIGINT) AS even FROM f WHERE n > 0 GROUP BY n"))
+def stratified_folds_small_labels(spark, sf):
+    """Labels of very few rows: each within one row of even, and all folds together within a tenth."""
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderkey DIV (1 + o_orderkey % 4) AS small")
+    folded = stage(ops.stratified_folds(orders, "small", "o_orderkey"))
+    rows = folded.count()
+    even = folded.groupBy("fold").agg(F.count("*").alias("n")).where(F.abs(F.col("n") * 5 / rows - 1) < 0.1).count()
+    sizes = _fold_sizes(folded, "small", 5).groupBy("n").agg(F.sum("folds").alias("folds"))
+    return sizes.withColumn("even", F.lit(even).cast("bigint"))
 
 
-@check("stratified_folds_orders", """
-WITH c AS (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY o_orderstatus),
-f AS (SELECT s, n, unnest([0, 1, 2]) AS fold FROM c)
-SELECT s AS o_orderstatus, CAST(fold AS INT) AS fold, CAST((n * (fold + 1)) // 3 - (n * fold) // 3 AS BIGINT) AS n FROM f""")
+@check("stratified_folds_orders", _fold_sizes_sql("orders", "o_orderstatus", 3))
 def stratified_folds_orders(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     folded = ops.stratified_folds(orders, "o_orderstatus", "o_orderkey", k=3)
-    return folded.groupBy("o_orderstatus", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return _fold_sizes(folded, "o_orderstatus", 3)
 
 
 def _auc_sql(relation: str, label: str, score: str, by: str | None = None) -> str:
@@ -146,22 +169,65 @@ def oof_predictions(spark, sf):
         F.count_if(F.col("prediction").between(0.0, 1.0)).alias("in_range"), F.count_if(right).alias("right_side"))
 
 
-@check("random_search", """
-SELECT CAST(3 AS BIGINT) AS trials, CAST(1 AS BIGINT) AS best, CAST(3 AS BIGINT) AS scored, TRUE AS best_is_top
-FROM (SELECT count(*) FROM embeddings)""")
-def random_search(spark, sf):
-    space = {"maxDepth": (2, 4), "stepSize": (0.05, 1.0), "minInstancesPerNode": (5, 30), "subsamplingRate": (0.5, 1.0)}
-    found = plans.random_search(vectors(spark, sf), VECTOR_FEATURES, "y", "vec_id", space=space, n_trials=3,
-                                folds=2, fixed={"maxIter": 3}, parallelism=2)
-    return found.agg(
+_SEARCH_ORACLE = """
+SELECT CAST({trials} AS BIGINT) AS trials, CAST(1 AS BIGINT) AS best, TRUE AS planted_found, TRUE AS noise_clear, TRUE AS whole_space
+FROM (SELECT count(*) FROM embeddings)"""
+
+
+def _searched(planted, noise, trials: int, found, clear):
+    """The best trial of a search with a copy of the label, and all of one on hashes alone."""
+    space = set(plans.SEARCH_SPACE)
+    keys = F.forall(F.json_object_keys("params"), lambda k: k.isin(*space, "maxIter")) & (
+        F.size(F.json_object_keys("params")) == len(space) + 1)
+    worst = noise.agg(F.max("score")).first()[0]
+    return planted.agg(
         F.count(F.lit(1)).alias("trials"), F.count_if("is_best").alias("best"),
-        F.count_if(F.col("score").between(0.0, 1.0)).alias("scored"),
-        (F.max(F.when(F.col("is_best"), F.col("score"))) == F.max("score")).alias("best_is_top"))
+        F.max(F.col("is_best") & found(F.col("score"))).alias("planted_found"),
+        F.lit(bool(clear(worst))).alias("noise_clear"), F.min(keys).alias("whole_space"))
+
+
+def _noise(df, names):
+    return df.withColumns({c: F.pmod(F.xxhash64("vec_id", F.lit(c)), F.lit(1000)).cast("double") for c in names})
+
+
+@check("random_search", _SEARCH_ORACLE.format(trials=4))
+def random_search(spark, sf):
+    """On the shipped space. A copy of the label is found (the score is exactly 1), noise finds nothing."""
+    options = {"folds": 2, "fixed": {"maxIter": 3}, "parallelism": 2}
+    features = [*VECTOR_FEATURES, "planted"]
+    planted = plans.random_search(_planted(spark, sf), features, "y", "vec_id", n_trials=4, **options)
+    noise = plans.random_search(_noise(vectors(spark, sf), ["a", "b"]), ["a", "b"], "y", "vec_id", n_trials=2, **options)
+    return _searched(planted, noise, 4, lambda s: s == 1.0, lambda worst: worst < 0.8)
+
+
+@check("random_search_regression", _SEARCH_ORACLE.format(trials=4))
+def random_search_regression(spark, sf):
+    """A continuous label, folds stratified by a class apart from it."""
+    options = {"folds": 2, "fixed": {"maxIter": 3}, "parallelism": 2, "task": "regression", "stratify_by": "y"}
+    rows = vectors(spark, sf).withColumn("target", F.col("e0") + F.col("y") * 100.0)
+    planted = plans.random_search(rows.withColumn("planted", F.col("target")), ["planted", "e1"], "target", "vec_id", n_trials=4, **options)
+    noise = plans.random_search(_noise(rows, ["a", "b"]), ["a", "b"], "target", "vec_id", n_trials=2, **options)
+    return _searched(planted, noise, 4, lambda s: s > -25.0, lambda worst: worst < -40.0)
 
 
-@check("boruta_select", "SELECT 9 AS features, 'confirmed' AS planted FROM (SELECT count(*) FROM embeddings)")
+@check("boruta_select", """
+SELECT * FROM (VALUES ('element', 64, TRUE), ('noise', 1, TRUE), ('planted', 1, TRUE)) t(kind, features, as_expected)
+WHERE (SELECT count(*) FROM embeddings) > 0""")
 def boruta_select(spark, sf):
-    found = plans.boruta_select(_planted(spark, sf), [*VECTOR_FEATURES, "planted"], "y", "vec_id",
-                                max_iter=8, trees=20, depth=4)
-    return found.agg(F.count(F.lit(1)).cast("int").alias("features"),
-                     F.max(F.when(F.col("feature") == "planted", F.col("status"))).alias("planted"))
+    """Enough rounds to confirm among 66 features: a copy of the label is, a hash never."""
+    rows = _noise(_planted(spark, sf), ["noise"])
+    found = plans.boruta_select(rows, [*VECTOR_FEATURES, "planted", "noise"], "y", "vec_id", max_iter=12, trees=20, depth=4)
+    kind = F.when(F.col("feature").isin("planted", "noise"), F.col("feature")).otherwise("element")
+    good = (F.when(F.col("feature") == "planted", F.col("status") == "confirmed")
+            .when(F.col("feature") == "noise", F.col("status") != "confirmed").otherwise(F.lit(True)))
+    return found.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).cast("int").alias("features"), F.min(good).alias("as_expected"))
+
+
+@check("keep_confirmed", f"SELECT vec_id, {r('e3')} AS e3, y FROM ({VECTORS_SQL})")
+def keep_confirmed(spark, sf):
+    """Only confirmed columns are written and read back."""
+    verdicts = spark.createDataFrame([(c, 12, "confirmed" if c == "e3" else "rejected" if i % 2 else "tentative")
+                                      for i, c in enumerate(VECTOR_FEATURES)], "feature string, hits int, status string")
+    path = f"{staging_root(spark)}/{uuid.uuid4().hex}.parquet"
+    plans.keep_confirmed(vectors(spark, sf), verdicts, keep=["vec_id", "y"], path=path)
+    return rounded(read_table(spark, path))

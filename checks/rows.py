@@ -99,7 +99,7 @@ def _int_type(low: str, high: str) -> str:
 SELECT p_partkey, p_size, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS p_retailprice,
  p_name, p_brand, p_type FROM part""")
 def narrow_types(spark, sf):
-    narrowed = ops.narrow_types(table(spark, sf, "part"))
+    narrowed = ops.narrow_types(table(spark, sf, "part"), float_columns="all")
     widest = {"p_partkey": "bigint", "p_size": "int", "p_retailprice": "double"}
     return narrowed.withColumns({c: F.col(c).cast(t) for c, t in widest.items()})
 
@@ -123,7 +123,7 @@ d AS (SELECT "column", old_type, new_type, n, CASE old_type WHEN 'int' THEN 4 EL
 SELECT "column", old_type, new_type, CAST(n * w AS BIGINT) AS old_bytes, CAST(n * v AS BIGINT) AS new_bytes,
  CAST(100.0 * (w - v) / w AS DOUBLE) AS saved_pct FROM d""")
 def narrowing_report(spark, sf):
-    return ops.narrowing_report(table(spark, sf, "lineitem"))
+    return ops.narrowing_report(table(spark, sf, "lineitem"), float_columns="all")
 
 
 @check("time_features", f"""
@@ -202,12 +202,12 @@ def global_quantiles(spark, sf):
     return rounded(rows.select("l_orderkey", "l_linenumber", "quan_1", "quan_2", "quan_3", "quan_4"))
 
 
-# The eight embedding elements of a vector with a table-wide quantile next to its row statistics.
-_E8 = [f"e{i}" for i in range(8)]
+# All embedding elements of a vector: table-wide quantiles next to its row statistics.
+_E = [f"e{i}" for i in range(64)]
 
 
 @check("row_features", f"""
-WITH t AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 c AS (SELECT unnest(v) AS x FROM t),
 q AS (SELECT quantile_cont(x, 0.01) AS q1, quantile_cont(x, 0.05) AS q2, quantile_cont(x, 0.95) AS q3,
  quantile_cont(x, 0.99) AS q4 FROM c)
@@ -216,7 +216,7 @@ SELECT vec_id, {r("list_sum(v)")} AS sum, {r("list_min(v)")} AS min, {r("list_ma
  {r("list_aggregate(v, 'kurtosis')")} AS kurt, {r("list_aggregate(v, 'median')")} AS med,
  {r('q1')} AS quan_1, {r('q2')} AS quan_2, {r('q3')} AS quan_3, {r('q4')} AS quan_4 FROM t, q""")
 def row_features(spark, sf):
-    return rounded(plans.row_features(vectors(spark, sf).drop("y"), _E8).drop(*_E8))
+    return rounded(plans.row_features(vectors(spark, sf).drop("y"), _E).drop(*_E))
 
 
 @check("fill_mean", f"""
@@ -303,11 +303,55 @@ def segment_widths(spark, sf):
     return spark.createDataFrame([tuple(widths["version"])], "w0 int, w1 int, w2 int")
 
 
-@check("lookup_default", f"""
-WITH m AS (SELECT source, {r("avg(quality)")} AS q FROM ({LABELLED_SQL}) WHERE quality IS NOT NULL GROUP BY source HAVING count(*) > 17)
-SELECT doc_id, coalesce(q, -1.0) AS q FROM documents d LEFT JOIN m ON d.source = m.source""")
-def lookup_default(spark, sf):
+_LOOKUP = f"""
+WITH m AS (SELECT source, {r("avg(quality)")} AS q FROM ({LABELLED_SQL}) WHERE quality IS NOT NULL 
+ GROUP BY source HAVING count(*) * 400 > 17 * (SELECT count(*) FROM labels WHERE quality IS NOT NULL))
+SELECT doc_id, coalesce(q, -1.0) AS q FROM documents d LEFT JOIN m ON d.source = m.source"""
+
+
+def _source_means(spark, sf):
     labelled = labelled_documents(spark, sf).where("quality IS NOT NULL")
     groups = labelled.groupBy("source").agg(F.avg("quality").alias("q"), F.count("*").alias("n"))
-    mapping = stage(rounded(groups.where("n > 17").select("source", "q")))
-    return ops.lookup(table(spark, sf, "documents"), mapping, "source", "q", default=-1.0).select("doc_id", "q")
+    # Whatever the scale, some sources have too few labels for a mean.
+    enough = groups.where(F.col("n") * 400 > 17 * labelled.count())
+    return stage(rounded(enough.select("source", "q")))
+
+
+@check("lookup_default", _LOOKUP)
+def lookup_default(spark, sf):
+    return ops.lookup(table(spark, sf, "documents"), _source_means(spark, sf), "source", "q", default=-1.0).select("doc_id", "q")
+
+
+@check("lookup_large", _LOOKUP)
+def lookup_large(spark, sf):
+    """The same by the join for mappings that are too large to broadcast."""
+    return ops.lookup(table(spark, sf, "documents"), _source_means(spark, sf), "source", "q", default=-1.0,
+                      small=False).select("doc_id", "q")
+
+
+_AWKWARD = """
+SELECT doc_id, concat('  ', CASE WHEN doc_id % 3 = 0 THEN concat('say "', text, '", ', {char}(92), 'n back', {char}(92), ' ')
+ WHEN doc_id % 3 = 1 THEN concat(text, {char}(10), {char}(13), {char}(10), '"') ELSE concat(text, ' ') END) AS text,
+ lang, source, n_chars FROM {documents}"""
+
+
+@check("csv_roundtrip_text", _AWKWARD.format(char="chr", documents="documents"))
+def csv_roundtrip_text(spark, sf):
+    """Texts with quotes, line ends, outer blanks and backslashes come back as they were."""
+    query = _AWKWARD.replace("{char}", "char")
+    documents = spark.sql(query, documents=table(spark, sf, "documents"))
+    path = f"{staging_root(spark)}/{uuid.uuid4().hex}"
+    write_table(documents, path)
+    return read_table(spark, path, schema=documents.schema)
+
+
+@check("fill_quantile_wide", f"""
+WITH t AS (SELECT vec_id, unnest(range(64)) AS i, CASE WHEN (vec_id + unnest(range(64))) % 5 = 0 THEN NULL
+ ELSE CAST(unnest(embedding) AS DOUBLE) END AS x FROM embeddings),
+m AS (SELECT i, quantile_cont(x, 0.5) AS q FROM t GROUP BY i)
+SELECT vec_id, CAST(i AS INT) AS i, {r("coalesce(x, q)")} AS x FROM t JOIN m USING (i)""")
+def fill_quantile_wide(spark, sf):
+    gaps = {c: F.when((F.col("vec_id") + i) % 5 != 0, F.col(c)) for i, c in enumerate(_E)}
+    filled = ops.fill_quantile(vectors(spark, sf).withColumns(gaps), _E)
+    cells = filled.select("vec_id", F.posexplode(F.array(*_E)).alias("i", "x"))
+    return rounded(cells)

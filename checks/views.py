@@ -39,8 +39,9 @@ SELECT o_orderkey AS txn_id, o_custkey AS card_id, {date} AS purchase_date,
  s_suppkey AS merchant_id, s_nationkey AS merchant_group_id, c_mktsegment AS subsector_id,
  s_acctbal/3 AS merchant_profit3, s_acctbal/6 AS merchant_profit6, s_acctbal/12 AS merchant_profit12,
  1+s_suppkey%3 AS active_months_lag3, 1+s_suppkey%6 AS active_months_lag6, 1+s_suppkey%12 AS active_months_lag12
-FROM {orders} JOIN {customer} ON o_custkey=c_custkey JOIN {nation} ON c_nationkey=n_nationkey
-     JOIN {supplier} ON s_suppkey=o_orderkey%10
+FROM (SELECT *, o_orderkey % (SELECT count(*) FROM {supplier}) AS o_suppkey FROM {orders})
+     JOIN {customer} ON o_custkey=c_custkey JOIN {nation} ON c_nationkey=n_nationkey
+     JOIN {supplier} ON s_suppkey=o_suppkey
 """
 
 TXN_SQL = _TXN.format(date="o_orderdate + to_hours(CAST(o_orderkey%24 AS INT))", orders="orders",
@@ -74,16 +75,16 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
 LABELLED_SQL = ("SELECT d.doc_id, d.source, d.lang, d.n_chars, l.quality "
                 "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 
-VECTOR_FEATURES = [f"e{i}" for i in range(8)]
+VECTOR_FEATURES = [f"e{i}" for i in range(64)]
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Eight embedding elements as feature columns, and a two-class label ``y``."""
+    """All embedding elements as feature columns, and a two-class label ``y``."""
     elements = {name: F.col("embedding")[i].cast("double") for i, name in enumerate(VECTOR_FEATURES)}
     return (table(spark, folder, "embeddings").withColumns(elements)
             .select("vec_id", *VECTOR_FEATURES, (F.col("label") < 5).cast("int").alias("y")))
 
 
 VECTORS_SQL = ("SELECT vec_id, " + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8))
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64))
     + ", CASE WHEN label < 5 THEN 1 ELSE 0 END AS y FROM embeddings")

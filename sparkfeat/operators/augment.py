@@ -98,15 +98,17 @@ def shuffle_columns(df: DataFrame, cols: Sequence[str], key: str, seed: int = SE
 
 
 def with_shadows(df: DataFrame, cols: Sequence[str], key: str, keep: Sequence[str] = (),
-                 seed: int = SEED, prefix: str = "shadow_", buckets: int | None = None) -> DataFrame:
+                 seed: int = SEED, prefix: str = "shadow_", buckets: int | None = None, copies: int = 1) -> DataFrame:
     """The table with a permuted copy ``shadow_{col}`` next to each column.
 
     The real row travels as one more series of the same permutation, so no join by position
-    is needed.
+    is needed. ``copies`` gives that many independent permutations in one pass, told apart by the
+    column ``copy`` (from 1), which a single one does not have.
     """
     kept = list(dict.fromkeys([key, *keep, *cols]))
-    shuffled = _shuffled(df, cols, key, seed, F.array(F.lit(1)), carry=kept, buckets=buckets)
+    shuffled = _shuffled(df, cols, key, seed, F.sequence(F.lit(1), F.lit(copies)), carry=kept, buckets=buckets)
     return shuffled.select(
+        *([F.col("__copy").alias("copy")] if copies > 1 else []),
         *[column(f"__carried_{c}").alias(c) for c in kept],
         *[column(c).alias(f"{prefix}{c}") for c in cols])
 

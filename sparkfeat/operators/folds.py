@@ -17,7 +17,9 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = FOLDS, seed:
                      out: str = "fold", buckets: int | None = None) -> DataFrame:
     """Add a fold number 0..k-1; per label the fold sizes differ by at most one row.
 
-    Rows of a label are ordered by a hash of the (unique) key and cut into k runs. Only the
+    Rows of a label are ordered by a hash of the (unique) key and cut into k runs; the label's
+    hash says which run is fold 0, so that the odd rows of small labels (down to one row) spread
+    over all folds. Only the
     k - 1 cut points per label are computed: hash-range counts tell which range holds each
     cut, and just those ranges are sorted. The fold is then a comparison on each row, so the
     table itself is never shuffled, and the result does not depend on its partitioning.
@@ -50,7 +52,9 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = FOLDS, seed:
     own = F.struct(F.xxhash64(F.lit(seed), column(key)).alias("h"), column(key).alias("k"))
     joined = df.join(checked_broadcast(per_label), column(label).eqNullSafe(F.col("__cut_label")), "left")
     passed = F.filter("__cuts", lambda cut: cut <= own)
-    return joined.withColumn(out, F.coalesce(F.size(passed), F.lit(0))).drop("__cut_label", "__cuts")
+    run = F.coalesce(F.size(passed), F.lit(0))
+    turn = F.pmod(F.xxhash64(F.lit(seed), column(label)), F.lit(k))
+    return joined.withColumn(out, ((run + turn) % k).cast("int")).drop("__cut_label", "__cuts")
 
 
 def hashed_folds(df: DataFrame, key: str, k: int = FOLDS, seed: int = SEED,

@@ -12,7 +12,6 @@ from sparkfeat.functions.nulls import column
 from sparkfeat.sources.staging import BROADCAST_BYTES, measured_bytes
 
 _KEY = "__lookup_key"
-NULL_SPREAD = 1024
 _NOT_HASHABLE = (T.MapType, T.VariantType)
 
 
@@ -56,7 +55,9 @@ def lookup(df: DataFrame, mapping: DataFrame, key: str, values: dict[str, str] |
 def _spread_join(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
     """Left shuffle join in which NULL keys, all of one hash otherwise, take many partitions."""
     hashable = [column(f.name) for f in df.schema.fields if not isinstance(f.dataType, _NOT_HASHABLE)]
-    spread = F.when(column(key).isNull(), F.pmod(F.xxhash64(*hashable), F.lit(NULL_SPREAD))).otherwise(F.lit(0))
+    # The join hashes the spread number again: more numbers than partitions fill them evenly.
+    numbers = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.when(column(key).isNull(), F.pmod(F.xxhash64(*hashable), F.lit(numbers))).otherwise(F.lit(0))
     # Always 0, but not a literal: a constant would be folded out of the join keys.
     none = F.pmod(F.xxhash64(F.col(_KEY)), F.lit(1))
     left = df.withColumn("__spread", spread.cast("long"))

@@ -57,11 +57,11 @@ def _choose(df: DataFrame, float_columns) -> tuple[dict[str, T.DataType], int]:
     return chosen, row["rows"]
 
 
-def narrow_types(df: DataFrame, float_columns: Iterable[str] | str = "all") -> DataFrame:
+def narrow_types(df: DataFrame, float_columns: Iterable[str] | str = ()) -> DataFrame:
     """Cast each numeric column to the narrowest type strictly containing its min and max.
 
-    Floats are checked for range only, so digits beyond a 4-byte float are lost; name the
-    columns where that is fine in ``float_columns``, or pass ``()`` to leave floats alone.
+    Floats stay as they are, since a smaller type checked for range only loses digits; name the
+    columns where that is fine in ``float_columns``, or ``"all"``.
     """
     chosen, _ = _choose(df, float_columns)
     changed = {
@@ -70,7 +70,7 @@ def narrow_types(df: DataFrame, float_columns: Iterable[str] | str = "all") -> D
     return df.withColumns(changed) if changed else df
 
 
-def narrowing_report(df: DataFrame, float_columns: Iterable[str] | str = "all") -> DataFrame:
+def narrowing_report(df: DataFrame, float_columns: Iterable[str] | str = ()) -> DataFrame:
     """Bytes per numeric column before and after :func:`narrow_types`, and the share saved."""
     chosen, rows = _choose(df, float_columns)
     lines = []

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkfeat.functions.nulls import clean, column
 from sparkfeat.sources.staging import stage
 
-# Columns whose values are bounded by what they mean: their exact distinct count is the
-# number of bits set in one 64-bit mask, an aggregate of constant size.
+# A GROUPING SETS clause takes at most 64 columns; wider lists go in several passes.
+SETS_AT_ONCE = 50
+
+# The ranges of calendar columns that ``time_features`` makes. Their exact distinct count is
+# the number of bits set in one 64-bit mask, an aggregate of constant size.
 CALENDAR_DOMAINS = {
     "month": (1, 12),
     "weekofyear": (1, 53),
@@ -36,6 +41,19 @@ def aggregate(value: Column, how: str) -> Column:
     return _SIMPLE[how](value)
 
 
+def by_each(rows: DataFrame, names: Sequence[str], *exprs: Column, key: str | None = None) -> DataFrame:
+    """Aggregate by each of ``names`` (and ``key``) apart; in a set the other names are NULL.
+
+    One pass, and one shuffle, for every ``SETS_AT_ONCE`` names.
+    """
+    fixed = [] if key is None else [column(key)]
+    passes = []
+    for begin in range(0, len(names), SETS_AT_ONCE):
+        own = [column(n) for n in names[begin:begin + SETS_AT_ONCE]]
+        passes.append(rows.groupingSets([[*fixed, n] for n in own], *fixed, *own).agg(*exprs))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), passes)
+
+
 def _bitmask_distinct(value: Column, low: int, high: int) -> Column:
     if high - low > 62:
         raise ValueError("a bit-mask distinct count covers at most 63 values")
@@ -56,19 +74,19 @@ def distinct_profile(df: DataFrame, key: str, cols: Sequence[str], approximate:
     """
     rows = df.where(column(key).isNotNull())
     if approximate:
-        return rows.groupBy(key).agg(*[
+        return rows.groupBy(column(key)).agg(*[
             F.approx_count_distinct(clean(rows, c)).alias(f"{c}_{suffix}") for c in cols])
     slim = rows.select(column(key), *[clean(rows, c).alias(f"__d{i}") for i, c in enumerate(cols)])
     names = [f"__d{i}" for i in range(len(cols))]
-    pairs = slim.groupingSets([[key, n] for n in names], key, *names).agg(F.grouping_id().alias("__set"))
+    pairs = by_each(slim, names, F.grouping_id().alias("__set"), key=key)
     # Within the set of one column all the others are NULL, so count() sees only its values.
-    return pairs.groupBy(key).agg(*[
+    return pairs.groupBy(column(key)).agg(*[
         F.count(n).alias(f"{c}_{suffix}") for n, c in zip(names, cols)])
 
 
 def entity_profile(df: DataFrame, key: str, spec: Mapping[str, Sequence[str]],
                    count_name: str | None = "transactions_count",
-                   domains: Mapping[str, tuple[int, int]] = CALENDAR_DOMAINS,
+                   domains: Mapping[str, tuple[int, int]] | None = None,
                    approximate: bool = False, distinct_from: DataFrame | None = None) -> DataFrame:
     """Aggregate ``{column: [sum, mean, max, min, std, count, nunique]}`` by ``key``.
 
@@ -76,8 +94,13 @@ def entity_profile(df: DataFrame, key: str, spec: Mapping[str, Sequence[str]],
     Distinct counts of columns without a small declared domain are computed apart, on narrow
     rows, and joined on the key: inside one wide aggregate Spark would carry every other
     aggregate's buffer along with each distinct value. ``distinct_from`` may name the same rows
-    before lookups that only the other aggregates need.
+    before lookups that only the other aggregates need. ``domains`` declares the ranges of whole
+    numbers for which a bit mask counts distinct values inside the wide aggregate.
     """
+    domains = domains or {}
+    for name in domains:
+        if name in spec and not isinstance(df.schema[name].dataType, T.IntegralType):
+            raise ValueError(f"column {name!r} with a declared range must hold whole numbers")
     rows = df.where(column(key).isNotNull())
     exprs, order, wide_distinct = [], [], []
     if count_name:
@@ -98,11 +121,11 @@ def entity_profile(df: DataFrame, key: str, spec: Mapping[str, Sequence[str]],
             else:
                 wide_distinct.append(name)
     if not wide_distinct:
-        result = rows.groupBy(key).agg(*exprs)
+        result = rows.groupBy(column(key)).agg(*exprs)
     else:
         source = rows if distinct_from is None else distinct_from
         distinct = distinct_profile(source, key, wide_distinct, approximate)
-        result = rows.groupBy(key).agg(*exprs).join(distinct, key, "left") if exprs else distinct
+        result = rows.groupBy(column(key)).agg(*exprs).join(distinct, key, "left") if exprs else distinct
     return result.select(column(key), *[column(name) for name in order])
 
 
@@ -114,10 +137,10 @@ def two_level_profile(df: DataFrame, key: str, sub_key: str, measures: Sequence[
     shuffle as one row per sub key and map task.
     """
     rows = df.where(column(key).isNotNull() & column(sub_key).isNotNull())
-    first = rows.groupBy(key, sub_key).agg(*[
+    first = rows.groupBy(column(key), column(sub_key)).agg(*[
         aggregate(clean(rows, m), how).alias(f"{m}_{how}") for m in measures for how in inner])
     names = [f"{m}_{how}" for m in measures for how in inner]
-    return first.groupBy(key).agg(*[
+    return first.groupBy(column(key)).agg(*[
         aggregate(column(n), how).alias(f"{n}_{how}") for n in names for how in outer])
 
 
@@ -128,8 +151,8 @@ def successive_aggregate(df: DataFrame, key: str, field1: str, field2: str) -> D
     """Mean of ``field2`` per (key, field1), then mean, min, max and std of those per key."""
     rows = df.where(column(key).isNotNull()).select(
         column(key), clean(df, field1).alias("__f1"), clean(df, field2).alias("__f2"))
-    means = rows.where(F.col("__f1").isNotNull()).groupBy(key, "__f1").agg(F.avg("__f2").alias("__mean"))
-    return means.groupBy(key).agg(*[
+    means = rows.where(F.col("__f1").isNotNull()).groupBy(column(key), "__f1").agg(F.avg("__f2").alias("__mean"))
+    return means.groupBy(column(key)).agg(*[
         aggregate(F.col("__mean"), how).alias(f"{field1}_{field2}_{how}")
         for how in SUCCESSIVE_STATISTICS])
 
@@ -148,8 +171,7 @@ def successive_features(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]
         column(key),
         *[clean(df, f1).alias(g) for f1, g in group.items()],
         *[clean(df, f2).alias(m) for f2, m in measure.items()])
-    means = rows.groupingSets([[key, g] for g in group.values()], key, *group.values()).agg(
-        *[F.avg(m).alias(f"{m}_mean") for m in measure.values()])
+    means = by_each(rows, list(group.values()), *[F.avg(m).alias(f"{m}_mean") for m in measure.values()], key=key)
     # Catalyst moves this below the first aggregation: rows without the set's field stop there.
     means = means.where(_any_filled(list(group.values())))
     # A set's own column is NULL in every other set, and where the field itself is missing.
@@ -158,7 +180,7 @@ def successive_features(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]
         .alias(f"{f1}_{f2}_{how}")
         for f1, f2 in pairs for how in SUCCESSIVE_STATISTICS
     ]
-    result = means.groupBy(key).agg(F.count(column(group[pairs[0][0]])).alias("__base"), *exprs)
+    result = means.groupBy(column(key)).agg(F.count(column(group[pairs[0][0]])).alias("__base"), *exprs)
     return result.where(F.col("__base") > 0).drop("__base")
 
 
@@ -182,7 +204,7 @@ def smoothed_group_mean(df: DataFrame, key: str, value: str,
     sums; the prior comes from that table.
     """
     rows = df.select(column(key).alias(key), clean(df, value).cast("double").alias("__v"))
-    sums = stage(rows.groupBy(key).agg(
+    sums = stage(rows.groupBy(column(key)).agg(
         F.sum("__v").alias("__sum"), F.count("__v").alias("__filled"), F.count(F.lit(1)).alias("__n")))
     prior = sums.agg(F.try_divide(F.sum("__sum"), F.sum("__filled")).alias("prior")).scalar()
     groups = sums.where(column(key).isNotNull()).withColumn(
@@ -196,7 +218,7 @@ def smoothed_group_mean(df: DataFrame, key: str, value: str,
 
 
 def grouped_means(df: DataFrame, cats: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Means of ``values`` per level of each category column, all in one pass.
+    """Means of ``values`` per level of each category column.
 
     One row per category column and level; the level sits in its own column ``level_{cat}``
     and the other level columns are NULL.
@@ -204,14 +226,13 @@ def grouped_means(df: DataFrame, cats: Sequence[str], values: Sequence[str]) ->
     rows = df.select(*[clean(df, c).alias(f"level_{c}") for c in cats],
                      *[clean(df, v).alias(f"__v{i}") for i, v in enumerate(values)])
     levels = [f"level_{c}" for c in cats]
-    sets = [[column(n)] for n in levels]
-    means = rows.groupingSets(sets, *[column(n) for n in levels]).agg(
-        *[F.avg(f"__v{i}").alias(f"mean_{v}") for i, v in enumerate(values)])
+    means = by_each(rows, levels, *[F.avg(f"__v{i}").alias(f"mean_{v}") for i, v in enumerate(values)])
     return means.where(_any_filled(levels))
 
 
 def _any_filled(names: Sequence[str]) -> Column:
-    condition = column(names[0]).isNotNull()
-    for name in names[1:]:
-        condition = condition | column(name).isNotNull()
-    return condition
+    """Whether any of the columns holds a value; a balanced tree keeps the plan shallow."""
+    if len(names) == 1:
+        return column(names[0]).isNotNull()
+    half = len(names) // 2
+    return _any_filled(names[:half]) | _any_filled(names[half:])

@@ -64,7 +64,13 @@ def map_values(df: DataFrame, cols: Sequence[str], mapping: Mapping) -> DataFram
 
 def replace_values(df: DataFrame, cols: Sequence[str], mapping: Mapping) -> DataFrame:
     """Replace exact whole-cell values; everything else stays."""
-    return df.replace(dict(mapping), subset=list(cols))
+    def replaced(name: str) -> Column:
+        result = column(name)
+        for source, target in mapping.items():
+            hit = column(name).isNull() if source is None else column(name) == F.lit(source)
+            result = F.when(hit, F.lit(target)).otherwise(result)
+        return result.cast(df.schema[name].dataType)
+    return df.withColumns({name: replaced(name) for name in cols})
 
 
 def patch_value(df: DataFrame, key_col: str, key, col: str, value) -> DataFrame:

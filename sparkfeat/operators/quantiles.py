@@ -32,22 +32,24 @@ def _merge(intervals: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return merged
 
 
-def _region(value: Column, intervals: Sequence[tuple[float, float]]) -> Column:
-    """Odd numbers inside the brackets, even numbers below, between and above them."""
-    region = F.lit(2 * len(intervals))
-    for i, (low, high) in reversed(list(enumerate(intervals))):
-        region = F.when(value < F.lit(low), F.lit(2 * i)).when(
-            value <= F.lit(high), F.lit(2 * i + 1)).otherwise(region)
-    return region
-
-
 def _bracketed(cells: DataFrame, intervals: dict[int, list]) -> DataFrame:
-    """Count the cells per column and region, by value inside brackets and in total outside."""
+    """Count the cells per column and region, by value inside brackets and in total outside.
+
+    Regions are odd inside the brackets and even below, between and above them: a value passes a
+    low end by reaching it and a high end by exceeding it. The brackets are a table of one row
+    for each column, so that the plan does not grow with them.
+    """
     value = F.col("value")
-    region = F.lit(None).cast("int")
-    for i, found in intervals.items():
-        region = F.when(F.col("series") == i, _region(value, found)).otherwise(region)
-    marked = cells.withColumn("region", region)
+    most = max(len(found) for found in intervals.values())
+    lines = [(i, *[edge for bracket in found for edge in bracket], *[None] * (2 * (most - len(found))))
+             for i, found in intervals.items()]
+    ends = ", ".join(f"low{k} double, high{k} double" for k in range(most))
+    brackets = cells.sparkSession.createDataFrame(lines, f"series int, {ends}")
+    region = F.lit(0)
+    for k in range(most):
+        for passed in (value >= F.col(f"low{k}"), value > F.col(f"high{k}")):
+            region = region + F.coalesce(passed, F.lit(False)).cast("int")
+    marked = cells.join(F.broadcast(brackets), "series").withColumn("region", region)
     kept = F.when(F.col("region") % 2 == 1, value)
     return marked.groupBy("series", "region", kept.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -118,7 +120,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 def _select_ranks(cells: DataFrame, intervals: dict[int, list], ranks: dict[int, list[int]],
                   values: dict, group_limit: int) -> list[int]:
     """Find the values at the given 0-based ranks; return the series whose bracket missed one."""
-    marked = _bracketed(cells.where(F.col("series").isin(list(intervals))), intervals)
+    marked = _bracketed(cells, intervals)
     with staged(marked) as counts:
         return _from_counts(counts, intervals, ranks, values, group_limit)
 
@@ -150,15 +152,10 @@ def _from_counts(counts: DataFrame, intervals: dict[int, list], ranks: dict[int,
     ordered = running_total(inside, F.col("n"), ["value"], by=["series", "region"],
                             group_limit=group_limit,
                             largest=max(row["distinct"] for row in found_regions))
-    targets = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(region).alias("r"), F.lit(rank).cast("long").alias("k"),
-                 F.lit(whole).cast("long").alias("whole"))
-        for i, region, rank, whole in wanted])
-    hits = F.filter(targets, lambda t: (
-        (t["i"] == F.col("series")) & (t["r"] == F.col("region"))
-        & (t["k"] >= F.col("before")) & (t["k"] < F.col("before") + F.col("n"))))
-    chosen = ordered.select("series", "value", F.explode(hits).alias("hit"))
-    for row in chosen.select("series", "value", "hit.whole").collect():
+    targets = counts.sparkSession.createDataFrame(wanted, "series int, region int, rank bigint, whole bigint")
+    hit = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+    chosen = ordered.join(F.broadcast(targets), ["series", "region"]).where(hit)
+    for row in chosen.select("series", "value", "whole").collect():
         values[row["series"], row["whole"]] = row["value"]
     return missed
 

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.nulls import clean
+from sparkfeat.functions.nulls import clean, column
 from sparkfeat.operators.group_means import mean_encode, with_group_mean
 from sparkfeat.operators.lag import lag_ratio
 from sparkfeat.operators.lookups import left_join_all
-from sparkfeat.operators.profile import aggregate, entity_profile, successive_features, two_level_profile
+from sparkfeat.operators.profile import (
+    CALENDAR_DOMAINS, aggregate, entity_profile, successive_features, two_level_profile,
+)
 from sparkfeat.operators.project import cast_columns, map_values, month_diff, one_hot, time_features
 from sparkfeat.operators.ratios import ratio_features, recency_features
 from sparkfeat.sources.staging import stage
 
-# Which statistics each transaction column contributes.
+# Which statistics each column of a transaction contributes; merchant columns by
+# name or by the start of their name, any other by MOMENTS.
 MOMENTS = ["sum", "mean", "max", "min", "std"]
 BASE_SPEC = {
     "category_1": ["sum", "mean"],
@@ -41,18 +44,25 @@ BASE_SPEC = {
     "month_diff": ["mean", "max", "min", "std"],
     "weekend": ["sum", "mean"],
 }
+MERCHANT_SPEC = {"merchant_group_id": ["nunique"], "category_4": ["sum", "mean"]}
+MERCHANT_PREFIX_SPEC = {"most_recent": ["sum", "mean"]}
+CATEGORY_MEAN_STATISTICS = ["mean", "max", "min", "std"]
+# Columns that are only counted, the categories and their levels.
 DISTINCT_COLUMNS = ("hour", "weekofyear", "dayofweek", "year", "subsector_id", "merchant_id",
                     "merchant_category_id")
 CATEGORIES = ("category_1", "category_2", "category_3", "category_4")
 CATEGORY_2_LEVELS = (1.0, 2.0, 3.0, 4.0, 5.0)
 CATEGORY_3_LEVELS = ("A", "B", "C")
 FLAG_VALUES = {"Y": 1, "N": 0}
+# The monthly statistics.
 MONTHLY_STATISTICS = ("count", "sum", "mean", "min", "max", "std")
-# Merchant columns that may hold infinities and are kept as 4-byte floats.
+# Merchant columns that may hold infinities and are kept as 4-byte floats.
 FLOAT_COLUMNS = ("numerical_1", "numerical_2", "active_months_lag12", "avg_sales_lag12",
                  "avg_purchases_lag12", "merchant_profit3", "merchant_profit6", "merchant_profit12")
+# The card features that are mixed, and with what.
 MIXED_FEATURES = ("feature_1", "feature_2", "feature_3")
 MIXES = ("outliers", "hist_purchase_amount_mean")
+# Pairs of successive aggregates.
 SUCCESSIVE_PAIRS = (
     ("category_1", "purchase_amount"),
     ("category_2", "purchase_amount"),
@@ -71,20 +81,20 @@ SUCCESSIVE_PAIRS = (
 )
 
 
-def profile_spec(merchant_cols: Sequence[str] = (),
-                 distinct_cols: Sequence[str] = DISTINCT_COLUMNS) -> dict[str, list[str]]:
-    """The aggregate spec of a card: base columns, merchant columns by rule, distinct counts."""
-    spec = {name: list(how) for name, how in BASE_SPEC.items()}
-    for name in merchant_cols:
-        if name == "merchant_group_id":
-            spec[name] = ["nunique"]
-        elif name == "category_4" or name.startswith("most_recent"):
-            spec[name] = ["sum", "mean"]
-        else:
-            spec[name] = list(MOMENTS)
-    spec.update({name: ["nunique"] for name in distinct_cols})
-    spec.update({f"{name}_mean": ["mean", "max", "min", "std"] for name in CATEGORIES})
-    return spec
+def statistics_of(name: str, by_name: Mapping[str, Sequence[str]], by_prefix: Mapping[str, Sequence[str]],
+                  default: Sequence[str]) -> list[str]:
+    """The statistics a table of rules gives a column: by name, else by prefix, else the default."""
+    prefixed = (how for prefix, how in by_prefix.items() if name.startswith(prefix))
+    return list(by_name.get(name) or next(prefixed, default))
+
+
+def profile_spec(merchant_cols: Sequence[str] = (), distinct_cols: Sequence[str] = DISTINCT_COLUMNS,
+                 base: Mapping[str, Sequence[str]] | None = None) -> dict[str, list[str]]:
+    """The aggregate spec of a card: ``base`` columns, merchant columns by rule, distinct counts."""
+    merchants = {c: statistics_of(c, MERCHANT_SPEC, MERCHANT_PREFIX_SPEC, MOMENTS) for c in merchant_cols}
+    counted = dict.fromkeys(distinct_cols, ["nunique"])
+    means = dict.fromkeys((f"{c}_mean" for c in CATEGORIES), CATEGORY_MEAN_STATISTICS)
+    return {c: list(how) for c, how in {**(base or BASE_SPEC), **merchants, **counted, **means}.items()}
 
 
 def transaction_rows(transactions: DataFrame, as_of: str,
@@ -97,11 +107,16 @@ def transaction_rows(transactions: DataFrame, as_of: str,
 
 
 def card_profile(rows: DataFrame, merchant_cols: Sequence[str], as_of: str,
-                 distinct_cols: Sequence[str] = DISTINCT_COLUMNS) -> DataFrame:
-    """The aggregated card with its recency and ratio columns."""
+                 distinct_cols: Sequence[str] = DISTINCT_COLUMNS, stage_rows: bool = False) -> DataFrame:
+    """The aggregated card with its recency and ratio columns.
+
+    The rows are read three times; ``stage_rows`` writes them once if joins made them.
+    """
+    if stage_rows:
+        rows = stage(rows)
     with_means = with_group_mean(rows, CATEGORIES, "purchase_amount")
     profile = entity_profile(with_means, "card_id", profile_spec(merchant_cols, distinct_cols),
-                             distinct_from=rows)
+                             domains=CALENDAR_DOMAINS, distinct_from=rows)
     return ratio_features(recency_features(profile, as_of))
 
 
@@ -138,17 +153,19 @@ def mix_features(train: DataFrame, test: DataFrame, features: Sequence[str] = MI
 def card_features(transactions: DataFrame, merchant_cols: Sequence[str], as_of: str,
                   flags: Sequence[str] = ("authorized_flag", "category_1"),
                   distinct_cols: Sequence[str] = DISTINCT_COLUMNS,
-                  stage_rows: bool = False) -> DataFrame:
+                  stage_rows: bool = False, prefix: str = "") -> DataFrame:
     """Everything per card: profile, monthly statistics and successive aggregates.
 
     The rows are read five times, each time only the columns in use. If ``transactions`` is
     itself the result of joins rather than a stored table, ``stage_rows`` writes the prepared
-    rows once so that those joins do not run five times.
+    rows once so that those joins do not run five times. ``prefix`` goes before every column but
+    ``card_id``, to join the profiles of several transaction tables to one card table.
     """
     rows = transaction_rows(transactions, as_of, flags)
     if stage_rows:
         rows = stage(rows)
-    return left_join_all(
+    features = left_join_all(
         card_profile(rows, merchant_cols, as_of, distinct_cols),
         [monthly_profile(rows), successive_features(rows, "card_id", SUCCESSIVE_PAIRS)],
         "card_id")
+    return features.select("card_id", *[column(c).alias(f"{prefix}{c}") for c in features.columns if c != "card_id"])

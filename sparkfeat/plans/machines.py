@@ -36,8 +36,12 @@ def machine_features(df: DataFrame, key: str, label: str, branch_cols: Sequence[
 
     ``label`` is NULL on unlabelled rows, which are encoded from the labelled ones. Every fit
     aggregates the cleaned table itself, not the half-encoded one with its joins; all
-    applications share a single pass with map-side lookups.
+    applications share a single pass with map-side lookups. A column may be target-encoded or have
+    its rare levels merged, not both.
     """
+    twice = sorted(set(target_cols) & {*(rare_thresholds or {}), *version_cols, *mean_cols, *median_cols})
+    if twice:
+        raise ValueError(f"columns {twice} are treated before they would be target-encoded")
     cleaned = df.withColumns({
         **{c: first_parts(column(c), BRANCH_DELIMITER, BRANCH_PARTS) for c in branch_cols},
         **{c: sku_family(column(c)) for c in sku_cols},

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import random
 import time
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkfeat.functions.nulls import clean, column
 from sparkfeat.operators.evaluate import auc_metric, neg_rmse_metric
-from sparkfeat.operators.folds import FOLDS, SEED, stratified_folds
+from sparkfeat.operators.folds import FOLDS, SEED, hashed_folds, stratified_folds
 from sparkfeat.sources.staging import stage, staged
 
 # Trees here need a number in every cell; missing ones go far outside the usual range, where
@@ -118,24 +119,30 @@ def _as_params(point: Mapping) -> dict:
 
 def random_search(df: DataFrame, features: Sequence[str], label: str, key: str,
                   fold_col: str | None = None, space: Mapping[str, tuple] = SEARCH_SPACE,
-                  n_trials: int = 20, timeout: float = TIME_LIMIT, task: str = "binary",
+                  n_trials: int | None = None, timeout: float = TIME_LIMIT, task: str = "binary",
                   metric: Callable[[DataFrame], float] | None = None, maximize: bool = True,
                   folds: int = FOLDS, seed: int = SEED, fixed: Mapping | None = None,
-                  parallelism: int = 1) -> DataFrame:
+                  parallelism: int = 1, stratify_by: str | None = None) -> DataFrame:
     """Seeded draws from ``space``, each scored once on its out-of-fold predictions.
 
     Output: one row per finished trial (trial, params as JSON, score, is_best). The score is
     the exact AUC, or minus the RMSE for a regression, unless ``metric`` gives another
-    function of the frame (key, label, prediction). No trial starts after ``timeout`` seconds.
+    function of the frame (key, label, prediction). No trial starts after ``timeout`` seconds;
+    ``n_trials`` bounds their number as well. Without ``fold_col`` the folds are stratified by
+    ``stratify_by``, which may be a class apart from a continuous label; without that by the label of
+    a binary task, and for a regression they are plain hash folds.
     """
     if fold_col is None:
         fold_col = "fold"
-        df = stratified_folds(df, label, key, folds, seed, fold_col)
+        strata = stratify_by or (label if task == "binary" else None)
+        labelled = df.where(column(label).isNotNull())
+        df = (hashed_folds(labelled, key, folds, seed, fold_col) if strata is None
+              else stratified_folds(labelled, strata, key, folds, seed, fold_col))
     score_of = metric or (auc_metric if task == "binary" else neg_rmse_metric)
     generator = random.Random(seed)
     started, trials = time.monotonic(), []
     with staged(_prepared(df, features, label, fold_col, key), partition_by=["__fold"]) as rows:
-        for number in range(n_trials):
+        for number in itertools.count() if n_trials is None else range(n_trials):
             if number and time.monotonic() - started > timeout:
                 break
             params = {**(fixed or {}), **draw(space, generator)}

@@ -49,47 +49,60 @@ def _importances(rows: DataFrame, inputs: Sequence[str], task: str, trees: int,
     return dict(zip(inputs, fitted.featureImportances.toArray()))
 
 
-def _one_round(rows: DataFrame, real: Sequence[str], task: str, trees: int, depth: int,
-               seed: int) -> set[str]:
-    """Columns more important than the best of their shuffled shadows."""
+def _shadowed(rows: DataFrame, real: Sequence[str], copies: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """The real columns and shuffled shadows, ``copies`` permutations from one pass; the shadows' names."""
     # A very short list gets further shadows so that the best of them means something.
     shadowed = (list(real) * _FEWEST_SHADOWS)[:max(len(real), _FEWEST_SHADOWS)]
-    copies = {f"s{i}": name for i, name in enumerate(shadowed)}
-    wide = rows.select("__key", "__label", *real, *[F.col(n).alias(s) for s, n in copies.items()])
-    mixed = with_shadows(wide, list(copies), "__key", keep=["__label", *real], seed=seed)
-    shadows = [f"shadow_{s}" for s in copies]
-    # The forest reads its input several times: shuffle once, read the files.
-    with staged(mixed) as table:
-        found = _importances(table, [*real, *shadows], task, trees, depth, seed)
+    names = {f"s{i}": name for i, name in enumerate(shadowed)}
+    wide = rows.select("__key", "__label", *real, *[F.col(n).alias(s) for s, n in names.items()])
+    mixed = with_shadows(wide, list(names), "__key", keep=["__label", *real], seed=seed, copies=copies)
+    return mixed.withColumn("__copy", F.col("copy") if copies > 1 else F.lit(1)), [f"shadow_{s}" for s in names]
+
+
+def _hits(table: DataFrame, real: Sequence[str], shadows: Sequence[str], task: str, trees: int, depth: int,
+          seed: int) -> set[str]:
+    """Columns more important than the best of the shadows."""
+    found = _importances(table, [*real, *shadows], task, trees, depth, seed)
     best_shadow = max(found[s] for s in shadows)
     return {name for name in real if found[name] > best_shadow}
 
 
 def boruta_select(df: DataFrame, features: Sequence[str], label: str, key: str, max_iter: int = 100,
                   alpha: float = 0.05, seed: int = 0, trees: int = 100, depth: int = 5,
-                  task: str = "binary") -> DataFrame:
+                  task: str = "binary", rounds_at_once: int = 4) -> DataFrame:
     """One row (feature, hits, status) per feature.
 
-    Each round shuffles a shadow of every feature still in play, fits a forest on both and
-    counts a hit for features more important than the best shadow. Rejected features leave
-    the table; the rounds end when no feature is undecided.
+    Each round has shuffled shadows of the features still in play, fits a forest on both and
+    counts a hit for features more important than the best shadow. The shadows of
+    ``rounds_at_once`` rounds come from one shuffling pass and are written once. Rejected features
+    leave the table with the next pass; the rounds end when no feature is undecided.
     """
     names = {c: f"f{i}" for i, c in enumerate(features)}
     numbers = df.where(column(label).isNotNull()).select(
         column(key).alias("__key"), column(label).cast("double").alias("__label"),
         *[F.coalesce(clean(df, c).cast("double"), F.lit(MISSING)).alias(n) for c, n in names.items()])
     hits, status = dict.fromkeys(features, 0), dict.fromkeys(features, TENTATIVE)
+    def undecided() -> bool:
+        return any(verdict == TENTATIVE for verdict in status.values())
+
+    run = 0
     with staged(numbers) as rows:
-        for run in range(1, max_iter + 1):
-            active = [c for c in features if status[c] != REJECTED]
-            if all(status[c] == CONFIRMED for c in active):
-                break
-            hit = _one_round(rows, [names[c] for c in active], task, trees, depth, seed + run)
-            for c in active:
-                hits[c] += names[c] in hit
-            for c in active:
-                if status[c] == TENTATIVE:
-                    status[c] = decide(hits[c], run, len(features), alpha)
+        while run < max_iter and undecided():
+            real = [c for c in features if status[c] != REJECTED]
+            copies = min(rounds_at_once, max_iter - run)
+            mixed, shadows = _shadowed(rows, [names[c] for c in real], copies, seed + run + 1)
+            # The forest reads its input several times: shuffle once, read the files of one copy.
+            with staged(mixed, partition_by=["__copy"]) as table:
+                for copy in range(1, copies + 1):
+                    run += 1
+                    hit = _hits(table.where(F.col("__copy") == copy), [names[c] for c in real], shadows, task, trees,
+                                depth, seed + run)
+                    for c in real:
+                        hits[c] += names[c] in hit
+                        if status[c] == TENTATIVE:
+                            status[c] = decide(hits[c], run, len(features), alpha)
+                    if not undecided():
+                        break
     lines = [(c, int(hits[c]), status[c]) for c in features]
     return df.sparkSession.createDataFrame(lines, "feature string, hits int, status string")
 

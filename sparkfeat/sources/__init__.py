@@ -1,4 +1,5 @@
-from sparkfeat.sources.staging import checked_broadcast, clear_staging, stage, staged, staging_root
+from sparkfeat.sources.staging import checked_broadcast, clear_staging, stage, staged, staging_root, staging_scope
 from sparkfeat.sources.tables import read_table, write_table
 
-__all__ = ["checked_broadcast", "clear_staging", "read_table", "stage", "staged", "staging_root", "write_table"]
+__all__ = ["checked_broadcast", "clear_staging", "read_table", "stage", "staged", "staging_root", "staging_scope",
+           "write_table"]

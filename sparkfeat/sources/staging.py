@@ -7,10 +7,12 @@ so a lost executor costs a re-read and never a different answer.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,23 +20,26 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 _ROW_OVERHEAD = 32
+_LOCAL_ROOTS: dict[str, str] = {}
+_OPEN: ContextVar[list[str] | None] = ContextVar("open staging scope", default=None)
 
 
 def staging_root(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir``, per application.
 
-    Only a local session, where driver and executors share one machine, falls back to a
-    temporary folder.
+    Only a local session, where driver and executors are one process, falls back to a
+    temporary folder; the session's own checkpoint folder is left as it is. A ``file:`` folder
+    is taken as given: it may be a mount that all machines share, which only its owner knows.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="sparkfeat-")
-        context.setCheckpointDir(root)
+        root = _LOCAL_ROOTS.get(context.applicationId) or tempfile.mkdtemp(prefix="sparkfeat-")
+        _LOCAL_ROOTS[context.applicationId] = root
     return f"{root.rstrip('/')}/{context.applicationId}"
 
 
@@ -50,13 +55,40 @@ def _write(df: DataFrame, partition_by: Sequence[str]) -> tuple[DataFrame, str]:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system; PySpark reaches them only through its JVM gateway."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Compute ``df`` once into the staging folder and return a frame that reads it back."""
-    return _write(df, partition_by)[0]
+    """Compute ``df`` once into the staging folder and return a frame that reads it back.
+
+    The files stay until the surrounding :func:`staging_scope` ends, or :func:`clear_staging`.
+    """
+    frame, path = _write(df, partition_by)
+    scope = _OPEN.get()
+    if scope is not None:
+        scope.append(path)
+    return frame
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, all that operators staged inside the block.
+
+    Results must be consumed (written, collected) inside. A scope within a scope joins it.
+    """
+    if _OPEN.get() is not None:
+        yield
+        return
+    paths: list[str] = []
+    token = _OPEN.set(paths)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in paths:
+            _delete(spark, path)
 
 
 @contextmanager

@@ -10,16 +10,24 @@ def _format_of(path: str) -> str:
     return "parquet" if path.rstrip("/").endswith(".parquet") else "csv"
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+# Standard CSV: a quote in a quoted field is doubled, blanks around a field belong to it, and only
+# an unquoted empty field is missing.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None,
+               multi_line: bool = True) -> DataFrame:
     """Read a CSV table with a header row (or parquet, by extension); wildcards are allowed.
 
     Without ``schema`` the CSV types are inferred, which reads the text one extra time:
-    give a schema for large inputs.
+    give a schema for large inputs. A quoted field may hold line ends, so that a file is read by
+    one task: many part files keep that parallel. ``multi_line=False`` splits files, for text
+    known to have a line for each row.
     """
     if _format_of(path) == "parquet":
         reader = spark.read if schema is None else spark.read.schema(schema)
         return reader.parquet(path)
-    reader = spark.read.option("header", True)
+    reader = spark.read.options(**_CSV, multiLine=multi_line)
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
     return reader.csv(path)
 
@@ -30,4 +38,4 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     if _format_of(path) == "parquet":
         writer.parquet(path)
     else:
-        writer.option("header", True).csv(path)
+        writer.options(**_CSV).csv(path)

@@ -4,11 +4,11 @@ from sparkfeat.plans.cards import (
 )
 from sparkfeat.plans.machines import MACHINE_COLUMNS, machine_features
 from sparkfeat.plans.numeric import row_features
-from sparkfeat.plans.scoring import oof_predictions, random_search
+from sparkfeat.plans.scoring import SEARCH_SPACE, oof_predictions, random_search
 from sparkfeat.plans.selection import boruta_select, keep_confirmed
 
 __all__ = [
-    "MACHINE_COLUMNS", "boruta_select", "card_features", "card_profile", "float_columns",
+    "MACHINE_COLUMNS", "SEARCH_SPACE", "boruta_select", "card_features", "card_profile", "float_columns",
     "keep_confirmed", "machine_features", "mix_features", "monthly_profile", "monthly_purchases",
     "oof_predictions", "profile_spec", "purchase_ratio", "random_search", "row_features",
     "transaction_rows",

@@ -32,7 +32,8 @@ STATES = 8
 HEAD_WORDS = 1 << 16
 CLASSES = 1 << 14
 SEGMENT = 256
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
+COUNT_BYTES = 2_000_000
 WARM_TEXTS = 1500
 WARM_TEXT_BYTES = 100_000
 WARM_ROUNDS = 25
@@ -145,13 +146,13 @@ def _segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.minimum(SEGMENT, lengths[owner] - number * SEGMENT), number == 0
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
+def _blocks(texts: list[str | None], most: int = BLOCK_BYTES) -> Iterator[tuple[int, list[list[bytes]]]]:
     """Words of consecutive texts, some megabytes at a time, with the number of the first text."""
     begin, size, block = 0, 0, []
     for i, text in enumerate(texts):
         block.append(words_of(text))
         size += len(text or "")
-        if size >= BLOCK_BYTES or i == len(texts) - 1:
+        if size >= most or i == len(texts) - 1:
             yield begin, block
             begin, size, block = i + 1, 0, []
 
@@ -181,7 +182,7 @@ def _warm(states: int, head_words: int, rounds: int):
     """First parameters from a bounded sample, in one task."""
 
     def run(sample: pd.DataFrame) -> pd.DataFrame:
-        texts = [words_of(t) for t in sample["text"]]
+        texts = [words_of(t) for t in sorted(sample["text"].fillna(""))]
         common = Counter(w for words in texts for w in words)
         head = {w: i + 1 for i, (w, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:head_words])}
         size = 1 + len(head) + CLASSES
@@ -220,14 +221,18 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     """Train on the rows where ``training`` holds.
 
     The first parameters and the head vocabulary come from at most WARM_TEXTS training texts of up
-    to WARM_TEXT_BYTES, those of the smallest id hash. Each iteration then counts over all
+    to WARM_TEXT_BYTES, those of the smallest hash. Each iteration then counts over all
     training texts, in pieces of SEGMENT tokens that start from the state frequencies. Null and
     empty texts are just an end; without any training text the model knows no word.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                        F.coalesce(training, F.lit(False)).alias("training"))
-    sample = rows.where("training").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= WARM_TEXT_BYTES).orderBy(
-        F.xxhash64("id"), "id", F.xxhash64("text")).limit(WARM_TEXTS).select("text")
+    short = rows.where("training").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= WARM_TEXT_BYTES)
+    # Only hashes are ranked; the texts of the chosen rows are then picked where they lie.
+    mark = short.select(F.xxhash64("id", "text").alias("mark"))
+    chosen = mark.orderBy("mark").limit(WARM_TEXTS).distinct()
+    sample = short.withColumn("mark", F.xxhash64("id", "text")).join(F.broadcast(chosen), "mark").select(
+        "text").limit(2 * WARM_TEXTS)
     first = sample.groupBy().applyInPandas(_warm(states, head_words, WARM_ROUNDS), "model binary").first()
     if first is None:
         size = 1 + CLASSES
@@ -244,7 +249,7 @@ def _iterate(texts: DataFrame, model: Model) -> Model:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = Counts.zero(states, size)
         for batch in batches:
-            for _, texts in _blocks(batch["text"].tolist()):
+            for _, texts in _blocks(batch["text"].tolist(), COUNT_BYTES):
                 block = _Block(texts, model)
                 counts.add(model, block.symbols, *_segments(block.lengths))
         # Symbols from 0; the negative rows hold the starts and the transitions.

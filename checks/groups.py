@@ -10,6 +10,7 @@ from checks.views import (
 from sparkfeat import operators as ops
 from sparkfeat import plans
 from sparkfeat.plans import cards
+from sparkfeat.sources import stage
 
 QUERIES, ORACLES = {}, {}
 
@@ -227,6 +228,30 @@ def successive_features(spark, sf):
     return rounded(ops.successive_features(txn(spark, sf), "card_id", cards.SUCCESSIVE_PAIRS))
 
 
+_CARDS = """
+SELECT c_custkey AS card_id, c_nationkey % 5 AS feature_1, c_mktsegment AS feature_2, c_custkey % 2 AS feature_3,
+ CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS outliers FROM {customer}"""
+
+
+@check("card_mix", f"""
+WITH h AS (SELECT card_id, avg(purchase_amount) AS m, count(*) AS n FROM ({TXN_SQL}) GROUP BY card_id),
+c AS (SELECT c.*, h.m, h.n FROM ({_CARDS.format(customer='customer')}) c LEFT JOIN h USING (card_id)),
+t AS (SELECT * FROM c WHERE card_id % 4 <> 0)
+SELECT card_id, CAST(n AS BIGINT) AS hist_transactions_count, {r('m')} AS hist_purchase_amount_mean,
+ {', '.join(f'{r(f"(SELECT avg(outliers) FROM t WHERE t.feature_{i} = c.feature_{i})")} AS feature_{i}_outliers, '
+            f'{r(f"(SELECT avg(m) FROM t WHERE t.feature_{i} = c.feature_{i})")} AS feature_{i}_hist_purchase_amount_mean'
+            for i in (1, 2, 3))} FROM c""")
+def card_mix(spark, sf):
+    """From transactions over a prefixed profile, joined to the cards, to mixed features of train and test."""
+    history = cards.card_features(txn(spark, sf), MERCHANT_COLS, AS_OF, ["authorized_flag"], DISTINCT_COLS,
+                                  stage_rows=True, prefix="hist_")
+    wanted = history.select("card_id", "hist_transactions_count", "hist_purchase_amount_mean")
+    table_of_cards = stage(spark.sql(_CARDS, customer=table(spark, sf, "customer")).join(wanted, "card_id", "left"))
+    train, test = cards.mix_features(table_of_cards.where("card_id % 4 != 0"), table_of_cards.where("card_id % 4 = 0"))
+    features = [f"feature_{i}_{mix}" for i in (1, 2, 3) for mix in cards.MIXES]
+    return rounded(train.unionByName(test).select("card_id", "hist_transactions_count", "hist_purchase_amount_mean", *features))
+
+
 @check("card_features", f"""
 WITH t AS ({TXN_SQL}), p AS ({PROFILE_SQL}), m AS ({MONTHLY_PROFILE_SQL}), s AS (SELECT * FROM {_SUCCESSIVE_JOIN}),
 a AS (SELECT card_id, count(*) AS n, epoch(min(purchase_date)) AS lo, epoch(max(purchase_date)) AS hi,

@@ -29,8 +29,12 @@ def check(name: str, oracle: str | None = None):
     return register
 
 
-def _marginals(df, group: str):
-    parts = [F.count(F.lit(1)).alias("n")]
+def _marginals(df, originals, group: str):
+    """Marginals per group, and how many rows have all their cells from one original row."""
+    cells = F.xxhash64(*[column(c) for c in VECTOR_FEATURES])
+    known = originals.select(cells.alias("cells")).distinct().withColumn("known", F.lit(1))
+    df = df.withColumn("cells", cells).join(known, "cells", "left")
+    parts = [F.count(F.lit(1)).alias("n"), F.count("known").alias("unchanged")]
     for c in VECTOR_FEATURES:
         parts += [F.sum(c).alias(f"{c}_sum"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
     return rounded(df.groupBy(column(group)).agg(*parts))
@@ -42,10 +46,11 @@ _MARGINALS_SQL = "CAST(sum(w) AS BIGINT) AS n, " + ", ".join(
 
 
 @check("shuffle_columns", f"""
-SELECT CAST("copy" AS INT) AS "copy", {_MARGINALS_SQL} FROM (SELECT *, 1 AS w, unnest([1, 2]) AS "copy" FROM ({VECTORS_SQL}))
+SELECT CAST("copy" AS INT) AS "copy", CAST(0 AS BIGINT) AS unchanged, {_MARGINALS_SQL} FROM (SELECT *, 1 AS w, unnest([1, 2]) AS "copy" FROM ({VECTORS_SQL}))
 GROUP BY "copy" """)
 def shuffle_columns(spark, sf):
-    return _marginals(ops.shuffle_columns(vectors(spark, sf), VECTOR_FEATURES, "vec_id", copies=2), "copy")
+    rows = vectors(spark, sf)
+    return _marginals(ops.shuffle_columns(rows, VECTOR_FEATURES, "vec_id", copies=2), rows, "copy")
 
 
 _ORDER_CELLS = ["o_custkey", "o_totalprice", "o_orderpriority"]
@@ -63,9 +68,10 @@ def shuffle_columns_mixed_types(spark, sf):
 
 
 @check("augment", f"""
-SELECT y, {_MARGINALS_SQL} FROM (SELECT *, CASE WHEN y > 0 THEN 4 ELSE 2 END AS w FROM ({VECTORS_SQL})) GROUP BY y""")
+SELECT y, count(*) AS unchanged, {_MARGINALS_SQL} FROM (SELECT *, CASE WHEN y > 0 THEN 4 ELSE 2 END AS w FROM ({VECTORS_SQL})) GROUP BY y""")
 def augment(spark, sf):
-    return _marginals(ops.augment(vectors(spark, sf), VECTOR_FEATURES, "y", "vec_id", times=3), "y")
+    rows = vectors(spark, sf)
+    return _marginals(ops.augment(rows, VECTOR_FEATURES, "y", "vec_id", times=3), rows, "y")
 
 
 def _fold_sizes(folded, label: str, k: int):

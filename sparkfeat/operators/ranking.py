@@ -16,6 +16,7 @@ from sparkfeat.functions.nulls import column
 from sparkfeat.sources.staging import checked_broadcast, stage
 
 GROUP_LIMIT = 1_000_000
+RANGE_ROWS = 1_000_000
 _SLICE = "__slice"
 
 
@@ -80,8 +81,13 @@ def hash_bucket(hashed: Column, buckets: int) -> Column:
 
 
 def bucket_count(df: DataFrame) -> int:
-    """How many hash ranges to cut a group into: four per configured shuffle partition."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """How many hash ranges to cut a group into.
+
+    Four per configured shuffle partition, and enough that a range of the whole table has at most
+    ``RANGE_ROWS`` rows. The rows are counted; the number of ranges never changes a result.
+    """
+    configured = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, -(-df.count() // RANGE_ROWS))
 
 
 def bucket_offsets(counts: DataFrame, by: Sequence[str], bucket: str, n: str) -> DataFrame:

@@ -21,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 6_000_000
-CACHE_WORDS = 600_000
+BLOCK_CHARS = 3_000_000
+CACHE_WORDS = 300_000
 _NONE = np.iinfo(np.int64).max
 
 

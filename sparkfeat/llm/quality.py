@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 BITS = 18
 SHARDS = 4
-CACHE_WORDS = 500_000
-BLOCK_CHARS = 4_000_000
+CACHE_WORDS = 250_000
+BLOCK_CHARS = 1_500_000
 _WORD = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
 

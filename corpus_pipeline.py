@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkfeat.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
 from sparkfeat.llm.queries import vocabulary_path
-from sparkfeat.sources.staging import stage
+from sparkfeat.sources.staging import stage, staging_root
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,7 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    verdict = exact_dedup.deduplicate(docs, f"pipeline_index_{uuid.uuid4().hex}")
+    name = f"pipeline_index_{uuid.uuid4().hex}"
+    verdict = exact_dedup.deduplicate(docs, name, path=f"{staging_root(spark)}/{name}")
     return docs.join(verdict.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
 
 

@@ -33,17 +33,18 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: str = "text",
-                buckets: int = 64) -> DataFrame:
+                buckets: int = 64, path: str | None = None) -> DataFrame:
     """Deduplicate a batch against the index and within itself, and append what is new.
 
     Returns ``id_col, keep_id, group_size, kept, text_sha256``, a row for each input row, dropped
     ones too. Of equal texts in a batch the row with the largest id stays (of rows that repeat an
     id, one; a null id only if all are null). If the index has the text from an earlier batch, no
     row of this one stays and ``keep_id`` is the earlier id. ``group_size`` counts the rows of the
-    batch that brought the text. An empty batch gives no rows; other columns are ignored.
+    batch that brought the text. ``path`` is where a new index lies, by default the warehouse; an index
+    keeps the number of buckets it was made with. An empty batch gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    open_index(spark, index, buckets=buckets)
+    open_index(spark, index, path, buckets)
     batch = uuid.uuid4().hex
     rows = stage(text_digests(docs, id_col, text_col))
     groups = rows.groupBy("digest").agg(

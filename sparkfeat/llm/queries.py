@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkfeat.llm import bpe, decontaminate, exact_dedup, hmm, html, licenses, line_dedup, near_dedup, quality, repeats
 from sparkfeat.llm.common import table
+from sparkfeat.sources.staging import staging_root
 
 QUERIES, ORACLES = {}, {}
 VOCABULARY = "word_bpe_49k.json"
@@ -81,7 +82,8 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""")
 def op7_exact_dedup(spark, sf):
     """All documents as the first batch of a new index."""
-    return exact_dedup.deduplicate(table(spark, sf, "documents", "doc_id", "text"), f"op7_index_{uuid.uuid4().hex}")
+    name = f"op7_index_{uuid.uuid4().hex}"
+    return exact_dedup.deduplicate(table(spark, sf, "documents", "doc_id", "text"), name, path=f"{staging_root(spark)}/{name}")
 
 
 @query("op8_near_dedup")

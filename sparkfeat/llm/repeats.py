@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkfeat.llm.common import parts_for
 from sparkfeat.llm.suffixes import common_prefixes, suffix_array
-from sparkfeat.sources.staging import stage
+from sparkfeat.sources.staging import stage, staging_root
 
 LENGTH = 50
 ANCHOR = 16
@@ -320,7 +320,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns = ["chunk", "row", "id", "place", "data", "runs"]
     name = f"repeats_{uuid.uuid4().hex}"
     source.mapInPandas(cut, f"chunk bigint, row bigint, id {kind}, place bigint, data binary, runs binary").write.format(
-        "parquet").bucketBy(shards, "chunk").saveAsTable(name)
+        "parquet").option("path", f"{staging_root(spark)}/{name}").bucketBy(shards, "chunk").saveAsTable(name)
     texts = spark.table(name).groupBy("chunk")
     packed = "chunk bigint, shard bigint, data binary"
 

@@ -1,6 +1,6 @@
 """Benchmark passages in training documents, found with an FM-index per shard of documents.
 
-A shard is the batch of documents a task holds. Its words become numbers: those of the benchmark
+A shard is some megabytes of documents that a task holds. Its words become numbers: those of the benchmark
 keep theirs, any other word is a separator. Only runs of numbered words as long as the shortest
 window can hold one, so the index covers exactly these. A suffix array in numpy gives the
 Burrows-Wheeler transform, whose ranks a wavelet matrix answers; all windows are searched
@@ -23,6 +23,7 @@ from sparkfeat.llm.suffixes import suffix_array
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+SHARD_CHARS = 6_000_000
 SAMPLE = 8
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -178,26 +179,48 @@ class _Shard:
         return text, origin
 
 
-def _search(phrases: Phrases, names: list[object], columns: list[str]):
-    """A task's work: add the covered spans and the items found to each document."""
+def _pieces(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of a batch, about SHARD_CHARS of text at a time."""
+    piece = np.cumsum([len(t or "") for t in batch["text"]]) // SHARD_CHARS
+    for number in np.unique(piece):
+        yield batch[piece == number]
+
+
+def _search(phrases: Phrases, names: list[object], columns: list[str], last: bool):
+    """A task's work: add the covered spans and the items found to each document; at last, the verdict."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            shard = _Shard(batch["text"].tolist(), phrases)
-            start, width, item = shard.occurrences(phrases)
-            doc = np.searchsorted(shard.starts + shard.lengths, start, side="right")
-            found_items = [list(x) for x in batch["items"]]
-            found_spans = [list(x) for x in batch["spans"]]
-            for d, i in set(zip(doc.tolist(), item.tolist(), strict=True)):
-                found_items[d].append(str(names[i]))
-            if len(start):
-                for d, a, b in _merged(doc, start - shard.starts[doc], width):
-                    found_spans[d] += [a, b]
-            yield batch.assign(items=found_items, spans=found_spans, n_words=shard.lengths)[columns]
+            for shard_rows in _pieces(batch):
+                shard = _Shard(shard_rows["text"].tolist(), phrases)
+                start, width, item = shard.occurrences(phrases)
+                doc = np.searchsorted(shard.starts + shard.lengths, start, side="right")
+                found_items = [list(x) for x in shard_rows["items"]]
+                found_spans = [list(x) for x in shard_rows["spans"]]
+                for d, i in set(zip(doc.tolist(), item.tolist(), strict=True)):
+                    found_items[d].append(str(names[i]))
+                if len(start):
+                    for d, a, b in _merged(doc, start - shard.starts[doc], width):
+                        found_spans[d] += [a, b]
+                found = shard_rows.assign(items=found_items, spans=found_spans, n_words=shard.lengths)
+                yield (_judged(found) if last else found)[columns]
 
     return run
 
 
+def _judged(found: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for spans, items in zip(found["spans"], found["items"], strict=True):
+        pairs = np.asarray(spans, np.int64).reshape(-1, 2)
+        none = np.zeros(len(pairs), np.int64)
+        merged = [[a, b] for _, a, b in _merged(none, pairs[:, 0], pairs[:, 1] - pairs[:, 0])] if len(pairs) else []
+        names = sorted(set(items))
+        hit = sum(b - a for a, b in merged)
+        out.append((hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0, merged))
+    judged = pd.DataFrame(out, columns=["n_hit", "n_items", "items_sha256", "contaminated", "spans"], index=found.index)
+    return pd.concat([found.drop(columns=["spans", "items"]), judged], axis=1)
+
+
 def _merged(doc: np.ndarray, start: np.ndarray, width: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Unions of ``[start, start + width)`` of a document that touch or overlap."""
     order = np.lexsort((start, doc))
@@ -223,36 +246,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     keep = [c for c in (keep or []) if c != id_col]
     kinds = dict(docs.dtypes)
+    # The text, if wanted back, is not carried twice.
+    carried = {c: "text" if c == text_col else f"kept_{i}" for i, c in enumerate(keep)}
+    others = {c: name for c, name in carried.items() if name != "text"}
     flat = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                        F.array().cast("array<string>").alias("items"), F.array().cast("array<bigint>").alias("spans"),
-                       F.lit(0).cast("bigint").alias("n_words"),
-                       *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)])
-    schema = (f"id {kinds[id_col]}, text string, items array<string>, spans array<bigint>, n_words bigint"
-              + "".join(f", kept_{i} {kinds[c]}" for i, c in enumerate(keep)))
+                       F.lit(0).cast("bigint").alias("n_words"), *[F.col(f"`{c}`").alias(name) for c, name in others.items()])
+    passed = "".join(f", {name} {kinds[c]}" for c, name in others.items())
+    between = f"id {kinds[id_col]}, text string, items array<string>, spans array<bigint>, n_words bigint{passed}"
+    text = ", text string" if text_col in keep else ""
+    verdict = (f"id {kinds[id_col]}{text}, n_words bigint{passed}, n_hit bigint, n_items bigint, items_sha256 string, "
+               "contaminated boolean, spans array<array<bigint>>")
     items = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.col(f"`{item_text_col}`").alias("text"))
     blocks = parts_for(items, "text", BLOCK_BYTES)
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
         rows = [(r["id"], r["text"]) for r in part.collect()]  # about BLOCK_BYTES
-        flat = flat.mapInPandas(_search(Phrases.of(rows, window), [r[0] for r in rows], flat.columns), schema)
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for spans, found in zip(batch["spans"], batch["items"], strict=True):
-                pairs = np.asarray(spans, np.int64).reshape(-1, 2)
-                merged = list(_merged(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1] - pairs[:, 0])) if len(pairs) else []
-                names = sorted(set(found))
-                hit = sum(b - a for _, a, b in merged)
-                out.append((hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0,
-                            [[a, b] for _, a, b in merged]))
-            result = pd.DataFrame(out, columns=["n_hit", "n_items", "items_sha256", "contaminated", "spans"])
-            passed = [f"kept_{i}" for i in range(len(keep))]
-            yield pd.concat([batch[["id", *passed, "n_words"]].reset_index(drop=True), result], axis=1)
-
-    out_schema = (f"id {kinds[id_col]}" + "".join(f", kept_{i} {kinds[c]}" for i, c in enumerate(keep))
-                  + ", n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, "
-                  "spans array<array<bigint>>")
-    done = flat.mapInPandas(finish, out_schema)
-    return done.select(F.col("id").alias(id_col), *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)],
+        last = block == blocks - 1
+        columns = ["id", *(["text"] if text else []), "n_words", *others.values(), "n_hit", "n_items", "items_sha256",
+                   "contaminated", "spans"] if last else flat.columns
+        flat = flat.mapInPandas(_search(Phrases.of(rows, window), [r[0] for r in rows], columns, last), verdict if last else between)
+    return flat.select(F.col("id").alias(id_col), *[F.col(name).alias(c) for c, name in carried.items()],
                        "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")

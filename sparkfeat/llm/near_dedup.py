@@ -29,8 +29,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 5
 TEXTS_IN_BLOCK = 256
-BLOCK_BYTES = 4_000_000
-CACHE_WORDS = 500_000
+BLOCK_BYTES = 3_000_000
+CACHE_WORDS = 250_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield batch[same].drop(columns=["text", "print"]).assign(
                 shingles=[s[0].tobytes() for s in sets], counts=[s[1].tobytes() for s in sets])
 
-    found = source.withColumnRenamed("id", "of").join(chosen, F.col("of").eqNullSafe(F.col("id"))).select(
+    found = source.withColumnRenamed("id", "of").join(chosen.hint("merge"), F.col("of").eqNullSafe(F.col("id"))).select(
         "component", "block", "blocks", "text_no", "print", "text").mapInPandas(
         shingle, "component bigint, block int, blocks int, text_no bigint, shingles binary, counts binary")
     paired = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(

@@ -8,12 +8,12 @@ does not depend on the state, so the scaled forward recursion over symbols, time
 the exact likelihood of a text, and what every task must know has a fixed size.
 
 Baum-Welch: each task sums the expected counts of its training texts by symbol and state; the sums
-of all tasks give the next parameters. A bounded sample of training texts gives the first ones.
+of all tasks give the next parameters. The head vocabulary and the first parameters come from the
+word counts of all training texts.
 """
 
 from __future__ import annotations
 
-import io
 import math
 import zlib
 from collections import Counter
@@ -26,17 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfeat.sources.staging import stage
+from sparkfeat.sources.staging import stage, staged
 
 STATES = 8
 HEAD_WORDS = 1 << 16
 CLASSES = 1 << 14
 SEGMENT = 256
 BLOCK_BYTES = 4_000_000
-COUNT_BYTES = 2_000_000
-WARM_TEXTS = 1500
-WARM_TEXT_BYTES = 100_000
-WARM_ROUNDS = 25
+COUNT_WORDS = 400_000
+COUNT_SEGMENTS = 1200
+ROUNDS = 4
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -178,80 +177,101 @@ class _Block:
         self.symbols[place] = found
 
 
-def _warm(states: int, head_words: int, rounds: int):
-    """First parameters from a bounded sample, in one task."""
-
-    def run(sample: pd.DataFrame) -> pd.DataFrame:
-        texts = [words_of(t) for t in sorted(sample["text"].fillna(""))]
-        common = Counter(w for words in texts for w in words)
-        head = {w: i + 1 for i, (w, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:head_words])}
-        size = 1 + len(head) + CLASSES
-        draw = np.random.default_rng(7)
-        model = Model(head, np.full(states, 1 / states), np.full(states, 1 / states),
-                      np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), np.ones((size, states)))
-        block = _Block(texts, model)
-        n = np.bincount(block.symbols, minlength=size)
-        guess = Counts(model.start, model.transitions, (n[:, None] + 0.1) * draw.gamma(2.0, 0.5, (size, states)))
-        model = guess.model(head)
-        starts, lengths, first = _segments(block.lengths)
-        for _ in range(rounds):
-            counts = Counts.zero(states, size)
-            counts.add(model, block.symbols, starts, lengths, first)
-            model = counts.model(head)
-        return pd.DataFrame({"model": [_packed(model)]})
-
-    return run
-
-
-def _packed(model: Model) -> bytes:
-    out = io.BytesIO()
-    np.savez_compressed(out, start=model.start, resume=model.resume, transitions=model.transitions,
-                        emissions=model.emissions.astype(np.float32), head=np.frombuffer(b" ".join(model.head), np.uint8))
-    return out.getvalue()
-
-
-def _unpacked(data: bytes) -> Model:
-    saved = np.load(io.BytesIO(data))
-    head = {w: i + 1 for i, w in enumerate(saved["head"].tobytes().split())}
-    return Model(head, saved["start"], saved["resume"], saved["transitions"], saved["emissions"].astype(float))
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words with their class and count, COUNT_WORDS different ones at a time; texts count as the empty word."""
+    counts: Counter[bytes] = Counter()
+
+    def rows() -> pd.DataFrame:
+        return pd.DataFrame({"word": list(counts), "class": [class_of(w) for w in counts], "n": list(counts.values())})
+
+    for batch in batches:
+        for _, texts in _blocks(batch["text"].tolist()):
+            counts[b""] += len(texts)
+            for words in texts:
+                counts.update(words)
+            if len(counts) >= COUNT_WORDS:
+                yield rows()
+                counts.clear()
+    if counts:
+        yield rows()
+
+
+def _vocabulary(texts: DataFrame, head_words: int) -> tuple[dict[bytes, int], np.ndarray] | None:
+    """The ``head_words`` most frequent words of all texts, and how often each symbol occurs; None without texts."""
+    found = texts.mapInPandas(_count_words, "word binary, class int, n bigint").groupBy("word", "class").agg(F.sum("n").alias("n"))
+    with staged(found) as counted:
+        words = counted.where("octet_length(word) > 0")
+        ends = counted.where("octet_length(word) = 0").select("n").first()
+        if ends is None:
+            return None
+        # Different counts number at most the square root of twice the tokens.
+        by_count = words.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+        inside = by_count["words"].cumsum() <= head_words
+        least = int(by_count["n"][inside].min()) if inside.any() else 1 << 62
+        left = head_words - int(by_count["words"][inside].sum())
+        chosen = [words.where(F.col("n") >= least)]
+        if left and not inside.all():  # of equally frequent words the first ones
+            chosen.append(words.where(F.col("n") == int(by_count["n"][~inside].max())).orderBy("word").limit(left))
+        top = pd.concat([x.toPandas() for x in chosen])  # at most head_words rows
+        classes = words.groupBy("class").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES rows
+    ranked = sorted(zip(map(bytes, top["word"]), top["class"].tolist(), top["n"].tolist(), strict=True), key=lambda x: (-x[2], x[0]))
+    symbols = np.zeros(1 + len(ranked) + CLASSES)
+    symbols[0] = ends["n"]
+    symbols[1:1 + len(ranked)] = [n for _, _, n in ranked]
+    tail = symbols[1 + len(ranked):]
+    tail[classes["class"].to_numpy(np.int64)] = classes["n"].to_numpy(float)
+    for _, k, n in ranked:
+        tail[k] -= n
+    return {w: i + 1 for i, (w, _, _) in enumerate(ranked)}, symbols
+
+
+def _first(head: dict[bytes, int], symbols: np.ndarray, states: int) -> Model:
+    """Parameters to start from: the counts of all symbols, dealt unevenly to states that tend to stay."""
+    draw = np.random.default_rng(7)
+    stay = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
+    return Counts(np.full(states, 1 / states), stay,
+                  (symbols[:, None] + 0.1) * draw.gamma(2.0, 0.5, (len(symbols), states))).model(head)
 
 
 def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES,
-        iterations: int = 1, head_words: int = HEAD_WORDS) -> Model:
+        iterations: int = ROUNDS, head_words: int = HEAD_WORDS) -> Model:
     """Train on the rows where ``training`` holds.
 
-    The first parameters and the head vocabulary come from at most WARM_TEXTS training texts of up
-    to WARM_TEXT_BYTES, those of the smallest hash. Each iteration then counts over all
-    training texts, in pieces of SEGMENT tokens that start from the state frequencies. Null and
-    empty texts are just an end; without any training text the model knows no word.
+    The head vocabulary and the first parameters come from the word counts of all training texts;
+    each iteration counts over all of them, in pieces of SEGMENT tokens that start from the state
+    frequencies. Null and empty texts are just an end; without any training text the model knows no word.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
-                       F.coalesce(training, F.lit(False)).alias("training"))
-    short = rows.where("training").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= WARM_TEXT_BYTES)
-    # Only hashes are ranked; the texts of the chosen rows are then picked where they lie.
-    mark = short.select(F.xxhash64("id", "text").alias("mark"))
-    chosen = mark.orderBy("mark").limit(WARM_TEXTS).distinct()
-    sample = short.withColumn("mark", F.xxhash64("id", "text")).join(F.broadcast(chosen), "mark").select(
-        "text").limit(2 * WARM_TEXTS)
-    first = sample.groupBy().applyInPandas(_warm(states, head_words, WARM_ROUNDS), "model binary").first()
-    if first is None:
+    texts = docs.where(F.coalesce(training, F.lit(False))).select(F.col(f"`{text_col}`").alias("text"))
+    known = _vocabulary(texts, head_words)
+    if known is None:
         size = 1 + CLASSES
         return Counts(np.ones(states), np.ones((states, states)), np.ones((size, states))).model({})
-    model = _unpacked(first["model"])
-    for _ in range(iterations):
-        model = _iterate(rows.where("training").select("text"), model)
+    model = _first(*known, states)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, texts in _blocks(batch["text"].tolist()):
+                block = _Block(texts, model)
+                yield pd.DataFrame({"symbols": [x.tobytes() for x in np.split(block.symbols, block.starts[1:])]})
+
+    with staged(texts.mapInPandas(encode, "symbols binary")) as encoded:
+        for _ in range(iterations):
+            model = _iterate(encoded, model)
     return model
 
 
-def _iterate(texts: DataFrame, model: Model) -> Model:
+def _iterate(encoded: DataFrame, model: Model) -> Model:
     states, size = len(model.start), len(model.emissions)
+    bare = Model({}, model.start, model.resume, model.transitions, model.emissions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = Counts.zero(states, size)
         for batch in batches:
-            for _, texts in _blocks(batch["text"].tolist(), COUNT_BYTES):
-                block = _Block(texts, model)
-                counts.add(model, block.symbols, *_segments(block.lengths))
+            lengths = batch["symbols"].map(len).to_numpy(np.int64) // 4
+            symbols = np.frombuffer(b"".join(batch["symbols"]), np.int32)
+            pieces = _segments(lengths)
+            for k in range(0, len(pieces[0]), COUNT_SEGMENTS):
+                counts.add(bare, symbols, *(x[k:k + COUNT_SEGMENTS] for x in pieces))
         # Symbols from 0; the negative rows hold the starts and the transitions.
         table = np.concatenate([counts.transitions[::-1], counts.start[None], counts.emissions])
         key = np.arange(len(table)) - states - 1
@@ -261,7 +281,7 @@ def _iterate(texts: DataFrame, model: Model) -> Model:
         yield frame
 
     names = [f"s{i}" for i in range(states)]
-    summed = texts.mapInPandas(run, "symbol int, " + ", ".join(f"{x} double" for x in names)).groupBy("symbol").agg(
+    summed = encoded.mapInPandas(run, "symbol int, " + ", ".join(f"{x} double" for x in names)).groupBy("symbol").agg(
         *[F.sum(x).alias(x) for x in names]).toPandas()  # at most head + classes + states + 2 rows
     table = np.zeros((size + states + 1, states))
     table[summed["symbol"].to_numpy(np.int64) + states + 1] = summed[names].to_numpy(float)

@@ -304,6 +304,24 @@ def test_language_model_counts_and_probabilities(spark):
     assert hmm.score(nothing, hmm.fit(nothing, ~held), ~held).count() == 0
 
 
+def test_language_model_learns_from_every_text(spark):
+    from pyspark.sql import functions as F
+    texts = [f"only{i % 400} common{i % 7} end" for i in range(2000)] + ["giant " * 30000 + "giant2 " * 10]
+    docs = table(spark, list(enumerate(texts)))
+    model = hmm.fit(docs, F.lit(True), iterations=2)
+    counts = collections.Counter(w.encode() for t in texts for w in t.split())
+    assert list(model.head) == sorted(counts, key=lambda w: (-counts[w], w))
+    small = hmm.fit(docs, F.lit(True), iterations=1, head_words=100)
+    assert list(small.head) == sorted(counts, key=lambda w: (-counts[w], w))[:100]
+    head, symbols = hmm._vocabulary(docs.select("text"), 100)
+    assert head == small.head and symbols.sum() == sum(counts.values()) + len(texts)
+    tail = collections.Counter()
+    for w, n in counts.items():
+        if w not in head:
+            tail[hmm.class_of(w)] += n
+    assert {k: n for k, n in enumerate(symbols[101:]) if n} == tail
+
+
 # Quality
 
 

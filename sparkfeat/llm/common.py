@@ -8,6 +8,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkfeat.sources.staging import stage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a given table."""
@@ -27,18 +29,18 @@ def parts_for(frame: DataFrame, text: str, bytes_each: int) -> int:
     return max(1, math.ceil(total / bytes_each))
 
 
-#: Groups of over 1/HOT_SHARE of the rows: there are at most HOT_SHARE of them, so that a
+#: Groups of over 1/HOT_SHARE of the rows: there are fewer than HOT_SHARE of them, so that a
 #: broadcast of them is bounded whatever the number of rows.
 HOT_SHARE = 256
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """Inner join of staged rows with what is known of their group (one row for each ``key``).
 
-    The few groups with a large share of the rows are broadcast, so that their rows stay where
-    they are; the others meet in a sort-merge join.
+    The few groups with a large share of the rows, as counted here, are broadcast, so that their
+    rows stay where they are; the others meet in a sort-merge join.
     """
     total = rows.count()
-    hot = F.broadcast(groups.where(F.col(size) * HOT_SHARE > total).orderBy(F.desc(size)).limit(HOT_SHARE))
-    rest = rows.join(hot.select(key), key, "left_anti").join(groups.hint("merge"), key)
-    return rows.join(hot, key).unionByName(rest)
+    large = F.broadcast(stage(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > total).select(key)))
+    rest = rows.join(large, key, "left_anti").join(groups.hint("merge"), key)
+    return rows.join(F.broadcast(groups.join(large, key)), key).unionByName(rest)

@@ -57,7 +57,7 @@ def deduplicate(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: s
         buckets, "digest").sortBy("digest").saveAsTable(index)
 
     known = spark.table(index)
-    return join_groups(rows, known, "digest", "group_size").select(
+    return join_groups(rows, known, "digest").select(
         F.col("id").alias(id_col), "keep_id", "group_size",
         ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

@@ -244,5 +244,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                          F.sum("copies").alias("class_size"))
     named = stage(grouped.join(least, "class").select("print", "copies", F.col("keep.id").alias("class_id"),
                                                       F.col("keep.text_no").alias("keep_row"), "class_size"))
-    return join_groups(rows, named, "print", "copies").select(
+    return join_groups(rows, named, "print").select(
         F.col("id").alias(id_col), "class_id", "class_size", (F.col("row") == F.col("keep_row")).alias("kept"))

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sparkfeat.llm import bpe, decontaminate, exact_dedup, hmm, html, licenses, line_dedup, near_dedup, patience, quality, repeats
+from sparkfeat.llm import bpe, common, decontaminate, exact_dedup, hmm, html, licenses, line_dedup, near_dedup, patience, quality, repeats
 from sparkfeat.llm.components import connected_components
 from sparkfeat.llm.queries import vocabulary_path
 
@@ -70,6 +70,22 @@ def test_exact_index_persists(spark):
     assert "Bucketed: true" in plan or "bucket" in plan.lower()
 
 
+def test_exact_batch_on_an_index_of_larger_groups(spark):
+    first = table(spark, [(2 * i + k, f"pair {i}") for i in range(700) for k in (0, 1)])
+    exact_dedup.deduplicate(first, "t_exact_hot", buckets=4).count()
+    rows = [(5000 + i, f"pair {i}") for i in range(400)]
+    second = exact_dedup.deduplicate(table(spark, rows), "t_exact_hot", buckets=4)
+    assert collected(second, "doc_id", "keep_id", "kept") == sorted([(5000 + i, 2 * i + 1, False) for i in range(400)], key=repr)
+
+
+def test_hot_groups_are_counted_in_the_rows(spark):
+    rows = spark.createDataFrame([(1,)] * 9 + [(k,) for k in range(2, 800)], "k int")
+    groups = spark.createDataFrame([(k, 1000) for k in range(3000)], "k int, group_size int")
+    got = common.join_groups(rows, groups, "k")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 807 and "Limit" not in plan and "Sort" not in plan
+
+
 def test_exact_plan_has_no_python(spark):
     got = exact_dedup.deduplicate(table(spark, [(1, "a")]), "t_exact_plan", buckets=4)
     assert "Python" not in got._jdf.queryExecution().toString()

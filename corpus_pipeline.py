@@ -29,14 +29,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     name = f"pipeline_index_{uuid.uuid4().hex}"
-    verdict = exact_dedup.deduplicate(docs, name, path=f"{staging_root(spark)}/{name}")
-    return docs.join(verdict.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    verdict = exact_dedup.deduplicate(docs, name, path=f"{staging_root(spark)}/{name}", keep=COLUMNS)
+    return verdict.where("kept").select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the row with the smallest doc_id stays."""
-    verdict = near_dedup.near_duplicates(docs)
-    return docs.join(verdict.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    return near_dedup.near_duplicates(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

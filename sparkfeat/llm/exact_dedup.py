@@ -8,6 +8,7 @@ sides of later joins find the index already partitioned and sorted.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,19 +26,20 @@ def open_index(spark: SparkSession, name: str, path: str | None = None, buckets:
               f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS {place}")
 
 
-def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, row, digest``: SHA-256 of the text with A-Z lower-cased; null text counts as empty."""
+def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """``id, row, digest`` and ``kept_0`` ... for the columns in ``keep``: SHA-256 of the text with A-Z lower-cased; null text counts as empty."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),
-                       F.unhex(F.sha2(lower_ascii(text), 256)).alias("digest"))
+                       F.unhex(F.sha2(lower_ascii(text), 256)).alias("digest"),
+                       *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)])
 
 
 def deduplicate(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: str = "text",
-                buckets: int = 64, path: str | None = None) -> DataFrame:
+                buckets: int = 64, path: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Deduplicate a batch against the index and within itself, and append what is new.
 
     Returns ``id_col, keep_id, group_size, kept, text_sha256``, a row for each input row, dropped
-    ones too. Of equal texts in a batch the row with the largest id stays (of rows that repeat an
+    ones too, and the row's columns in ``keep``. Of equal texts in a batch the row with the largest id stays (of rows that repeat an
     id, one; a null id only if all are null). If the index has the text from an earlier batch, no
     row of this one stays and ``keep_id`` is the earlier id. ``group_size`` counts the rows of the
     batch that brought the text. ``path`` is where a new index lies, by default the warehouse; an index
@@ -46,7 +48,8 @@ def deduplicate(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     open_index(spark, index, path, buckets)
     batch = uuid.uuid4().hex
-    rows = stage(text_digests(docs, id_col, text_col))
+    keep = [c for c in keep if c != id_col]
+    rows = stage(text_digests(docs, id_col, text_col, keep))
     groups = rows.groupBy("digest").agg(
         F.max(F.struct(F.col("id"), F.col("row"))).alias("keep"), F.count("*").alias("group_size"))
     fresh = groups.hint("merge").join(spark.table(index).select("digest"), "digest", "left_anti").select(
@@ -60,4 +63,4 @@ def deduplicate(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: s
     return join_groups(rows, known, "digest").select(
         F.col("id").alias(id_col), "keep_id", "group_size",
         ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"))
+        F.lower(F.hex("digest")).alias("text_sha256"), *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])

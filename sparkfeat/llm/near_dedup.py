@@ -14,7 +14,7 @@ these are verified exactly.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -116,8 +116,8 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
             bands = _bands(signatures(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), owner,
                                       len(sets), BANDS * BAND_ROWS))
-            yield pd.DataFrame({"id": batch["id"].iloc[part].to_numpy(), "print": [print_of(w) for w in words],
-                                "bands": [b if len(s[0]) else [] for b, s in zip(bands, sets, strict=True)]})
+            yield batch.drop(columns="text").iloc[part].assign(
+                print=[print_of(w) for w in words], bands=[b if len(s[0]) else [] for b, s in zip(bands, sets, strict=True)])
 
 
 def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -190,11 +190,11 @@ def _links(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Classes of texts linked by a similarity of at least 0.8 (probability Jaccard).
 
     Returns ``id_col, class_id`` (the smallest id of the class), ``class_size`` (rows) and ``kept``
-    (true for one row of each class, one with that id). Texts of equal words are one text; a null
+    (true for one row of each class, one with that id), and the row's columns in ``keep``. Texts of equal words are one text; a null
     text, and any without words, has none and is the same as the others of that kind. The class of
     null ids alone is null. Rows that repeat are copies; an empty table gives no rows; further
     columns are ignored.
@@ -204,9 +204,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that no link between them is lost and no pairs are listed.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    signed = stage(source.mapInPandas(_sign, f"id {kind}, print binary, bands array<bigint>").withColumn(
-        "row", F.monotonically_increasing_id()))
+    keep = [c for c in keep if c != id_col]
+    names = {c: "text" if c == text_col else f"kept_{i}" for i, c in enumerate(keep)}
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
+                         *[F.col(f"`{c}`").alias(n) for c, n in names.items() if n != "text"])
+    if keep:  # numbered once, so that the verdict finds its row
+        carried = stage(source.withColumn("row", F.monotonically_increasing_id()))
+        source = carried.select("id", "text")
+        signed = stage(carried.select("id", "text", "row").mapInPandas(_sign, f"id {kind}, row bigint, print binary, bands array<bigint>"))
+    else:
+        signed = stage(source.mapInPandas(_sign, f"id {kind}, print binary, bands array<bigint>").withColumn(
+            "row", F.monotonically_increasing_id()))
     rows = signed.select("id", "row", "print")
     texts = stage(signed.groupBy("print").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"), F.count("*").alias("copies"),
                                               F.min_by("bands", "row").alias("bands")).select(
@@ -244,5 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                          F.sum("copies").alias("class_size"))
     named = stage(grouped.join(least, "class").select("print", "copies", F.col("keep.id").alias("class_id"),
                                                       F.col("keep.text_no").alias("keep_row"), "class_size"))
-    return join_groups(rows, named, "print").select(
-        F.col("id").alias(id_col), "class_id", "class_size", (F.col("row") == F.col("keep_row")).alias("kept"))
+    done = join_groups(rows, named, "print").withColumn("kept", F.col("row") == F.col("keep_row"))
+    if keep:
+        done = done.select("id", "row", "class_id", "class_size", "kept").join(carried.drop("id"), "row")
+    return done.select(F.col("id").alias(id_col), "class_id", "class_size", "kept", *[F.col(n).alias(c) for c, n in names.items()])

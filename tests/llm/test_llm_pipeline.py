@@ -99,3 +99,15 @@ def test_stages_stand_odd_rows(spark):
             out.collect()
             if name != "tokens":
                 assert out.columns == corpus_pipeline.COLUMNS
+
+
+def test_dedup_stages_keep_rows_not_ids(spark):
+    from test_llm_small import table
+    long = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcd"]
+    rows = [(None, long[0]), (1, long[1]), (1, long[1]), (2, long[2]), (2, long[1]), (3, long[3]), (None, long[3])]
+    docs = table(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    exact = corpus_pipeline.exact_stage(spark, docs, SMALL).collect()
+    near = corpus_pipeline.near_stage(spark, docs, SMALL).collect()
+    assert sorted(((r[0], r[1]) for r in exact), key=repr) == sorted([(None, long[0]), (2, long[1]), (2, long[2]), (3, long[3])], key=repr)
+    assert sorted(((r[0], r[1]) for r in near), key=repr) == sorted([(None, long[0]), (1, long[1]), (2, long[2]), (3, long[3])], key=repr)
+    assert all(r["n_chars"] == len(r["text"]) and r["lang"] == "en" for r in exact + near)

@@ -43,10 +43,10 @@ _OPEN_END = re.compile(r"<(?:[a-zA-Z/!?][^>]*)?\Z")
 class Node:
     """An element: children are elements and pieces of text, in order."""
 
-    __slots__ = ("tag", "parent", "children", "points", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "points", "chars", "link_chars", "unwanted")
 
-    def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, unwanted: bool = False) -> None:
+        self.tag, self.parent, self.unwanted = tag, parent, unwanted
         self.children: list[Node | str] = []
         self.points = 0.0
         self.chars = self.link_chars = 0
@@ -74,42 +74,32 @@ def _unwanted(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -
 
 
 class _Builder(HTMLParser):
-    """Builds the tree; unwanted elements and what is in them are left out."""
+    """Builds the tree. Unwanted elements open and end like others, but neither they nor what is in them is anyone's child."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.here = Node("#root", None)
-        self.unwanted: list[str] = []
         self.articles = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.unwanted:
-            if tag not in _VOID:
-                self.unwanted.append(tag)
-            return
         if tag in _VOID:
-            self.here.children.append(" " if tag != "hr" else Node("hr", self.here))
+            if not self.here.unwanted:
+                self.here.children.append(" " if tag != "hr" else Node("hr", self.here))
             return
         if tag in _BLOCK:
             self._close({"p"}, {"table", "td", "th", "button", "object"})
         if tag in _ENDS:
             self._close(*_ENDS[tag])
-        if _unwanted(tag, attrs, self.articles > 0):
-            self.unwanted = [tag]
-            if tag in _BLOCK:  # what stands before and after it are different blocks
-                self.here.children.append(Node("hr", self.here))
-            return
-        node = Node(tag, self.here)
-        self.here.children.append(node)
+        inside = self.here.unwanted
+        node = Node(tag, self.here, inside or _unwanted(tag, attrs, self.articles > 0))
+        if not node.unwanted:
+            self.here.children.append(node)
+        elif tag in _BLOCK and not inside:  # what stands before and after it are different blocks
+            self.here.children.append(Node("hr", self.here))
         self.here = node
         self.articles += tag in ("article", "main")
 
     def handle_endtag(self, tag: str) -> None:
-        if self.unwanted:
-            if tag in self.unwanted:
-                while self.unwanted.pop() != tag:
-                    pass
-            return
         node: Node | None = self.here
         while node is not None and node.tag != tag:
             # An inline end tag doesn't end the block around it.
@@ -118,7 +108,7 @@ class _Builder(HTMLParser):
             self._leave(node)
 
     def handle_data(self, data: str) -> None:
-        if not self.unwanted:
+        if not self.here.unwanted:
             self.here.children.append(data)
 
     def _close(self, tags: set[str], bounds: set[str]) -> None:

@@ -366,6 +366,10 @@ def test_quality_learns_and_bounds(spark):
     ("<article><p>cut off &am", "cut off &am"), ("<article><p>cut off</p><p cla", "cut off"),
     ("<body class='with-sidebar'><div class='sidebar'><p>s, s, s</p></div><div><p>t, t</p></div><script>var x='<p>';</script>", "t, t"),
     ("<main><p>text, here</p><section id='comments'><p>nice, very, nice</p></section><aside>x</aside></main>", "text, here"),
+    ("<article><p class='advert'>Buy now<p>Article, one<p>two</article>", "Article, one\ntwo"),
+    ("<article><ul><li class='share'>s<li>first, item</ul><p>after, it</article>", "first, item\nafter, it"),
+    ("<article><div><p class='promo'>x<b>y</div><p>rest, here</p></article>", "rest, here"),
+    ("<article><nav><p>n<ul><li>x</nav><p>rest, here</article>", "rest, here"),
     ("<div id='cookieBanner'>we use cookies</div><article><header><h2>H</h2></header><p>b</p><form>q</form></article>", "H\nb"),
 ])
 def test_main_text(page, text):

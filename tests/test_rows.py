@@ -94,7 +94,7 @@ def test_narrowing_bounds_are_strict(spark):
     df = spark.createDataFrame(
         [(127, 126, 1, 2**63 - 1, 65504.0, float("inf"), None), (0, -127, 40000, 0, 0.0, 1.0, None)],
         "a int, b bigint, c int, d bigint, e double, f double, g double")
-    narrowed = ops.narrow_types(df)
+    narrowed = ops.narrow_types(df, float_columns="all")
     assert [f.dataType.simpleString() for f in narrowed.schema] == [
         "smallint", "tinyint", "int", "bigint", "float", "double", "double"]
     assert [f.dataType.simpleString() for f in ops.narrow_types(df, float_columns=["f"]).schema][4] == "double"
@@ -104,7 +104,8 @@ def test_narrowing_bounds_are_strict(spark):
 
 def test_narrowing_skips_nan(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,)], "x double")
-    assert ops.narrow_types(df).schema["x"].dataType.simpleString() == "float"
+    assert ops.narrow_types(df, float_columns="all").schema["x"].dataType.simpleString() == "float"
+    assert ops.narrow_types(df).schema["x"].dataType.simpleString() == "double"
 
 
 STATS = [

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sparkfeat.llm import (
+    alignment,
     bpe,
     decontaminate,
     exact_dedup,
@@ -36,10 +37,10 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 @query("op1_hmm")
@@ -117,6 +118,13 @@ def op10_repeats(spark, sf):
     return repeats.remove_repeats(table(spark, sf, "documents", "doc_id", "text")).drop("spans")
 
 
+@query("op11_alignment")
+def op11_alignment(spark, sf):
+    """The tokens of two tokenizers over every document, aligned and linked."""
+    tokenizers = alignment.Tokenizers.read(vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf, "documents", "doc_id", "text"), tokenizers)
+
+
 @query("op12_resample", """
 WITH RECURSIVE step(i, j, v) AS (SELECT range, 0, range FROM range(256) UNION ALL
   SELECT i, j + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE j < 8),

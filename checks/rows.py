@@ -345,6 +345,15 @@ def csv_roundtrip_text(spark, sf):
     return read_table(spark, path, schema=documents.schema)
 
 
+@check("csv_multi_line", _AWKWARD.format(char="chr", documents="documents"))
+def csv_multi_line(spark, sf):
+    """One file whose records span lines, read in byte ranges by many tasks."""
+    documents = spark.sql(_AWKWARD.replace("{char}", "char"), documents=table(spark, sf, "documents"))
+    path = f"{staging_root(spark)}/{uuid.uuid4().hex}"
+    write_table(documents.coalesce(1), path)
+    return read_table(spark, path, schema=documents.schema, split_bytes=0)
+
+
 @check("fill_quantile_wide", f"""
 WITH t AS (SELECT vec_id, unnest(range(64)) AS i, CASE WHEN (vec_id + unnest(range(64))) % 5 = 0 THEN NULL
  ELSE CAST(unnest(embedding) AS DOUBLE) END AS x FROM embeddings),

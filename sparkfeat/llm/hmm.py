@@ -7,35 +7,48 @@ its share of its class: ``c(w) / (N_k + V_k)``, and all unseen words of a class
 does not depend on the state, so the scaled forward recursion over symbols, times the shares, is
 the exact likelihood of a text, and what every task must know has a fixed size.
 
+Texts are read and split once. Each block of texts numbers its different words and deals them to shards by
+hash; a shard adds up the training counts of its words over all blocks and sends them back to the blocks, packed
+a row for each block and shard. The blocks then know the symbol, the count and the share of every token,
+and training and scoring read nothing but the symbols.
+
 Baum-Welch: each task sums the expected counts of its training texts by symbol and state; the sums
-of all tasks give the next parameters. The head vocabulary and the first parameters come from the
-word counts of all training texts.
+of all tasks give the next parameters, until the likelihood gains little. The head vocabulary and the first
+parameters come from the word counts of all training texts.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkfeat.llm.common import parts_for
 from sparkfeat.sources.staging import stage, staged
 
 STATES = 8
 HEAD_WORDS = 1 << 16
+#: A word of the head occurs at least this often: of rarer ones the states learn nothing.
+HEAD_COUNT = 3
 CLASSES = 1 << 14
 SEGMENT = 256
 BLOCK_BYTES = 4_000_000
-COUNT_WORDS = 400_000
+SHARD_BYTES = 16_000_000
 COUNT_SEGMENTS = 1200
+#: Baum-Welch rounds at most, and the gain in log10 likelihood a token below which they end.
 ROUNDS = 4
+GAIN = 0.005
+WEIGHTS = (5.0, 20.0, 80.0, 320.0, 1280.0, 5120.0, 20480.0)
+_CHUNK = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -87,6 +100,7 @@ class Counts:
     start: np.ndarray
     transitions: np.ndarray
     emissions: np.ndarray
+    likelihood: float = 0.0
 
     @classmethod
     def zero(cls, states: int, symbols: int) -> Counts:
@@ -107,6 +121,7 @@ class Counts:
             alpha = (alpha if t == 0 else alpha[:m] @ model.transitions) * like
             scale = alpha.sum(1, keepdims=True)
             alpha = alpha / scale
+            self.likelihood += float(np.log10(scale).sum())
             alphas.append(alpha)
             likes.append(like / scale)
         beta = np.ones((sizes[-1], states))
@@ -130,11 +145,18 @@ class Counts:
         """The next parameters, slightly smoothed so that nothing has probability 0."""
         by_state, by_symbol = self.emissions.sum(0), self.emissions.sum(1)
         prior = (by_symbol + 0.5) / (by_symbol.sum() + 0.5 * len(by_symbol))
-        weight = 20.0
+        weight = self.prior_weight()
         norm = lambda x: (x + 1e-3) / (x + 1e-3).sum(-1, keepdims=True)
         return Model(head, norm(self.start), norm(by_state), norm(self.transitions),
                      (self.emissions + weight * prior[:, None]) / (by_state + weight))
 
+    def prior_weight(self) -> float:
+        """How much the states lean on the symbol frequencies: the best of WEIGHTS for counts that leave one out."""
+        by_state, by_symbol = self.emissions.sum(0), self.emissions.sum(1)
+        left = np.maximum(self.emissions - 1, 0)
+        prior = ((np.maximum(by_symbol - 1, 0) + 0.5) / (by_symbol.sum() + 0.5 * len(by_symbol)))[:, None]
+        return max(WEIGHTS, key=lambda w: float((self.emissions * np.log((left + w * prior) / (by_state + w))).sum()))
+
 
 def _segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cuts sequences that lie one after the other into pieces of at most SEGMENT."""
@@ -157,72 +179,217 @@ def _blocks(texts: list[str | None], most: int = BLOCK_BYTES) -> Iterator[tuple[
 
 
 class _Block:
-    """Texts as symbols, each ended by 0, and their words outside the head, numbered."""
+    """Texts one after the other as symbols, each ended by 0."""
 
     def __init__(self, texts: list[list[bytes]], model: Model) -> None:
         flat = [w for words in texts for w in words]
         words = np.array([len(x) for x in texts], np.int64)
         self.lengths = words + 1
         self.starts = np.cumsum(self.lengths) - self.lengths
-        place = np.arange(len(flat)) + np.repeat(np.arange(len(texts)), words)
-        found = model.symbols(flat)
-        tail = np.flatnonzero(found < 0)
-        numbers: dict[bytes, int] = {}
-        self.tail_ids = np.fromiter((numbers.setdefault(flat[i], len(numbers)) for i in tail.tolist()), np.int32, len(tail))
-        self.tail_words = list(numbers)
-        self.tail_classes = np.fromiter(map(class_of, self.tail_words), np.int32, len(numbers))
-        self.tail_text = np.repeat(np.arange(len(texts)), words)[tail]
-        found[tail] = self.tail_classes[self.tail_ids] + 1 + len(model.head)
         self.symbols = np.zeros(int(self.lengths.sum()), np.int32)
-        self.symbols[place] = found
+        self.symbols[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), words)] = _symbols(flat, model.head)
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words with their class and count, COUNT_WORDS different ones at a time; texts count as the empty word."""
-    counts: Counter[bytes] = Counter()
+def _symbols(words: list[bytes], head: dict[bytes, int]) -> np.ndarray:
+    """The symbol of each word: its own, or its class after the head's."""
+    found = np.fromiter(map(head.get, words, [-1] * len(words)), np.int32, len(words))
+    tail = np.flatnonzero(found < 0)
+    found[tail] = np.fromiter((class_of(words[i]) for i in tail.tolist()), np.int32, len(tail)) + 1 + len(head)
+    return found
 
-    def rows() -> pd.DataFrame:
-        return pd.DataFrame({"word": list(counts), "class": [class_of(w) for w in counts], "n": list(counts.values())})
 
-    for batch in batches:
-        for _, texts in _blocks(batch["text"].tolist()):
-            counts[b""] += len(texts)
-            for words in texts:
-                counts.update(words)
-            if len(counts) >= COUNT_WORDS:
-                yield rows()
-                counts.clear()
-    if counts:
-        yield rows()
+def _pack(values: np.ndarray) -> bytes:
+    return pa.Codec("zstd").compress(np.ascontiguousarray(values).tobytes(), asbytes=True)
 
 
-def _vocabulary(texts: DataFrame, head_words: int) -> tuple[dict[bytes, int], np.ndarray] | None:
-    """The ``head_words`` most frequent words of all texts, and how often each symbol occurs; None without texts."""
-    found = texts.mapInPandas(_count_words, "word binary, class int, n bigint").groupBy("word", "class").agg(F.sum("n").alias("n"))
-    with staged(found) as counted:
-        words = counted.where("octet_length(word) > 0")
-        ends = counted.where("octet_length(word) = 0").select("n").first()
-        if ends is None:
-            return None
-        # Different counts number at most the square root of twice the tokens.
-        by_count = words.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
-        inside = by_count["words"].cumsum() <= head_words
-        least = int(by_count["n"][inside].min()) if inside.any() else 1 << 62
-        left = head_words - int(by_count["words"][inside].sum())
-        chosen = [words.where(F.col("n") >= least)]
-        if left and not inside.all():  # of equally frequent words the first ones
-            chosen.append(words.where(F.col("n") == int(by_count["n"][~inside].max())).orderBy("word").limit(left))
-        top = pd.concat([x.toPandas() for x in chosen])  # at most head_words rows
-        classes = words.groupBy("class").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES rows
-    ranked = sorted(zip(map(bytes, top["word"]), top["class"].tolist(), top["n"].tolist(), strict=True), key=lambda x: (-x[2], x[0]))
-    symbols = np.zeros(1 + len(ranked) + CLASSES)
-    symbols[0] = ends["n"]
-    symbols[1:1 + len(ranked)] = [n for _, _, n in ranked]
-    tail = symbols[1 + len(ranked):]
-    tail[classes["class"].to_numpy(np.int64)] = classes["n"].to_numpy(float)
-    for _, k, n in ranked:
-        tail[k] -= n
-    return {w: i + 1 for i, (w, _, _) in enumerate(ranked)}, symbols
+def _unpack(packed: bytes, count: int, kind: str) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.frombuffer(pa.Codec("zstd").decompress(packed, int(count) * kind.itemsize, asbytes=True), kind)
+
+
+def _rows(types: dict[str, pa.DataType], **values) -> pa.Table:
+    """A table of all the columns of ``types``; those that are not named are null."""
+    n = len(next(iter(values.values())))
+    return pa.table({name: pa.array(values[name], kind) if name in values and not isinstance(values[name], (pa.Array, pa.ChunkedArray))
+                     else values.get(name, pa.nulls(n, kind)) for name, kind in types.items()})
+
+
+def _split(docs: DataFrame, training: Column, shards: int, id_col: str, text_col: str) -> DataFrame:
+    """Blocks of texts: a row a text with the numbers of its words in the block, and a row a shard with its words.
+
+    ``block, id, training, n_tokens, numbers`` and ``block, shard, size, bytes, words, counts``, packed. Numbers run
+    through the shards in their order; counts are those of the training texts.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = (f"block bigint, id {kind}, training boolean, n_tokens bigint, numbers binary, shard int, size bigint, "
+              "bytes bigint, words binary, counts binary")
+    types = {"block": pa.int64(), "id": None, "training": pa.bool_(), "n_tokens": pa.int64(), "numbers": pa.binary(),
+             "shard": pa.int32(), "size": pa.int64(), "bytes": pa.int64(), "words": pa.binary(), "counts": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part, made = (context.partitionId() if context else 0), 0
+        for batch in batches:
+            kinds = types | {"id": batch.schema.field("id").type}
+            trains = batch.column("training").to_numpy(zero_copy_only=False)
+            for begin, texts in _blocks(batch.column("text").to_pylist()):
+                flat = [w for words in texts for w in words]
+                lengths = np.array(list(map(len, texts)), np.int64)
+                numbers = dict.fromkeys(flat)
+                words = list(numbers)
+                shard = np.fromiter((zlib.crc32(w) % shards for w in words), np.int64, len(words))
+                order = np.argsort(shard, kind="stable")
+                place = np.empty(len(words), np.uint32)
+                place[order] = np.arange(len(words))
+                numbers.update(zip(words, place.tolist(), strict=True))
+                tokens = np.fromiter(map(numbers.__getitem__, flat), np.uint32, len(flat))
+                inside = trains[begin:begin + len(texts)].astype(bool)
+                counts = np.bincount(tokens[np.repeat(inside, lengths)], minlength=len(words)).astype(np.int64)
+                key, made = part << 32 | made, made + 1
+                yield from _rows(kinds, block=[key] * len(texts), id=batch.column("id").slice(begin, len(texts)), training=inside,
+                                 n_tokens=lengths + 1, numbers=[_pack(x) for x in np.split(tokens, np.cumsum(lengths)[:-1])]).to_batches()
+                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                held = np.flatnonzero(np.diff(cuts))
+                blobs = [b" ".join([words[i] for i in order[cuts[k]:cuts[k + 1]].tolist()]) for k in held.tolist()]
+                if blobs:
+                    yield from _rows(kinds, block=[key] * len(held), shard=held, size=np.diff(cuts)[held], bytes=list(map(len, blobs)),
+                                     words=[pa.Codec("zstd").compress(x, asbytes=True) for x in blobs],
+                                     counts=[_pack(counts[cuts[k]:cuts[k + 1]]) for k in held.tolist()]).to_batches()
+
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
+                       F.coalesce(training, F.lit(False)).alias("training")).mapInArrow(run, schema)
+
+
+def _words(row: dict) -> list[bytes]:
+    return pa.Codec("zstd").decompress(row["words"], row["bytes"], asbytes=True).split(b" ")
+
+
+def _count(blocks: DataFrame, least: int) -> DataFrame:
+    """Training counts over all blocks: ``block, shard, size, counts`` packed for each shard of a block, the ``word, n`` of
+    words that occur ``least`` times, and for each class (and shard) its ``tokens`` and different ``known`` words."""
+    types = {"kind": pa.string(), "block": pa.int64(), "shard": pa.int32(), "size": pa.int64(), "counts": pa.binary(),
+             "word": pa.binary(), "class": pa.int32(), "n": pa.int64(), "known": pa.int64()}
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        flat = [w for row in rows for w in _words(row)]
+        numbers = dict.fromkeys(flat)
+        words = list(numbers)
+        numbers.update(zip(words, range(len(words)), strict=True))
+        at = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
+        here = np.concatenate([_unpack(row["counts"], row["size"], "<i8") for row in rows])
+        n = np.zeros(len(words), np.int64)
+        np.add.at(n, at, here)
+        sums = np.split(n[at], np.cumsum([row["size"] for row in rows])[:-1])
+        often = np.flatnonzero(n >= least)
+        seen = np.flatnonzero(n)
+        classes = np.fromiter((class_of(words[i]) for i in seen.tolist()), np.int64, len(seen))
+        tokens, known = np.bincount(classes, n[seen], CLASSES), np.bincount(classes, minlength=CLASSES)
+        used = np.flatnonzero(known)
+        return pa.concat_tables([
+            _rows(types, kind=["counts"] * len(rows), block=[r["block"] for r in rows], shard=[r["shard"] for r in rows],
+                  size=[r["size"] for r in rows], counts=[_pack(x) for x in sums]),
+            _rows(types, kind=["word"] * len(often), word=[words[i] for i in often.tolist()], n=n[often]),
+            _rows(types, kind=["class"] * len(used), **{"class": used, "n": tokens[used].astype(np.int64), "known": known[used]})])
+
+    return blocks.where("words IS NOT NULL").select("block", "shard", "size", "bytes", "words", "counts").groupBy("shard").applyInArrow(
+        run, "kind string, block bigint, shard int, size bigint, counts binary, word binary, class int, n bigint, known bigint")
+
+
+def _head(words: DataFrame, head_words: int) -> dict[bytes, int]:
+    """The ``head_words`` most frequent of ``words`` (``word, n``) with their counts; of equally frequent ones the first."""
+    # Different counts number at most the square root of twice the tokens.
+    by_count = words.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+    inside = by_count["words"].cumsum() <= head_words
+    least = int(by_count["n"][inside].min()) if inside.any() else 1 << 62
+    left = head_words - int(by_count["words"][inside].sum())
+    chosen = [words.where(F.col("n") >= least)]
+    if left and not inside.all():
+        chosen.append(words.where(F.col("n") == int(by_count["n"][~inside].max())).orderBy("word").limit(left))
+    top = pd.concat([x.toPandas() for x in chosen])  # at most head_words rows
+    return dict(sorted(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True), key=lambda x: (-x[1], x[0])))
+
+
+@dataclass
+class _Corpus:
+    """Encoded texts and their counts. ``symbols[i]`` says how often symbol ``i`` occurs in training."""
+
+    rows: DataFrame
+    head: dict[bytes, int]
+    symbols: np.ndarray
+
+
+def _prepare(docs: DataFrame, training: Column, held: ExitStack | None, id_col: str, text_col: str, head_words: int = HEAD_WORDS,
+             head: dict[bytes, int] | None = None) -> _Corpus:
+    """Read and encode all texts, with the head of ``training`` or a given one.
+
+    Rows ``id, training, n_tokens, n_known, train_tokens, base_score, shares, symbols``, in files that stay until ``held``
+    ends, or as all staged files do without it; ``shares`` is the log10 share of the rare words in their classes.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    shards = parts_for(docs, text_col, SHARD_BYTES)
+    with staged(_split(docs, training, shards, id_col, text_col)) as blocks, staged(_count(blocks, HEAD_COUNT), ["kind"]) as counted:
+        ends = blocks.where("training").count()
+        words = counted.where("kind = 'word'").select("word", "n")
+        counts: dict[bytes, int] = {}
+        if head is None:
+            counts = _head(words, head_words)
+            head = {w: i + 1 for i, w in enumerate(counts)}
+        else:
+            # A given head: its counts here, also of those words that are rarer here.
+            wanted = docs.sparkSession.createDataFrame([(bytearray(w),) for w in head], "word binary")
+            counts = {bytes(r["word"]): r["n"] for r in _word_counts(blocks).join(F.broadcast(wanted), "word").collect()}
+        by_class = counted.where("kind = 'class'").groupBy("class").agg(
+            F.sum("n").alias("n"), F.sum("known").alias("known")).toPandas()  # at most CLASSES rows
+        tokens, known = np.zeros(CLASSES), np.zeros(CLASSES)
+        tokens[by_class["class"].to_numpy(np.int64)] = by_class["n"].to_numpy(float)
+        known[by_class["class"].to_numpy(np.int64)] = by_class["known"].to_numpy(float)
+        n_all, v_all = int(tokens.sum()) + ends, int(known.sum()) + (ends > 0)
+        for word, n in counts.items():  # classes are of the words outside the head
+            tokens[class_of(word)] -= n
+            known[class_of(word)] -= n > 0
+        symbols = np.concatenate([[ends], [counts.get(w, 0) for w in head], tokens])
+        base_all, both = math.log10(n_all + v_all + 1), tokens + known
+        width, end_known, end_base = 1 + len(head), int(ends > 0), math.log10(ends + 1)
+
+        def encode(texts: pa.Table, sums: pa.Table) -> pa.Table:
+            rows = texts.filter(texts["words"].is_null())
+            held_words = sorted(texts.filter(texts["words"].is_valid()).to_pylist(), key=lambda r: r["shard"])
+            found = sorted(sums.to_pylist(), key=lambda r: r["shard"])
+            names = [w for row in held_words for w in _words(row)]
+            c = np.concatenate([np.zeros(0, np.int64), *[_unpack(r["counts"], r["size"], "<i8") for r in found]])
+            symbol = _symbols(names, head)
+            k = np.maximum(symbol - width, 0)
+            # A word outside the head has its share of the class, unseen words together as much as the different ones.
+            share = np.where((symbol >= width) & (both[k] > 0), np.where(c > 0, c, np.maximum(known[k], 1e-300)) / np.maximum(both[k], 1), 1.0)
+            values = np.stack([(c > 0).astype(float), np.log10(c + 1), np.log10(share)], 1)
+            n_tokens = rows["n_tokens"].to_numpy()
+            out, made = np.zeros((len(rows), 3)), []
+            for i, (packed, n) in enumerate(zip(rows["numbers"].to_pylist(), n_tokens.tolist(), strict=True)):
+                at = _unpack(packed, n - 1, "<u4")
+                out[i] = values[at].sum(0)
+                made.append(_pack(np.append(symbol[at], 0).astype("<i4")))
+            return pa.table({
+                "id": rows["id"], "training": rows["training"], "n_tokens": n_tokens, "n_known": out[:, 0].astype(np.int64) + end_known,
+                "train_tokens": np.full(len(rows), n_all), "base_score": out[:, 1] + end_base - n_tokens * base_all, "shares": out[:, 2],
+                "symbols": pa.array(made, pa.binary())})
+
+        sums = counted.where("kind = 'counts'").select(F.col("block").alias("of_block"), "shard", "size", "counts")
+        encoded = blocks.groupBy("block").cogroup(sums.groupBy("of_block")).applyInArrow(
+            encode, f"id {kind}, training boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
+                    "shares double, symbols binary")
+        return _Corpus(stage(encoded) if held is None else held.enter_context(staged(encoded)), head, symbols)
+
+
+def _word_counts(blocks: DataFrame) -> DataFrame:
+    """``word, n``: the training count of every word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.record_batch({"word": pa.array(_words(row), pa.binary()), "n": _unpack(row["counts"], row["size"], "<i8")})
+
+    rows = blocks.where("words IS NOT NULL").select("size", "bytes", "words", "counts")
+    return rows.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _first(head: dict[bytes, int], symbols: np.ndarray, states: int) -> Model:
@@ -233,59 +400,78 @@ def _first(head: dict[bytes, int], symbols: np.ndarray, states: int) -> Model:
                   (symbols[:, None] + 0.1) * draw.gamma(2.0, 0.5, (len(symbols), states))).model(head)
 
 
-def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES,
-        iterations: int = ROUNDS, head_words: int = HEAD_WORDS) -> Model:
-    """Train on the rows where ``training`` holds.
+def _uniform(states: int, head: dict[bytes, int]) -> Model:
+    size = 1 + len(head) + CLASSES
+    return Counts(np.ones(states), np.ones((states, states)), np.ones((size, states))).model(head)
 
-    The head vocabulary and the first parameters come from the word counts of all training texts;
-    each iteration counts over all of them, in pieces of SEGMENT tokens that start from the state
-    frequencies. Null and empty texts are just an end; without any training text the model knows no word.
-    """
-    texts = docs.where(F.coalesce(training, F.lit(False))).select(F.col(f"`{text_col}`").alias("text"))
-    known = _vocabulary(texts, head_words)
-    if known is None:
-        size = 1 + CLASSES
-        return Counts(np.ones(states), np.ones((states, states)), np.ones((size, states))).model({})
-    model = _first(*known, states)
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, texts in _blocks(batch["text"].tolist()):
-                block = _Block(texts, model)
-                yield pd.DataFrame({"symbols": [x.tobytes() for x in np.split(block.symbols, block.starts[1:])]})
 
-    with staged(texts.mapInPandas(encode, "symbols binary")) as encoded:
-        for _ in range(iterations):
-            model = _iterate(encoded, model)
+def _train(corpus: _Corpus, states: int, iterations: int, gain: float) -> Model:
+    if not corpus.symbols.any():
+        return _uniform(states, corpus.head)
+    model, last = _first(corpus.head, corpus.symbols, states), -math.inf
+    for _ in range(iterations):
+        counts = _expected(corpus.rows.where("training"), model)
+        model = counts.model(corpus.head)
+        # The likelihood is that of the parameters that made the counts.
+        now = counts.likelihood / max(counts.emissions.sum(), 1.0)
+        if now - last < gain:
+            break
+        last = now
     return model
 
 
-def _iterate(encoded: DataFrame, model: Model) -> Model:
+def _expected(rows: DataFrame, model: Model) -> Counts:
+    """Expected counts of all rows, summed over the tasks."""
     states, size = len(model.start), len(model.emissions)
     bare = Model({}, model.start, model.resume, model.transitions, model.emissions)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts.zero(states, size)
         for batch in batches:
-            lengths = batch["symbols"].map(len).to_numpy(np.int64) // 4
-            symbols = np.frombuffer(b"".join(batch["symbols"]), np.int32)
+            lengths = batch.column("n_tokens").to_numpy()
+            symbols = np.concatenate([np.zeros(0, np.int32), *[_unpack(x, n, "<i4") for x, n in zip(
+                batch.column("symbols").to_pylist(), lengths.tolist(), strict=True)]])
             pieces = _segments(lengths)
             for k in range(0, len(pieces[0]), COUNT_SEGMENTS):
                 counts.add(bare, symbols, *(x[k:k + COUNT_SEGMENTS] for x in pieces))
-        # Symbols from 0; the negative rows hold the starts and the transitions.
-        table = np.concatenate([counts.transitions[::-1], counts.start[None], counts.emissions])
-        key = np.arange(len(table)) - states - 1
-        seen = table.any(1)
-        frame = pd.DataFrame(table[seen], columns=names)
-        frame.insert(0, "symbol", key[seen])
-        yield frame
-
-    names = [f"s{i}" for i in range(states)]
-    summed = encoded.mapInPandas(run, "symbol int, " + ", ".join(f"{x} double" for x in names)).groupBy("symbol").agg(
-        *[F.sum(x).alias(x) for x in names]).toPandas()  # at most head + classes + states + 2 rows
-    table = np.zeros((size + states + 1, states))
-    table[summed["symbol"].to_numpy(np.int64) + states + 1] = summed[names].to_numpy(float)
-    return Counts(table[states], table[:states][::-1], table[states + 1:]).model(model.head)
+        if not counts.start.any() and not counts.emissions.any():
+            return
+        # Chunks of symbols from 0; the small parts, with the likelihood, are chunk -1.
+        small = np.concatenate([counts.start, counts.transitions.ravel(), [counts.likelihood]])
+        parts = [small, *[counts.emissions[k:k + _CHUNK].ravel() for k in range(0, size, _CHUNK)]]
+        yield pa.record_batch({"chunk": np.arange(-1, len(parts) - 1), "size": np.array(list(map(len, parts))),
+                               "sums": pa.array([_pack(parts[0]), *[_pack(x.astype("<f4")) for x in parts[1:]]], pa.binary())})
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(_unpack(r["sums"], r["size"], "<f8" if r["chunk"] < 0 else "<f4").astype(float) for r in group.to_pylist())
+        return pa.table({"chunk": group["chunk"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    partial = rows.select("n_tokens", "symbols").mapInArrow(run, "chunk bigint, size bigint, sums binary")
+    summed = partial.groupBy("chunk").applyInArrow(add, "chunk bigint, sums binary").collect()  # the size of the model
+    found = {r["chunk"]: np.frombuffer(r["sums"]) for r in summed}
+    small = found.pop(-1)
+    emissions = np.concatenate([found[k] for k in sorted(found)]).reshape(size, states)
+    return Counts(small[:states].copy(), small[states:-1].reshape(states, states).copy(), emissions, float(small[-1]))
+
+
+def _vocabulary(texts: DataFrame, head_words: int) -> tuple[dict[bytes, int], np.ndarray] | None:
+    """The head of all ``texts`` (``text``) and how often each symbol occurs; None without texts."""
+    with ExitStack() as held:
+        corpus = _prepare(texts.withColumn("id", F.lit(None).cast("long")), F.lit(True), held, "id", "text", head_words)
+    return (corpus.head, corpus.symbols) if corpus.symbols[0] else None
+
+
+def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES,
+        iterations: int = ROUNDS, head_words: int = HEAD_WORDS, gain: float = GAIN) -> Model:
+    """Train on the rows where ``training`` holds.
+
+    The head vocabulary and the first parameters come from the word counts of all training texts;
+    each iteration counts over all of them, in pieces of SEGMENT tokens that start from the state
+    frequencies, until the log10 likelihood of a token gains less than ``gain``. Null and empty texts are just an end;
+    without any training text the model knows no word.
+    """
+    with ExitStack() as held:
+        return _train(_prepare(docs, training, held, id_col, text_col, head_words), states, iterations, gain)
 
 
 def score(docs: DataFrame, model: Model, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,81 +479,34 @@ def score(docs: DataFrame, model: Model, training: Column, id_col: str = "doc_id
 
     Returns ``id_col, training, n_tokens`` (words and one end), ``n_known`` (tokens seen in
     training), ``train_tokens``, ``base_score`` and ``score``. A null text is empty: one end. Rows
-    that repeat are scored alike; other columns are ignored.
-
-    Word counts are exact. Words outside the head are counted per block of texts, summed over the
-    blocks by word, and sent back to their blocks; a word has a row per block at most.
+    that repeat are scored alike; other columns are ignored. Word counts are exact and cover all texts.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
-                       F.coalesce(training, F.lit(False)).alias("training"))
-    head_size = 1 + len(model.head)
-    schema = (f"kind string, block bigint, id {kind}, training boolean, n_tokens bigint, forward double, head binary, "
-              "tail binary, number int, word binary, class int, n bigint")
+    # The files of the encoded texts stay for the reader of the result, within its staging scope.
+    return _scored(_prepare(docs, training, None, id_col, text_col, head=model.head), model, id_col)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context = TaskContext.get()
-        part, made = (context.partitionId() if context else 0), 0
-        in_head = np.zeros(head_size, np.int64)
+
+def fit_and_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES,
+                  iterations: int = ROUNDS, head_words: int = HEAD_WORDS, gain: float = GAIN) -> DataFrame:
+    """:func:`score` of a model that :func:`fit` makes of the same rows, which are read and encoded once."""
+    corpus = _prepare(docs, training, None, id_col, text_col, head_words)
+    return _scored(corpus, _train(corpus, states, iterations, gain), id_col)
+
+
+def _scored(corpus: _Corpus, model: Model, id_col: str) -> DataFrame:
+    kind = corpus.rows.schema["id"].dataType.simpleString()
+    bare = Model({}, model.start, model.resume, model.transitions, model.emissions)
+    names = ["id", "training", "n_tokens", "n_known", "train_tokens", "base_score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, texts in _blocks(batch["text"].tolist()):
-                block, key = _Block(texts, model), part << 24 | made
-                made += 1
-                part_of = batch.iloc[begin:begin + len(texts)]
-                trains = part_of["training"].to_numpy(bool)
-                token_trains = np.repeat(trains, block.lengths)
-                inside = block.symbols < head_size
-                in_head += np.bincount(block.symbols[inside & token_trains], minlength=head_size)
-                symbols = [x[x < head_size].astype(np.int32).tobytes() for x in np.split(block.symbols, block.starts[1:])]
-                cuts = np.searchsorted(block.tail_text, np.arange(1, len(texts)))
-                tails = [x.tobytes() for x in np.split(block.tail_ids, cuts)]
-                yield _rows("text", block=key, id=part_of["id"].to_numpy(), training=trains, n_tokens=block.lengths,
-                            forward=model.forward(block.symbols, block.starts, block.lengths), head=symbols, tail=tails)
-                count = np.bincount(block.tail_ids[trains[block.tail_text]], minlength=len(block.tail_words))
-                yield _rows("tail", block=key, number=np.arange(len(count)), word=block.tail_words,
-                            **{"class": block.tail_classes, "n": count})
-        used = np.flatnonzero(in_head)
-        yield _rows("head", number=used, n=in_head[used])
-
-    columns = [x.split()[0] for x in schema.split(", ")]
-
-    def _rows(name: str, **values) -> pd.DataFrame:
-        return pd.DataFrame({"kind": name, **values}).reindex(columns=columns)
-
-    read_once = stage(rows.mapInPandas(read, schema), partition_by=["kind"])
-    head = read_once.where("kind = 'head'").groupBy("number").agg(F.sum("n").alias("n")).toPandas()
-    head_counts = np.zeros(head_size)
-    head_counts[head["number"].to_numpy(np.int64)] = head["n"].to_numpy(float)
-    tail = read_once.where("kind = 'tail'").select("block", "number", "word", "class", "n")
-    by_word = Window.partitionBy("word")
-    counted = stage(tail.select("block", "number", "class", F.sum("n").over(by_word).alias("c"), (
-        F.min(F.struct("block", "number")).over(by_word) == F.struct("block", "number")).alias("first")))
-    classes = counted.where("first AND c > 0").groupBy("class").agg(
-        F.sum("c").alias("tokens"), F.count("*").alias("words")).toPandas()  # at most CLASSES rows
-    class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    class_tokens[classes["class"].to_numpy(np.int64)] = classes["tokens"].to_numpy(float)
-    class_words[classes["class"].to_numpy(np.int64)] = classes["words"].to_numpy(float)
-    n_all = int(head_counts.sum() + class_tokens.sum())
-    base_all = math.log10(n_all + int((head_counts > 0).sum() + class_words.sum()) + 1)
-
-    def finish(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        size = int(words["number"].max()) + 1 if len(words) else 0
-        c, k = np.zeros(size), np.zeros(size, np.int64)
-        c[words["number"]], k[words["number"]] = words["c"], words["class"]
-        both = class_tokens[k] + class_words[k]
-        share = np.where(c > 0, c, class_words[k]) / np.maximum(both, 1)
-        share = np.log10(np.where(both > 0, np.maximum(share, 1e-300), 1.0))
-        tail_base, head_base = np.log10(c + 1), np.log10(head_counts + 1)
-        out = []
-        for head, tail, n, forward in zip(texts["head"], texts["tail"], texts["n_tokens"], texts["forward"], strict=True):
-            head, tail = np.frombuffer(head, np.int32), np.frombuffer(tail, np.int32)
-            known = int((head_counts[head] > 0).sum() + (c[tail] > 0).sum())
-            base = head_base[head].sum() + tail_base[tail].sum() - n * base_all
-            out.append((known, n_all, base, forward + share[tail].sum()))
-        result = pd.DataFrame(out, columns=["n_known", "train_tokens", "base_score", "score"])
-        return pd.concat([texts[["id", "training", "n_tokens"]].reset_index(drop=True), result], axis=1)
-
-    texts = read_once.where("kind = 'text'").select("block", "id", "training", "n_tokens", "forward", "head", "tail")
-    done = texts.groupBy("block").cogroup(counted.select("block", "number", "class", "c").groupBy("block")).applyInPandas(
-        finish, f"id {kind}, training boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+            lengths = batch.column("n_tokens").to_numpy()
+            if not len(lengths):
+                continue
+            symbols = np.concatenate([_unpack(x, n, "<i4") for x, n in zip(
+                batch.column("symbols").to_pylist(), lengths.tolist(), strict=True)])
+            total = bare.forward(symbols, np.cumsum(lengths) - lengths, lengths) + batch.column("shares").to_numpy()
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array(total)], [*names, "score"])
+
+    done = corpus.rows.mapInArrow(run, f"id {kind}, training boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+                                       "base_score double, score double")
     return done.withColumnRenamed("id", id_col)

@@ -48,7 +48,7 @@ def op1_hmm(spark, sf):
     """The model's score of every document; a seventh is held out of training."""
     docs = table(spark, sf, "documents", "doc_id", "text")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
-    scored = hmm.score(docs, hmm.fit(docs, ~held_out), ~held_out)
+    scored = hmm.fit_and_score(docs, ~held_out)
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                          "base_score", "score")
 

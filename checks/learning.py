@@ -106,6 +106,14 @@ def stratified_folds_small_labels(spark, sf):
     return sizes.withColumn("even", F.lit(even).cast("bigint"))
 
 
+@check("stratified_folds_many_labels", _fold_sizes_sql(
+    "(SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_orderkey // 7 END AS many FROM orders)", "many", 5))
+def stratified_folds_many_labels(spark, sf):
+    """A label of a third of all rows among thousands of small ones, by the join for cut points that are too large to broadcast."""
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_orderkey DIV 7 END AS many")
+    return _fold_sizes(ops.stratified_folds(orders, "many", "o_orderkey", small=False), "many", 5)
+
+
 @check("stratified_folds_orders", _fold_sizes_sql("orders", "o_orderstatus", 3))
 def stratified_folds_orders(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
@@ -180,11 +188,11 @@ SELECT CAST({trials} AS BIGINT) AS trials, CAST(1 AS BIGINT) AS best, TRUE AS pl
 FROM (SELECT count(*) FROM embeddings)"""
 
 
-def _searched(planted, noise, trials: int, found, clear):
+def _searched(planted, noise, trials: int, found, clear, space=plans.SEARCH_SPACE, fixed=("maxIter",)):
     """The best trial of a search with a copy of the label, and all of one on hashes alone."""
-    space = set(plans.SEARCH_SPACE)
-    keys = F.forall(F.json_object_keys("params"), lambda k: k.isin(*space, "maxIter")) & (
-        F.size(F.json_object_keys("params")) == len(space) + 1)
+    names = {*space, *fixed}
+    keys = F.forall(F.json_object_keys("params"), lambda k: k.isin(*names)) & (
+        F.size(F.json_object_keys("params")) == len(names))
     worst = noise.agg(F.max("score")).first()[0]
     return planted.agg(
         F.count(F.lit(1)).alias("trials"), F.count_if("is_best").alias("best"),
@@ -193,7 +201,7 @@ def _searched(planted, noise, trials: int, found, clear):
 
 
 # The shipped keys, in ranges that fit tables of a few hundred rows as well.
-_SPACE = {"maxDepth": (2, 3), "stepSize": (0.3, 1.0), "minInstancesPerNode": (5, 20), "subsamplingRate": (0.7, 1.0),
+_SPACE = {"maxDepth": (2, 3), "maxLeaves": (4, 50), "stepSize": (0.3, 1.0), "minInstancesPerNode": (5, 20), "subsamplingRate": (0.7, 1.0),
           "featureSubsetStrategy": (0.8, 1.0)}
 
 
@@ -221,6 +229,57 @@ def random_search_regression(spark, sf):
     return _searched(planted, noise, 3, lambda s: s > -25.0, lambda worst: worst < -40.0)
 
 
+@check("random_search_penalties", _SEARCH_ORACLE.format(trials=4))
+def random_search_penalties(spark, sf):
+    """Linear models over the whole ranges of both penalties."""
+    options = {"folds": 3, "learner": "linear", "parallelism": 3}
+    planted = plans.random_search(_planted(spark, sf), [*VECTOR_FEATURES, "planted"], "y", "vec_id", n_trials=4, **options)
+    noise = plans.random_search(_noise(vectors(spark, sf), ["a", "b"]), ["a", "b"], "y", "vec_id", n_trials=3, **options)
+    return _searched(planted, noise, 4, lambda s: s == 1.0, lambda worst: worst < 0.8, plans.PENALTY_SPACE, [])
+
+
+@check("random_search_penalties_regression", _SEARCH_ORACLE.format(trials=4))
+def random_search_penalties_regression(spark, sf):
+    """The same for a continuous label: nearly all of its spread is explained, or none."""
+    options = {"folds": 3, "learner": "linear", "parallelism": 3, "task": "regression", "stratify_by": "y"}
+    rows = vectors(spark, sf).withColumn("target", F.col("e0") + F.col("y") * 100.0)
+    planted = plans.random_search(rows.withColumn("planted", F.col("target")), [*VECTOR_FEATURES, "planted"], "target", "vec_id",
+                                  n_trials=4, **options)
+    noise = plans.random_search(_noise(rows, ["a", "b"]), ["a", "b"], "target", "vec_id", n_trials=3, **options)
+    return _searched(planted, noise, 4, lambda s: s > -5.0, lambda worst: worst < -40.0, plans.PENALTY_SPACE, [])
+
+
+@check("random_search_shipped", """
+SELECT CAST(4 AS BIGINT) AS trials, CAST(1 AS BIGINT) AS best, TRUE AS planted_found, TRUE AS noise_clear, TRUE AS whole_space
+FROM (SELECT count(*) FROM orders)""")
+def random_search_shipped(spark, sf):
+    """The ranges as shipped, with trees that stop by the held-out fold."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("customer"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("late"))
+    options = {"folds": 3, "fixed": {"maxIter": 10}, "parallelism": 3, "stop_early": 0.01, "n_trials": 4}
+    planted = plans.random_search(orders.withColumn("planted", F.col("late").cast("double")),
+                                  ["o_totalprice", "customer", "planted"], "late", "o_orderkey", **options)
+    noise = plans.random_search(orders, ["o_totalprice", "customer"], "late", "o_orderkey", **options)
+    return _searched(planted, noise, 4, lambda s: s > 0.999, lambda worst: worst < 0.8)
+
+
+@check("oof_early_stop", """
+SELECT CAST(3 AS BIGINT) AS folds, CAST(3 AS BIGINT) AS stopped, CAST(3 AS BIGINT) AS same_auc FROM (SELECT count(*) FROM embeddings)""")
+def oof_early_stop(spark, sf):
+    """A label with a tenth of wrong copies: the held-out fold soon gains no more and ends the trees, at the AUC of all of them."""
+    wrong = F.when(F.col("vec_id") % 10 == 0, 1 - F.col("y")).otherwise(F.col("y"))
+    folded = stage(ops.stratified_folds(vectors(spark, sf).withColumn("copy", wrong), "y", "vec_id", k=3))
+    params = {"maxIter": 20, "maxDepth": 2, "stepSize": 0.5}
+    stopped = plans.out_of_fold(folded, ["copy"], "y", "fold", "vec_id", params, parallelism=3, stop_early=0.01)
+    whole = plans.out_of_fold(folded, ["copy"], "y", "fold", "vec_id", params, parallelism=3)
+    fewer = [n < whole.rounds()[fold] == 20 for fold, n in stopped.rounds().items()]
+    by_fold = ops.exact_auc(stopped.predictions, "y", "prediction", by="fold").join(
+        ops.exact_auc(whole.predictions, "y", "prediction", by="fold").withColumnRenamed("auc", "auc_of_all"), "fold")
+    return by_fold.agg(F.count("*").alias("folds"), F.lit(sum(fewer)).cast("bigint").alias("stopped"),
+                       F.count_if(F.abs(F.col("auc") - F.col("auc_of_all")) < 1e-12).alias("same_auc"))
+
+
 @check("boruta_select", """
 SELECT * FROM (VALUES ('element', 64, TRUE), ('noise', 1, TRUE), ('planted', 1, TRUE)) t(kind, features, as_expected)
 WHERE (SELECT count(*) FROM embeddings) > 0""")

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.nulls import column
 from sparkfeat.operators.ranking import bucket_count, bucket_offsets, hash_bucket
-from sparkfeat.sources.staging import checked_broadcast, stage
+from sparkfeat.sources.staging import BROADCAST_BYTES, checked_broadcast, measured_bytes, stage
 
 FOLDS = 5
 SEED = 4590
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = FOLDS, seed: int = SEED,
-                     out: str = "fold", buckets: int | None = None) -> DataFrame:
+                     out: str = "fold", buckets: int | None = None, small: bool | None = None) -> DataFrame:
     """Add a fold number 0..k-1; per label the fold sizes differ by at most one row.
 
     Rows of a label are ordered by a hash of the (unique) key and cut into k runs; the label's
@@ -22,7 +22,10 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = FOLDS, seed:
     over all folds. Only the
     k - 1 cut points per label are computed: hash-range counts tell which range holds each
     cut, and just those ranges are sorted. The fold is then a comparison on each row, so the
-    table itself is never shuffled, and the result does not depend on its partitioning.
+    table itself is not shuffled, and the result does not depend on its partitioning.
+
+    So many labels that their cut points are too large to broadcast (measured; ``small`` decides by hand)
+    meet their rows by label and hash range, where no label is too much for a task, however many rows it has.
     """
     count = buckets or bucket_count(df)
     slim = df.select(column(label).alias("__label"), column(key).alias("__key"))
@@ -50,11 +53,28 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = FOLDS, seed:
         F.collect_list(point).alias("__cuts")))
 
     own = F.struct(F.xxhash64(F.lit(seed), column(key)).alias("h"), column(key).alias("k"))
-    joined = df.join(checked_broadcast(per_label), column(label).eqNullSafe(F.col("__cut_label")), "left")
-    passed = F.filter("__cuts", lambda cut: cut <= own)
-    run = F.coalesce(F.size(passed), F.lit(0))
     turn = F.pmod(F.xxhash64(F.lit(seed), column(label)), F.lit(k))
-    return joined.withColumn(out, ((run + turn) % k).cast("int")).drop("__cut_label", "__cuts")
+    if measured_bytes(per_label) <= BROADCAST_BYTES if small is None else small:
+        joined = df.join(F.broadcast(per_label), column(label).eqNullSafe(F.col("__cut_label")), "left").withColumn("__run", F.lit(0))
+    else:
+        joined = df.withColumn("__range", hash_bucket(own["h"], count)).join(
+            _by_range(placed, points, point, k), column(label).eqNullSafe(F.col("__cut_label")) & (F.col("__range") == F.col("__cut_range")),
+            "left").drop("__range", "__cut_range")
+    passed = F.filter("__cuts", lambda cut: cut <= own)
+    run = F.coalesce(F.col("__run") + F.coalesce(F.size(passed), F.lit(0)), F.lit(0))
+    return joined.withColumn(out, ((run + turn) % k).cast("int")).drop("__cut_label", "__cuts", "__run")
+
+
+def _by_range(placed: DataFrame, points: DataFrame, point: Column, k: int) -> DataFrame:
+    """For each label and hash range: how many cuts lie before the range, and those within."""
+    inside = points.groupBy(F.col("__label").alias("__in_label"), F.col("__bucket").alias("__in_range")).agg(
+        F.collect_list(point).alias("__cuts"))
+    # Cut j is the row at rank total * j / k.
+    cut_ranks = F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda j: F.floor(F.col("__total") * j / F.lit(k)))
+    earlier = F.size(F.filter(cut_ranks, lambda rank: rank < F.col("__before")))
+    ranges = placed.select(F.col("__label").alias("__cut_label"), F.col("__bucket").alias("__cut_range"), earlier.alias("__run"))
+    same = F.col("__cut_label").eqNullSafe(F.col("__in_label")) & (F.col("__cut_range") == F.col("__in_range"))
+    return ranges.join(inside, same, "left").drop("__in_label", "__in_range")
 
 
 def hashed_folds(df: DataFrame, key: str, k: int = FOLDS, seed: int = SEED,

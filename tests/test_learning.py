@@ -203,3 +203,69 @@ def test_boruta_confirms_the_planted_feature(planted, tmp_path):
     assert verdicts["copy"] == "confirmed" and len(verdicts) == 4
     kept = plans.keep_confirmed(planted, found, keep=["key", "y"], path=str(tmp_path / "kept"))
     assert "copy" in kept.columns and (tmp_path / "kept").exists()
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_folds_by_range_equal_folds_by_label(spark, k):
+    df = spark.range(900).select(F.col("id").alias("key"), F.when(F.col("id") % 3 == 0, "hot").when(
+        F.col("id") % 50 != 1, F.concat(F.lit("l"), F.col("id") % 120)).alias("label"))
+    by_label = rows(ops.stratified_folds(df, "label", "key", k=k, small=True), "key")
+    by_range = ops.stratified_folds(df, "label", "key", k=k, small=False, buckets=16)
+    assert rows(by_range, "key") == by_label
+    tree = plan(by_range).split("AdaptiveSparkPlan", 1)[-1]
+    # The rows themselves move by label and range; by label alone only the counts of ranges do.
+    exchanges = [line for line in tree.splitlines() if "hashpartitioning(" in line and "(label#" in line]
+    assert exchanges and all("__range" in line for line in exchanges)
+
+
+def test_learner_params():
+    assert scoring.learner_params({"maxDepth": 9, "maxLeaves": 50, "featureSubsetStrategy": 0.5}) == {
+        "maxDepth": 6, "featureSubsetStrategy": "0.500000"}
+    assert scoring.learner_params({"maxDepth": 3, "maxLeaves": 50})["maxDepth"] == 3
+    assert scoring.learner_params({"maxLeaves": 2})["maxDepth"] == 1
+    assert scoring.learner_params({"l1": 0.25, "l2": 0.75}, "linear") == {"regParam": 1.0, "elasticNetParam": 0.25}
+    assert scoring.learner_params({"l1": 0.0, "l2": 0.0}, "linear") == {"regParam": 0.0, "elasticNetParam": 0.0}
+
+
+def test_penalties_shrink_weights(spark):
+    df = spark.range(300).select(
+        F.col("id").alias("key"), (F.col("id") % 3).alias("fold"), F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("c")
+    ).withColumn("y", 3 * F.col("a") + 0.2 * F.col("b")).cache()
+
+    def weights(**penalties):
+        found = plans.out_of_fold(df, ["a", "b", "c"], "y", "fold", "key", penalties, "regression", learner="linear")
+        return found.models[0].coefficients.toArray(), found
+    free, none = weights(), weights(l1=0.0, l2=0.0)[0]
+    assert list(free[0]) == pytest.approx(list(none)) and free[0][0] == pytest.approx(3, abs=1e-3)
+    assert min(free[1].rounds().values()) >= 0
+    sparse, small = weights(l1=0.3)[0], weights(l2=1.0)[0]
+    assert sparse[1] == sparse[2] == 0 < sparse[0] < 3
+    assert 0 < small[0] < 2.5 and small[1] != 0
+    with pytest.raises(ValueError):
+        plans.out_of_fold(df, ["a"], "y", "fold", "key", learner="forest")
+    with pytest.raises(ValueError):
+        plans.out_of_fold(df, ["a"], "y", "fold", "key", learner="linear", stop_early=0.1)
+
+
+def test_early_stop_takes_fewer_trees(spark):
+    df = spark.range(400).select(F.col("id").alias("key"), (F.col("id") % 2).alias("fold"), F.rand(4).alias("noise"),
+                                 F.pmod(F.xxhash64("id"), F.lit(2)).alias("y"))
+    found = plans.out_of_fold(df, ["noise"], "y", "fold", "key", {"maxIter": 8, "maxDepth": 4}, stop_early=0.0)
+    assert set(found.rounds()) == {0, 1} and max(found.rounds().values()) < 8
+    assert found.predictions.count() == 400
+
+
+def test_time_limit_ends_the_running_trial(spark):
+    """A trial of a thousand trees is cancelled; the session goes on."""
+    import time
+
+    df = spark.range(200).select(F.col("id").alias("key"), (F.col("id") % 2).alias("y"), F.rand(1).alias("a"))
+    started = time.monotonic()
+    none = plans.random_search(df, ["a"], "y", "key", space={"maxDepth": (4, 5)}, fixed={"maxIter": 5000}, folds=2,
+                               timeout=6.0, end_running=True)
+    assert none.count() == 0 and time.monotonic() - started < 60
+    done = plans.random_search(df, ["a"], "y", "key", space={"maxDepth": (1, 2)}, fixed={"maxIter": 1}, folds=2, n_trials=1,
+                               timeout=600.0, end_running=True)
+    assert [r["is_best"] for r in done.collect()] == [True]
+    with pytest.raises(Exception):
+        plans.random_search(df, ["a"], "y", "key", space={"maxDepth": (1, 2)}, fixed={"maxIter": -1}, n_trials=1, end_running=True)

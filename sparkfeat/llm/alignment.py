@@ -31,9 +31,10 @@ from sparkfeat.sources.staging import stage
 
 BLOCK_BYTES = 2_000_000
 CALL_CHARS = 200_000
-PIECE_CHARS = 50_000
-#: A blank between two ASCII letters: no token of either side spans its left edge.
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+KNOWN_CHUNKS = 200_000
+#: A text is cut at single blanks between two of these characters, none of which is white space or combines with others
+#: to either tokenizer: ASCII signs, Latin, Greek and Cyrillic letters. A token of both then begins with the blank.
+_EDGE = re.compile("[!-~\u00a1-\u00ac\u00ae-\u024f\u0391-\u03a1\u03a3-\u03ff\u0400-\u0482\u048a-\u04ff]")
 _NUMBER = np.dtype("<u4")
 
 
@@ -63,14 +64,17 @@ class Tokenizers:
         model = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         b_bytes = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i)
                    else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size())]
-        # Long texts are encoded in parts, which needs that pieces begin at blanks.
+        # Texts are encoded in chunks, which needs that no piece goes on after a blank.
         if any(b" " in piece.lstrip(b" ") for piece in b_bytes):
             raise ValueError("a piece of the second tokenizer goes on after a blank")
         return cls(a_file, b_file, a_bytes, b_bytes)
 
 
 class _Encoder:
-    """Both tokenizers in a task. Each call encodes a bounded number of characters."""
+    """Both tokenizers in a task. They encode each different chunk of a text once, and a bounded number of characters a call.
+
+    Ids lie one after the other in ``ids``; a chunk's are from ``begins`` on, ``counts`` many.
+    """
 
     def __init__(self, files: Tokenizers) -> None:
         import os
@@ -84,42 +88,85 @@ class _Encoder:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=files.b_file)
-        self.a_bytes, self.b_bytes = files.a_bytes, files.b_bytes
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        """Parts of a long text, cut at blanks (which they lose) where both tokenizers begin a token."""
-        out, start = [], 0
-        while len(text) - start > PIECE_CHARS:
-            cut = _CUT.search(text, start + PIECE_CHARS)
-            if not cut:
-                break
-            out.append(text[start:cut.start()])
-            start = cut.end()
-        return [*out, text[start:]]
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """The ids of A and B for each text; None where there are none, or their bytes are not blank + text."""
-        queue = [(i, piece) for i, text in enumerate(texts) for piece in self._pieces(text)]
-        parts: list[tuple[list[np.ndarray], list[np.ndarray]]] = [([], []) for _ in texts]
-        begin = 0
-        while begin < len(queue):
+        self.spelled = (files.a_bytes, files.b_bytes)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.counts = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.good = np.zeros(0, bool)
+        self.edges: dict[str, bool] = {}
+
+    def _chunks(self, text: str) -> list[str]:
+        """Parts of a text that both tokenizers encode by themselves; the blanks between them are left out."""
+        words, edges = text.split(" "), self.edges
+        out, begin = [], 0
+        for i in range(1, len(words)):
+            left, right = words[i - 1][-1:], words[i][:1]
+            for c in (left, right):
+                if c not in edges:
+                    edges[c] = bool(_EDGE.match(c))
+            if edges[left] and edges[right]:
+                out.append(words[begin] if begin == i - 1 else " ".join(words[begin:i]))
+                begin = i
+        out.append(" ".join(words[begin:]))
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks, and note of each whether both sides spell a blank and the chunk."""
+        found: tuple[list, list] = ([], [])
+        good, begin = [], 0
+        while begin < len(chunks):
             end, size = begin, 0
-            while end < len(queue) and size < CALL_CHARS:
-                size += len(queue[end][1])
+            while end < len(chunks) and size < CALL_CHARS:
+                size += len(chunks[end])
                 end += 1
-            call = [piece for _, piece in queue[begin:end]]
-            for (i, _), a, b in zip(queue[begin:end], self.a.encode_batch_fast([" " + x for x in call], add_special_tokens=False),
-                                    self.b.encode(call, num_threads=1), strict=True):
-                parts[i][0].append(np.array(a.ids, np.int64))
-                parts[i][1].append(np.array(b, np.int64))
+            call = chunks[begin:end]
+            sides = ([x.ids for x in self.a.encode_batch_fast([" " + x for x in call], add_special_tokens=False)],
+                     self.b.encode(call, num_threads=1))
+            for side, ids in zip(found, sides, strict=True):
+                side += [np.array(x, np.int64) for x in ids]
+            for chunk, *ids in zip(call, *sides, strict=True):
+                raw = b" " + chunk.encode("utf-8", "surrogatepass")
+                good.append(all(b"".join([names[i] for i in x]) == raw for names, x in zip(self.spelled, ids, strict=True)))
             begin = end
-        for text, (a, b) in zip(texts, parts, strict=True):
-            a, b = np.concatenate(a), np.concatenate(b)
-            raw = b" " + text.encode("utf-8", "surrogatepass")
-            equal = text and all(b"".join([names[i] for i in ids.tolist()]) == raw for names, ids in (
-                (self.a_bytes, a), (self.b_bytes, b)))
-            yield (a, b) if equal else None
+        first = len(self.known)
+        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.good = np.concatenate([self.good, np.array(good, bool)])
+        for k in (0, 1):
+            self.counts[k] = np.concatenate([self.counts[k], np.array(list(map(len, found[k])), np.int64)])
+            self.ids[k] = np.concatenate([self.ids[k], *found[k]])
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """The ids of A and B for each text; None where there are none, or their bytes are not blank + text."""
+        if len(self.known) > KNOWN_CHUNKS:
+            self._forget()
+        split = [self._chunks(text) for text in texts]
+        flat = [x for chunks in split for x in chunks]
+        new = [x for x in dict.fromkeys(flat) if x not in self.known]
+        if new:
+            self._learn(new)
+        numbers = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        cuts = np.cumsum(list(map(len, split)))[:-1]
+        sides = []
+        for ids, counts in zip(self.ids, self.counts, strict=True):
+            width = counts[numbers]
+            at = np.repeat((np.cumsum(counts) - counts)[numbers] - np.cumsum(width) + width, width) + np.arange(width.sum())
+            ends = np.cumsum(width)
+            sides.append(np.split(ids[at], ends[cuts - 1] if len(ends) else []))
+        good = np.split(self.good[numbers], cuts)
+        for text, a, b, fine in zip(texts, *sides, good, strict=True):
+            if not text:
+                yield None
+            elif fine.all() or self._spells(a, b, text):
+                yield a, b
+            else:
+                yield None
+
+    def _spells(self, a: np.ndarray, b: np.ndarray, text: str) -> bool:
+        raw = b" " + text.encode("utf-8", "surrogatepass")
+        return all(b"".join([names[i] for i in ids.tolist()]) == raw for names, ids in zip(self.spelled, (a, b), strict=True))
 
 
 def gallop(wanted: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray, guess: np.ndarray) -> np.ndarray:

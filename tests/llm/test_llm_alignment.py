@@ -70,25 +70,34 @@ def aligned(spark, rows, tokenizers):
     return sorted(map(tuple, frame.select(COLUMNS).collect()), key=repr)
 
 
-@pytest.mark.parametrize("block,piece", [(2_000_000, 50_000), (300, 40)])
-def test_alignment_against_plain(spark, tokenizers, monkeypatch, block, piece):
+@pytest.mark.parametrize("block,known", [(2_000_000, 50_000), (300, 40)])
+def test_alignment_against_plain(spark, tokenizers, monkeypatch, block, known):
     monkeypatch.setattr(alignment, "BLOCK_BYTES", block)
-    monkeypatch.setattr(alignment, "PIECE_CHARS", piece)
-    monkeypatch.setattr(alignment, "CALL_CHARS", 3 * piece)
+    monkeypatch.setattr(alignment, "KNOWN_CHUNKS", known)
+    monkeypatch.setattr(alignment, "CALL_CHARS", 3 * known)
     rows = odd() + [(1000 + i, t) for i, t in enumerate(ODD)] + [(1000, "a"), (2000, " ".join(ODD))]
     want = plain(rows)
     assert aligned(spark, rows, tokenizers) == sorted(want, key=repr)
     assert sum(w[3] for w in want) > 100 and any(w[1] == 0 and r[1] for w, r in zip(want, rows, strict=True))
 
 
-def test_parts_of_long_texts_encode_as_the_whole(tokenizers, monkeypatch):
-    monkeypatch.setattr(alignment, "PIECE_CHARS", 3)
+def test_chunks_encode_as_the_whole(tokenizers):
     a, b = encoders()
     encoder = alignment._Encoder(tokenizers)
-    texts = ODD + ["the cat's a b c  d éf gh i" * 9, "I 'm a 's x"]
+    signs = "aZ09.,'-é ñ\u00a0\u00adßΩя\u0301\u0483\u200b\u3000\x1c\x85\n\t ▁<>/日🙂"
+    draw = np.random.default_rng(9)
+    texts = ["".join(draw.choice(list(signs + "    "), n)) for n in draw.integers(1, 60, 3000)]
+    texts += ODD + ["the cat's a b c  d éf gh i" * 9, "I 'm a 's x", "a 's 't b", "x  y", " ", "a  ", "1 2 3,4 5"]
+    cut = 0
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
-        if ids is not None:
-            assert ids[0].tolist() == a.encode(" " + text, add_special_tokens=False).ids and ids[1].tolist() == b.encode(text)
+        want = [a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)]
+        cut += len(encoder._chunks(text)) > 1
+        if ids is None:
+            raw = (" " + text).encode()
+            assert any(b"".join(names[i] for i in x) != raw for names, x in zip(encoder.spelled, want, strict=True))
+        else:
+            assert [x.tolist() for x in ids] == want
+    assert cut > 1000
 
 
 def test_gallop_is_a_search():

@@ -405,7 +405,8 @@ def test_line_blocks(spark):
     rows = [(1, f"one own line here to begin\n{block}\nan end"), (2, f"{block}\nanother"), (3, f"x\n{block}"), (3, f"x\n{block}"),
             (None, block), (4, "second line of the same block\nfirst line of a shared block"), (5, None), (6, ""), (7, "short\nshort")]
     got = collected(line_dedup.dedup_lines(table(spark, rows)), "doc_id", "n_lines", "n_removed", "spans")
-    assert got == sorted([(1, 6, 0, []), (2, 5, 4, [0, 4]), (3, 5, 4, [1, 5]), (3, 5, 4, [1, 5]), (None, 4, 4, [0, 4]),
+    # The second of the two equal rows loses all its lines: the first one has them in one block.
+    assert got == sorted([(1, 6, 0, []), (2, 5, 4, [0, 4]), (3, 5, 4, [1, 5]), (3, 5, 5, [0, 5]), (None, 4, 4, [0, 4]),
                           (4, 2, 0, []), (5, 1, 0, []), (6, 1, 0, []), (7, 2, 0, [])], key=repr)
     by_id = {(r[0], tuple(r[3])) for r in got}
     assert (2, (0, 4)) in by_id and (1, ()) in by_id and (None, (0, 4)) in by_id and (4, ()) in by_id
@@ -413,22 +414,51 @@ def test_line_blocks(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
-def test_line_dedup_of_many_pairs_against_all_pairs(spark):
-    random.seed(12)
-    pool = [f"line number {i} of the pool with some more words" for i in range(30)]
-    rows = [(i, "\n".join(random.choices(pool, k=random.randint(1, 8)))) for i in range(40)]
+def shared_lines(rows, least=50):
+    """The lines of each document that lie in a run of ``least`` characters that an earlier one has."""
+    out, seen = {}, set()
+    for i, text in sorted(rows):
+        lines = [x.strip(" ") for x in text.split("\n")]
+        every = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if sum(map(len, lines[a:b])) >= least]
+        out[i] = {k for a, b in every if tuple(lines[a:b]) in seen for k in range(a, b)}
+        seen |= {tuple(lines[a:b]) for a, b in every}
+    return out
+
+
+@pytest.mark.parametrize("seed", [12, 13])
+def test_line_dedup_of_many_pairs_against_all_pairs(spark, seed):
+    """Both ways: all lines of a block that an earlier document has, and no others."""
+    random.seed(seed)
+    pool = [f"line number {i} of the pool with some more words" for i in range(30)] + ["", "}", "a", "short one", "verse of ten"] * 3
+    pool += [f"a line long enough to be a block of its own, number {i}" for i in range(10)]
+    rows = [(i, "\n".join(random.choices(pool, k=random.randint(1, 14)))) for i in range(60)]
+    rows += [(100 + i, "\n".join([*(t.split("\n")[k:] if i % 2 else t.split("\n")[:k]), "x", *t.split("\n")[:3], *t.split("\n")[:3]]))
+             for i, (_, t) in enumerate(rows) for k in [random.randint(0, 5)]]
     got = dict(map(tuple, line_dedup.dedup_lines(table(spark, rows)).select("doc_id", "spans").collect()))
-    for i, text in rows:
-        lines = text.split("\n")
-        owners = {min(j for j, t in rows if line in t.split("\n")) for line in lines} - {i}
-        gone = set()
-        for j in owners:
-            mine = dict(rows)[j].split("\n")
-            pairs = patience.align(mine, lines)
-            gone |= {b for _, b in pairs}  # every line here is long enough to be a block alone or not at all
-        spans = got[i]
-        removed = {k for a, b in zip(spans[::2], spans[1::2]) for k in range(a, b)}
-        assert removed <= gone
+    assert {i: {k for a, b in zip(s[::2], s[1::2]) for k in range(a, b)} for i, s in got.items()} == shared_lines(rows)
+
+
+def test_line_dedup_of_a_block_in_every_document(spark):
+    block = "a block that every document of the table has in it somewhere\nand one more line"
+    rows = [(i, f"own {i}\n{block}\nend {i}") for i in range(400)] + [(1000, "\n" * 3000)]
+    got = dict(map(tuple, line_dedup.dedup_lines(table(spark, rows)).select("doc_id", "spans").collect()))
+    assert got == {i: [1, 3] if 0 < i < 1000 else [] for i, _ in rows}
+
+
+def test_exact_diff_is_longest():
+    random.seed(4)
+    for bits in (1 << 26, 20):
+        patience.TABLE_BITS, kept = bits, patience.TABLE_BITS
+        for _ in range(150):
+            a, b = (random.choices("abc", k=random.randint(0, 13)) for _ in range(2))
+            pairs = patience.common_subsequence(a, b)
+            longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, j in np.ndindex(len(a), len(b)):
+                longest[i + 1][j + 1] = longest[i][j] + 1 if a[i] == b[j] else max(longest[i][j + 1], longest[i + 1][j])
+            assert len(pairs) == longest[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        patience.TABLE_BITS = kept
+    assert len(patience.align("ab" * 3000, "ba" * 3000)) == 5999
 
 
 def test_licences(spark):

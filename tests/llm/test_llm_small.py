@@ -472,17 +472,41 @@ def test_licences(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
-def test_licence_prefilter_loses_nothing():
+def test_licence_windows_lose_nothing():
+    """No window of a match's length, slid over all words between the matches, covers enough."""
     random.seed(13)
-    for _ in range(60):
-        template = licenses.Template("t", " ".join(random.choices([f"word{i}" for i in range(12)], k=8)))
-        text = "\n".join(" ".join(random.choices([*(w.decode() for w in template.words), "other"], k=random.randint(0, 9))) for _ in range(4))
-        lines = licenses.line_words(text)
-        plain = []  # all windows; match() keeps the best of those that overlap
-        for begin, end in template.windows(lines):
-            words = [w for line in lines[begin:end] for w in line]
-            n = len(patience.align(words, template.words))
-            if n >= licenses.COVERAGE * len(template.words):
-                plain.append(n / len(template.words))
-        found = [m[0] for m in template.match(lines)]
-        assert max(found, default=0) == max(plain, default=0) and all(f in plain for f in found)
+    seen = 0
+    for trial in range(300):
+        template = licenses.Template("t", " ".join(random.choices([f"word{i}" for i in range(14)], k=random.randint(4, 12))))
+        noise = [w.decode() for w in template.words] + ["other"] * 6
+        text = []
+        for _ in range(3):
+            text += random.choices(noise, k=random.randint(0, 12))
+            kept = [w.decode() for w in template.words if random.random() < 0.93]
+            text += [x for w in kept for x in ([w, "added"] if random.random() < 0.1 else [w])] if random.random() < 0.7 else []
+        words = licenses.words_of("\n".join(text))
+        found = template.match(words)
+        width = len(template.words) + math.ceil(licenses.ADDED * len(template.words))
+        for coverage, a, b in found:
+            assert coverage >= licenses.COVERAGE - 1e-9 and b - a <= width
+            assert len(patience.common_subsequence(words[a:b], template.words)) >= round(coverage * len(template.words))
+        seen += len(found)
+        for begin, end in zip([0, *(b for _, _, b in found)], [*(a for _, a, _ in found), len(words)], strict=True):
+            for i in range(begin, end):
+                assert len(patience.align(words[i:min(i + width, end)], template.words)) < template.least
+    assert seen > 300
+
+
+@pytest.mark.parametrize("text, names", [
+    ("This work is\nlicensed under the GNU General\nPublic License, version 3.", "GPL-3.0-notice"),
+    ("# Licensed under\n# CC BY-NC 4.0.", "CC-BY-NC-4.0-notice"),
+    ("foo Released under the MIT License. bar bar Released under the MIT License. baz", "MIT-notice,MIT-notice"),
+    ("  * ".join(" ".join(licenses.TEMPLATES["MIT"].split()[k:k + 4]) + "\n" for k in range(0, 170, 4)), "MIT"),
+    (licenses.TEMPLATES["BSD-2-Clause"] + "\n" + licenses.TEMPLATES["BSD-3-Clause-condition"], "BSD-2-Clause,BSD-3-Clause-condition"),
+    ("released the hounds under a mit of the very old license", ""),
+    ("Released " + "word " * 40 + "under the " + "word " * 40 + "MIT License", ""),
+])
+def test_wrapped_and_repeated_notices(text, names):
+    words = licenses.words_of(text)
+    assert ",".join(n for n, t in sorted(licenses.TEMPLATES.items()) for _ in licenses.Template(n, t).match(words)) == names
+

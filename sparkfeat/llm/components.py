@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from sparkfeat.sources.staging import stage
 
 
+#: Neighbours of a vertex are dealt to so many parts, so that the centre of a star is no task's alone.
+PARTS = 64
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: larger neighbours move to the smallest neighbour; small star: smaller ones do."""
     ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     ends = ends.where("u != v")
     if not large:
         ends = ends.where("v < u")
-    least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    ends = ends.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    partial = ends.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = partial.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # The least neighbour goes to each part of a vertex, which is at most a row for each edge.
+    spread = partial.select("u", "part").join(least, "u")
     if large:
-        return ends.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    moved = ends.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return ends.where("v > u").join(spread, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = ends.join(spread, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 

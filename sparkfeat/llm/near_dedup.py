@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import join_groups
+from sparkfeat.llm.common import HOT_SHARE, join_groups
 from sparkfeat.llm.components import connected_components
 from sparkfeat.sources.staging import stage
 
@@ -208,38 +208,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = {c: "text" if c == text_col else f"kept_{i}" for i, c in enumerate(keep)}
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                          *[F.col(f"`{c}`").alias(n) for c, n in names.items() if n != "text"])
-    if keep:  # numbered once, so that the verdict finds its row
-        carried = stage(source.withColumn("row", F.monotonically_increasing_id()))
-        source = carried.select("id", "text")
-        signed = stage(carried.select("id", "text", "row").mapInPandas(_sign, f"id {kind}, row bigint, print binary, bands array<bigint>"))
-    else:
-        signed = stage(source.mapInPandas(_sign, f"id {kind}, print binary, bands array<bigint>").withColumn(
-            "row", F.monotonically_increasing_id()))
+    # Numbered once, so that texts and verdicts find their rows whatever the ids are.
+    carried = stage(source.withColumn("row", F.monotonically_increasing_id()))
+    signed = stage(carried.select("id", "text", "row").mapInPandas(_sign, f"id {kind}, row bigint, print binary, bands array<bigint>"))
     rows = signed.select("id", "row", "print")
     texts = stage(signed.groupBy("print").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"), F.count("*").alias("copies"),
                                               F.min_by("bands", "row").alias("bands")).select(
         "print", F.col("least.id").alias("id"), F.col("least.row").alias("text_no"), "copies", "bands"))
 
     keys = texts.select("text_no", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("text_no").alias("v"), F.count("*").alias("n")).where("n > 1")
-    near = connected_components(keys.join(buckets, "key").select(F.col("text_no").alias("u"), "v"))
+    buckets = stage(keys.groupBy("key").agg(F.min("text_no").alias("v"), F.count("*").alias("n")).where("n > 1"))
+    # The few buckets with a large share of all texts come to their rows; see join_groups.
+    hot = F.broadcast(stage(buckets.where(F.col("n") * HOT_SHARE > BANDS * texts.count()).drop("n")))
+    rest = keys.join(hot.select("key"), "key", "left_anti").join(buckets.drop("n").hint("merge"), "key")
+    near = connected_components(keys.join(hot, "key").unionByName(rest).select(F.col("text_no").alias("u"), "v"))
     near = near.unionByName(near.select(F.col("v").alias("u"), "v").distinct())
     sizes = near.groupBy("v").agg(F.ceil(F.count("*") / TEXTS_IN_BLOCK).cast("int").alias("blocks"))
-    chosen = stage(near.join(sizes, "v").join(texts.select(F.col("text_no").alias("u"), "id", "print"), "u").select(
-        F.col("u").alias("text_no"), F.col("v").alias("component"), "id", "print", "blocks",
-        F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("block")))
+    chosen = stage(join_groups(stage(near), sizes, "v").select(
+        F.col("u").alias("row"), F.col("v").alias("component"), "blocks", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("block")))
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            words = [shingler.words(t) for t in batch["text"]]
-            same = np.array([print_of(w) == p for w, p in zip(words, batch["print"], strict=True)], bool)
-            sets = [shingler.shingles(w) for w, s in zip(words, same, strict=True) if s]
-            yield batch[same].drop(columns=["text", "print"]).assign(
+            sets = [shingler.shingles(shingler.words(t)) for t in batch["text"]]
+            yield batch.drop(columns="text").assign(
                 shingles=[s[0].tobytes() for s in sets], counts=[s[1].tobytes() for s in sets])
 
-    found = source.withColumnRenamed("id", "of").join(chosen.hint("merge"), F.col("of").eqNullSafe(F.col("id"))).select(
-        "component", "block", "blocks", "text_no", "print", "text").mapInPandas(
+    # A text's number is that of the row it was first seen in.
+    found = carried.select("row", "text").join(chosen.hint("merge"), "row").select(
+        "component", "block", "blocks", F.col("row").alias("text_no"), "text").mapInPandas(
         shingle, "component bigint, block int, blocks int, text_no bigint, shingles binary, counts binary")
     paired = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
         {"left": F.least("block", "other"), "right": F.greatest("block", "other")})

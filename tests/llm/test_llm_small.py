@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from sparkfeat.llm import bpe, common, decontaminate, exact_dedup, hmm, html, licenses, line_dedup, near_dedup, patience, quality, repeats
-from sparkfeat.llm.components import connected_components
+from sparkfeat.llm.components import _star, connected_components
 from sparkfeat.llm.queries import vocabulary_path
 
 DOCS = "doc_id bigint, text string, digest string, row int, `my.id` int, chunk int, n int, id string"
@@ -232,6 +232,27 @@ def test_near_duplicate_classes(spark, monkeypatch):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_many_null_ids(spark):
+    """Two thousand rows without an id and two thousand with the same one are no product."""
+    random.seed(21)
+    words = [f"n{i}" for i in range(500)]
+    base = [random.choices(words, k=60) for _ in range(20)]
+    rows = [(None if k % 2 else 5, " ".join([*base[k % 20][:58], f"t{k % 40}", "end"])) for k in range(4000)]
+    got = near_dedup.near_duplicates(table(spark, rows))
+    assert got.count() == 4000 and got.where("kept").count() == 20
+    assert {r[0] for r in got.select("class_size").distinct().collect()} == {200}
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_star_centres_are_spread(spark):
+    edges = spark.range(1, 5000).selectExpr("id AS u", "0L AS v")
+    plan = _star(edges, large=True)._jdf.queryExecution().toString()
+    joins = [x for x in plan.split("== Optimized")[0].splitlines() if "Join" in x]
+    assert joins and any("part" in x for x in joins)
+    assert connected_components(edges).where("v = 0").count() == 4999
+
+
 def test_probability_jaccard_by_its_formula():
     random.seed(9)
     for _ in range(50):

@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def whole_ids(frame: DataFrame, id_col: str) -> None:
+    """Raises unless the ids are whole numbers."""
+    kind = frame.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} is {kind}: this operator needs whole numbers as ids")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. A text of ASCII alone takes the quicker full lower-casing."""
     plain = F.octet_length(text) == F.char_length(text)

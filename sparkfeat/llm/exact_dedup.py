@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import join_groups, lower_ascii
+from sparkfeat.llm.common import join_groups, lower_ascii, whole_ids
 from sparkfeat.sources.staging import stage
 
 _SCHEMA = "digest binary, keep_id bigint, keep_row bigint, group_size bigint, batch string"
@@ -35,7 +35,7 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: str = "text",
-                buckets: int = 64, path: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+                buckets: int = 64, path: str | None = None, keep: Sequence[str] = (), batch: str | None = None) -> DataFrame:
     """Deduplicate a batch against the index and within itself, and append what is new.
 
     Returns ``id_col, keep_id, group_size, kept, text_sha256``, a row for each input row, dropped
@@ -44,22 +44,29 @@ def deduplicate(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: s
     row of this one stays and ``keep_id`` is the earlier id. ``group_size`` counts the rows of the
     batch that brought the text. ``path`` is where a new index lies, by default the warehouse; an index
     keeps the number of buckets it was made with. An empty batch gives no rows; other columns are ignored.
+
+    Name the ``batch`` if it may have to be repeated: what an earlier run of the same name and rows has appended is
+    then its own, so that the repeated run gives the same verdicts and appends only what is missing. Batches come one after
+    the other; two at once may both bring a digest. Ids are whole numbers.
     """
     spark = docs.sparkSession
+    whole_ids(docs, id_col)
     open_index(spark, index, path, buckets)
-    batch = uuid.uuid4().hex
+    batch = batch or uuid.uuid4().hex
     keep = [c for c in keep if c != id_col]
     rows = stage(text_digests(docs, id_col, text_col, keep))
-    groups = rows.groupBy("digest").agg(
-        F.max(F.struct(F.col("id"), F.col("row"))).alias("keep"), F.count("*").alias("group_size"))
+    groups = stage(rows.groupBy("digest").agg(
+        F.max(F.struct(F.col("id"), F.col("row"))).alias("keep"), F.count("*").alias("rows")).select(
+        "digest", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "rows"))
     fresh = groups.hint("merge").join(spark.table(index).select("digest"), "digest", "left_anti").select(
-        "digest", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size",
-        F.lit(batch).alias("batch"))
+        "digest", "keep_id", "keep_row", F.col("rows").alias("group_size"), F.lit(batch).alias("batch"))
     # Rows of a digest come together here anyway, so each bucket gets one sorted file.
     stage(fresh).repartition(buckets, "digest").write.format("parquet").mode("append").bucketBy(
         buckets, "digest").sortBy("digest").saveAsTable(index)
 
-    known = spark.table(index)
+    # Row numbers may differ in a repeated run, so that the row that stays is the one of this run.
+    known = groups.select("digest", "keep_row").hint("merge").join(
+        spark.table(index).select("digest", "keep_id", "group_size", "batch"), "digest")
     return join_groups(rows, known, "digest").select(
         F.col("id").alias(id_col), "keep_id", "group_size",
         ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"),

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.llm.common import parts_for
+from sparkfeat.llm.common import parts_for, whole_ids
 from sparkfeat.llm.suffixes import common_prefixes, suffix_array
 from sparkfeat.sources.staging import stage, staging_root
 
@@ -300,6 +300,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as larger than any. An empty table gives no rows; further columns are ignored.
     """
     spark = docs.sparkSession
+    whole_ids(docs, id_col)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(_NO_ID))).alias("place"),
                          F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("data"))

@@ -70,6 +70,29 @@ def test_exact_index_persists(spark):
     assert "Bucketed: true" in plan or "bucket" in plan.lower()
 
 
+def test_exact_batch_may_be_repeated(spark):
+    rows = odd()
+    columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    first = exact_dedup.deduplicate(table(spark, rows, 3), "t_exact_again", buckets=4, batch="monday")
+    want, kept = collected(first, *columns), first.where("kept").count()
+    again = exact_dedup.deduplicate(table(spark, rows, 7), "t_exact_again", buckets=4, batch="monday")
+    assert collected(again, *columns) == want and again.where("kept").count() == kept
+    # A run that died before it had appended everything.
+    size = spark.table("t_exact_again").count()
+    part = spark.table("t_exact_again").limit(5)
+    part.write.format("parquet").bucketBy(4, "digest").sortBy("digest").saveAsTable("t_exact_part")
+    third = exact_dedup.deduplicate(table(spark, rows, 5), "t_exact_part", buckets=4, batch="monday")
+    assert collected(third, *columns) == want and third.where("kept").count() == kept
+    assert spark.table("t_exact_part").count() == size
+    other = exact_dedup.deduplicate(table(spark, rows), "t_exact_again", buckets=4, batch="tuesday")
+    assert other.where("kept").count() == 0
+
+
+def test_exact_needs_whole_ids(spark):
+    with pytest.raises(ValueError, match="whole numbers"):
+        exact_dedup.deduplicate(spark.createDataFrame([("a", "b")], "doc_id string, text string"), "t_exact_ids")
+
+
 def test_exact_batch_on_an_index_of_larger_groups(spark):
     first = table(spark, [(2 * i + k, f"pair {i}") for i in range(700) for k in (0, 1)])
     exact_dedup.deduplicate(first, "t_exact_hot", buckets=4).count()

@@ -58,13 +58,18 @@ _ORDER_CELLS = ["o_custkey", "o_totalprice", "o_orderpriority"]
 
 @check("shuffle_columns_mixed_types", f"""
 SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS last_row, CAST(sum(o_custkey) AS BIGINT) AS custkey_sum, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS price_sum,
- CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS urgent FROM orders""")
+ CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS urgent, TRUE AS apart, TRUE AS moved FROM orders""")
 def shuffle_columns_mixed_types(spark, sf):
-    shuffled = ops.shuffle_columns(table(spark, sf, "orders"), _ORDER_CELLS, "o_orderkey")
-    return shuffled.agg(
+    """The marginals of each column; no more whole rows than by chance, and cells away from the place that their key's order gives."""
+    orders = table(spark, sf, "orders")
+    shuffled = stage(ops.shuffle_columns(orders, _ORDER_CELLS, "o_orderkey"))
+    whole = orders.select(*_ORDER_CELLS).distinct().withColumn("whole", F.lit(1))
+    return shuffled.join(whole, _ORDER_CELLS, "left").agg(
         F.count(F.lit(1)).alias("n"), F.max("row").cast("bigint").alias("last_row"), F.sum("o_custkey").alias("custkey_sum"),
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("price_sum"),
-        F.sum((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("urgent"))
+        F.sum((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("urgent"),
+        (F.count("whole") < F.count(F.lit(1)) * 0.01).alias("apart"),
+        (F.abs(F.corr(F.col("row"), F.col("o_custkey"))) < 0.1).alias("moved"))
 
 
 @check("augment", f"""
@@ -289,7 +294,11 @@ def boruta_select(spark, sf):
     found = plans.boruta_select(rows, [*VECTOR_FEATURES, "planted", "noise"], "y", "vec_id", max_iter=12, trees=20, depth=4)
     kind = F.when(F.col("feature").isin("planted", "noise"), F.col("feature")).otherwise("element")
     good = (F.when(F.col("feature") == "planted", F.col("status") == "confirmed")
-            .when(F.col("feature") == "noise", F.col("status") != "confirmed").otherwise(F.lit(True)))
+            .when(F.col("feature") == "noise", F.col("status") != "confirmed")
+            # An element is judged by its hits: confirmed or rejected only on many or few, and no better than the copy.
+            .otherwise(F.col("status").isin("confirmed", "tentative", "rejected") & F.col("hits").between(0, 12)
+                       & F.when(F.col("status") == "confirmed", F.col("hits") >= 8).when(F.col("status") == "rejected", F.col("hits") <= 4)
+                       .otherwise(F.col("hits").between(1, 11))))
     return found.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).cast("int").alias("features"), F.min(good).alias("as_expected"))
 
 

@@ -238,6 +238,20 @@ def fill_quantile(spark, sf):
     return rounded(ops.fill_quantile(rows, ["installments", "amount"]))
 
 
+@check("fill_quantile_history", f"""
+WITH t AS (SELECT txn_id, CASE WHEN txn_id % 9 = 0 THEN NULL ELSE purchase_amount END AS amount FROM ({TXN_SQL}))
+SELECT txn_id, {r("coalesce(amount, (SELECT quantile_cont(amount, 0.5) FROM t))")} AS amount,
+ (SELECT count(amount) FROM t) AS known FROM t""")
+def fill_quantile_history(spark, sf):
+    """Filled by the kept state of old transactions merged with that of the new ones."""
+    amount = F.when(F.col("txn_id") % 9 != 0, F.col("purchase_amount")).alias("amount")
+    rows = stage(txn(spark, sf).select("txn_id", "month_lag", amount))
+    states = [ops.quantile_state(rows.where(part), ["amount"]) for part in ("month_lag < 0", "NOT month_lag < 0")]
+    state = stage(ops.merge_quantile_states(*states))
+    filled = ops.fill_quantile(rows, ["amount"], state=state).select("txn_id", "amount")
+    return rounded(filled.withColumn("known", F.lit(state.first()["n"]).cast("bigint")))
+
+
 _BRANCH = """
 SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 10 = 1 THEN lower(c_mktsegment)
  ELSE concat_ws('_', lower(c_mktsegment), c_nationkey, c_custkey % 7) END AS branch FROM {customer}"""

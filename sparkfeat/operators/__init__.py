@@ -18,7 +18,9 @@ from sparkfeat.operators.project import (
     cast_columns, drop_columns, feature_columns, map_values, month_diff, normalise_nan, one_hot,
     patch_value, replace_values, select_features, select_supported, split_all_null, time_features,
 )
-from sparkfeat.operators.quantiles import exact_quantiles, with_global_quantiles
+from sparkfeat.operators.quantiles import (
+    exact_quantiles, merge_quantile_states, quantile_state, state_quantiles, with_global_quantiles,
+)
 from sparkfeat.operators.ranking import running_total
 from sparkfeat.operators.ratios import ratio_features, recency_features
 from sparkfeat.operators.rowstats import row_statistics

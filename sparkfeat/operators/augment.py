@@ -1,4 +1,8 @@
-"""Column-shuffled copies: the marginals stay, the links between columns go."""
+"""Column-shuffled copies: the marginals stay, the links between columns go.
+
+Rows are numbered once, by a hash of their key. A keyed bijection of the numbers 0 .. n - 1 then says for each
+column and copy where a cell goes, so that a cell is moved once and none is ranked.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,38 @@ from sparkfeat.operators.ranking import bucket_count, bucket_offsets, hash_bucke
 SEED = 4590
 
 
+#: Half rounds of the bijection, and steps that a number may take until it is one of the n.
+HALF_ROUNDS = 8
+WALK = 64
+
+
+def _mixed(value: str, key: str) -> str:
+    """SQL of one step of a keyed bijection of the grid numbers 0 .. __a * __b - 1 (a Feistel network by remainders).
+
+    A number is a row and a column of the grid; in turn, each is moved by a hash of the other.
+    """
+    def moved(part: str, by: str, size: str) -> str:
+        return f"pmod(s.{part} + pmod(xxhash64(s.{by}, i, {key}), {size}), {size})"
+    x, y = moved("x", "y", "__a"), moved("y", "x", "__b")
+    return (f"aggregate(sequence(1, {HALF_ROUNDS}), named_struct('x', {value} div __b, 'y', {value} % __b), "
+            f"(s, i) -> if(i % 2 = 1, named_struct('x', {x}, 'y', s.y), named_struct('x', s.x, 'y', {y})), s -> s.x * __b + s.y)")
+
+
+def permuted(df: DataFrame, number: str, size: str, key: str, out: str) -> DataFrame:
+    """Adds ``out``, the place of ``number`` in a permutation of 0 .. ``size`` - 1 that the SQL text ``key`` picks.
+
+    The grid of about the square root of ``size`` each way has fewer than that many numbers too many. A number that lands
+    on one of these goes on from there, which keeps the map a bijection; hardly any needs more than a step.
+    """
+    grid = df.withColumn("__a", F.expr(f"greatest(1L, CAST(ceil(sqrt({size})) AS BIGINT))")).withColumn(
+        "__b", F.expr(f"CAST(ceil({size} / __a) AS BIGINT)"))
+    first = grid.withColumn("__at", F.expr(_mixed(number, key)))
+    walked = f"aggregate(sequence(1, {WALK}), __at, (at, step) -> if(at < {size}, at, {_mixed('at', key)}))"
+    ended = first.withColumn("__at", F.expr(f"CASE WHEN __at < {size} THEN __at ELSE {walked} END"))
+    return ended.withColumn(out, F.expr(f"if(__at < {size}, __at, CAST(raise_error('the walk of a permutation did not end') AS BIGINT))")).drop(
+        "__a", "__b", "__at")
+
+
 def _shuffled(df: DataFrame, cols: Sequence[str], key: str, seed: int, copies: Column,
               group: Column | None = None, carry: Sequence[str] = (),
               buckets: int | None = None) -> DataFrame:
@@ -20,14 +56,14 @@ def _shuffled(df: DataFrame, cols: Sequence[str], key: str, seed: int, copies: C
 
     ``group`` divides the rows into classes that are permuted apart.
 
-    Every value gets a rank by a hash of (key, column, copy), and the values of one rank form
-    a new row. Ranks are positions inside hash ranges plus the sizes of the ranges before, so
-    one class may be the whole table. Hashes, unlike random numbers, give a retried task or a
-    repartitioned table the same answer. ``carry`` columns move together, as one series.
+    Rows get numbers by a hash of the key: positions inside hash ranges plus the sizes of the ranges before, so
+    one class may be the whole table. A cell's new row is that of a permutation of the numbers which the seed, its column
+    and its copy pick. Hashes, unlike random numbers, give a retried task or a
+    repartitioned table the same answer. ``carry`` columns move together, as one series that keeps its row.
     """
     count = buckets or bucket_count(df)
     classes = [] if group is None else ["__class"]
-    by, place = [*classes, "__copy", "__series"], [*classes, "__copy", "__row"]
+    place = [*classes, "__copy", "__row"]
     types = {c: df.schema[c].dataType.simpleString() for c in [*cols, *carry]}
     data_types = list(dict.fromkeys(types[c] for c in cols))
     slots = {data_type: f"v{i}" for i, data_type in enumerate(data_types)}
@@ -48,26 +84,22 @@ def _shuffled(df: DataFrame, cols: Sequence[str], key: str, seed: int, copies: C
 
     cells = [cell(i, c) for i, c in enumerate(cols)] + ([cell(len(cols), None)] if carry else [])
 
-    def ranked(rows: DataFrame) -> DataFrame:
-        hashed = F.xxhash64(F.lit(seed), F.col("__key"), F.col("__series"), F.col("__copy"))
-        return rows.withColumn("__hash", hashed).withColumn(
-            "__bucket", hash_bucket(F.col("__hash"), count))
-
     classed = df if group is None else df.withColumn("__class", group)
-    repeated = classed.withColumn("__key", column(key)).withColumn("__copy", F.explode(copies))
+    keyed = classed.withColumn("__id", column(key)).withColumn("__hash", F.xxhash64(F.lit(seed), F.col("__id"))).withColumn(
+        "__bucket", hash_bucket(F.col("__hash"), count))
     # The counting pass needs keys only, so the scan below it reads no feature column.
-    keys = repeated.select(*classes, "__copy", "__key").withColumn(
-        "__series", F.explode(F.sequence(F.lit(0), F.lit(len(cells) - 1))))
-    counts = ranked(keys).groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = bucket_offsets(counts, by, "__bucket", "__n").select(*by, "__bucket", "__before")
-
-    values = ranked(repeated.withColumn("__cell", F.expr(f"explode(array({', '.join(cells)}))"))
-                    .select(*classes, "__copy", "__key", F.col("__cell.series").alias("__series"), "__cell"))
-    within = Window.partitionBy(*by, "__bucket").orderBy("__hash", "__key")
-    position = F.row_number().over(within)
-    # The window leaves the cells partitioned and sorted by this join's keys.
-    numbered = values.withColumn("__position", position).join(offsets, [*by, "__bucket"])
-    rows = numbered.withColumn("__row", F.col("__before") + F.col("__position")).select(*place, "__cell")
+    counts = keyed.groupBy(*classes, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = bucket_offsets(counts, classes, "__bucket", "__n").select(*classes, "__bucket", "__before", "__total")
+    within = Window.partitionBy(*classes, "__bucket").orderBy("__hash", "__id")
+    # The window leaves the rows partitioned and sorted by this join's keys.
+    numbered = keyed.withColumn("__position", F.row_number().over(within)).join(offsets, [*classes, "__bucket"]).withColumn(
+        "__number", F.col("__before") + F.col("__position") - 1).drop("__hash", "__bucket", "__before", "__position", "__id")
+    repeated = numbered.withColumn("__copy", F.explode(copies))
+    cut = repeated.withColumn("__cell", F.expr(f"explode(array({', '.join(cells)}))")).select(
+        *classes, "__copy", "__number", "__total", F.col("__cell.series").alias("__series"), "__cell")
+    moved = permuted(cut, "__number", "__total", f"{seed}, __series, __copy", "__to")
+    stays = F.col("__series") == len(cols)
+    rows = moved.withColumn("__row", F.when(stays, F.col("__number")).otherwise(F.col("__to")) + 1).select(*place, "__cell")
     # Every row gets exactly one cell per series. Cells are shuffled as they are and gathered
     # behind the shuffle: one aggregate per column would widen each to a whole row before it.
     gathered = rows.repartition(*place).groupBy(*place).agg(

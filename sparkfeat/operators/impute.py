@@ -27,12 +27,14 @@ def fill_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fill_quantile(df: DataFrame, cols: Sequence[str], q: float = 0.5,
-                  approximate: bool = False, fit_on: DataFrame | None = None) -> DataFrame:
+                  approximate: bool = False, fit_on: DataFrame | None = None,
+                  state: DataFrame | None = None) -> DataFrame:
     """Columns as doubles with missing values replaced by the column's quantile.
 
     The fit reads its input twice before the result reads ``df``: give a stored table as
-    ``fit_on`` if ``df`` is the result of joins.
+    ``fit_on`` if ``df`` is the result of joins. A kept ``state`` of those rows spares the first read,
+    and with ``approximate`` both; see :func:`quantile_state`.
     """
-    found = exact_quantiles(df if fit_on is None else fit_on, cols, [q], approximate=approximate)
+    found = exact_quantiles(df if fit_on is None else fit_on, cols, [q], approximate=approximate, state=state)
     return df.withColumns({
         c: F.coalesce(_as_double(c), F.lit(found[c][0]).cast("double")) for c in cols})

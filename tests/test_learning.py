@@ -40,8 +40,22 @@ def test_shuffle_depends_on_the_seed_only(cells):
     assert rows(ops.shuffle_columns(cells, ["a", "c"], "key", seed=2), "row") != base
 
 
-def test_shuffle_moves_each_cell_twice(cells):
-    """Once to be ranked and once into its row; counting the hash ranges takes two small ones."""
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000])
+def test_permutations_are_bijections(spark, n):
+    from sparkfeat.operators.augment import permuted
+
+    numbers = spark.range(n).select("id", F.lit(n).cast("bigint").alias("size")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    found = {}
+    for r in permuted(numbers, "id", "size", "7, k", "to").collect():
+        found.setdefault(r["k"], []).append((r["id"], r["to"]))
+    maps = [tuple(to for _, to in sorted(pairs)) for pairs in found.values()]
+    assert all(sorted(m) == list(range(n)) for m in maps)
+    if n >= 16:
+        assert len(set(maps)) == 6 and all(sum(a == b for a, b in enumerate(m)) < 8 for m in maps)
+
+
+def test_shuffle_moves_each_cell_once_by_itself(cells):
+    """Whole rows to be numbered, then cells into their rows; counting the hash ranges takes two small ones."""
     tree = plan(ops.shuffle_columns(cells, ["a", "b"], "key")).split("\n\n")[0]
     assert tree.count("Exchange") - tree.count("BroadcastExchange") - 2 == 2
 

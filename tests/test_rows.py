@@ -159,6 +159,32 @@ def test_exact_quantiles_recover_from_a_wrong_bracket(spark, monkeypatch):
     assert quantiles.exact_quantiles(df, ["x"], [0.25, 0.5]) == {"x": [25.0, 50.0]}
 
 
+def test_quantile_states_merge_and_are_kept(spark, tmp_path):
+    """History and new rows: their merged states bracket the exact quantiles of both, without a sketch pass."""
+    df = spark.range(20_000).select("id", (F.xxhash64("id") / F.lit(1e12)).alias("x"), (F.col("id") % 7).alias("hot"),
+                                    F.lit(None).cast("double").alias("none"))
+    columns, probs = ["x", "hot", "none"], [0.0, 0.01, 0.5, 0.731, 1.0]
+    parts = [df.where("id < 15000"), df.where("id >= 15000 AND id < 19990"), df.where("id >= 19990")]
+    for i, part in enumerate(parts):
+        ops.quantile_state(part, columns).write.parquet(str(tmp_path / f"state{i}"))
+    merged = ops.merge_quantile_states(*[spark.read.parquet(str(tmp_path / f"state{i}")) for i in range(3)]).cache()
+    assert dict(map(tuple, merged.select("series", "n").collect())) == {"x": 20_000, "hot": 20_000}
+    assert ops.exact_quantiles(df, columns, probs, state=merged) == ops.exact_quantiles(df, columns, probs)
+    close = ops.exact_quantiles(df, columns, probs, state=merged, approximate=True)
+    ranks = df.select(*[(F.count_if(F.col("x") <= v) / 20_000).alias(f"q{i}") for i, v in enumerate(close["x"])]).first()
+    assert all(abs(r - p) < 0.004 for r, p in zip(ranks, probs)) and close["none"] == [None] * 5
+    with pytest.raises(ValueError, match="other rows"):
+        ops.exact_quantiles(parts[0], columns, probs, state=merged)
+    with pytest.raises(ValueError, match="other rows"):
+        ops.exact_quantiles(df.withColumn("none", F.lit(1.0)), columns, probs, state=merged)
+    pooled = ops.quantile_state(df, ["x", "hot"], pooled=True)
+    row = ops.with_global_quantiles(df, ["x", "hot"], state=pooled).first()
+    assert row == ops.with_global_quantiles(df, ["x", "hot"]).first()
+    holes = df.withColumn("x", F.when(F.col("id") % 5 > 0, F.col("x")))
+    filled = ops.fill_quantile(holes, ["x"], state=ops.quantile_state(holes, ["x"])).where("id % 5 = 0").first()["x"]
+    assert filled == ops.exact_quantiles(holes, ["x"], [0.5])["x"][0]
+
+
 def test_approximate_quantile_is_close(spark):
     df = spark.range(1001).select(F.col("id").cast("double").alias("x"))
     assert abs(ops.exact_quantiles(df, ["x"], [0.5], approximate=True)["x"][0] - 500) <= 1

@@ -246,8 +246,6 @@ def _own_text(node: Node) -> str:
 
 
 def _score(nodes: list[Node]) -> None:
-    for node in nodes:
-        node.points = 0.0
     for node in nodes:
         node.points = 0.0
     for node in nodes:
@@ -305,45 +303,6 @@ def _cut_named(nodes: list[Node]) -> list[Node]:
     return _ordered(nodes[0])
 
 
-def _best(nodes: list[Node]) -> Node | None:
-    best = max(nodes, key=lambda n: n.points * (1 - _density(n)), default=None)
-    return best if best is not None and best.points > 0 else None
-
-
-def _around(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
-def _cut_named(nodes: list[Node]) -> list[Node]:
-    """Takes out the elements that their names say are no article, unless one holds the best container of the page."""
-    if not any(node.named for node in nodes):
-        return nodes
-    _measure(nodes)
-    _score(nodes)
-    best = _best(nodes)
-    if best is not None and any(n.named for n in _around(best)):
-        holds = {id(n) for start in nodes if start.tag in ("article", "main", "h1") for n in _around(start.parent)}
-        inside: set[int] = set()
-        for node in nodes:
-            if node.named or (node.parent is not None and id(node.parent) in inside):
-                inside.add(id(node))
-        most = best.points
-        clean = [n for n in nodes if id(n) not in inside]
-        _score(clean)
-        other = _best(clean)
-        for node in _around(best):
-            # Comments may well be longer than the article.
-            weak = other is None or (node.named != "comment" and other.points < 0.25 * most)
-            if node.named and (id(node) in holds or weak):
-                node.named = ""
-    for node in nodes:
-        # What stands before and after an element are different blocks.
-        node.children = [c if not isinstance(c, Node) or not c.named else Node("hr", node) if c.tag in _BLOCK else " " for c in node.children]
-    return _ordered(nodes[0])
-
-
 def _kept(nodes: list[Node]) -> list[Node]:
     """The best container, or the article around it, and its siblings that read like text."""
     best = _best(nodes)

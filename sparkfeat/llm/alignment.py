@@ -18,6 +18,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,8 @@ CALL_CHARS = 200_000
 KNOWN_CHUNKS = 200_000
 #: A text is cut at single blanks between two of these characters, none of which is white space or combines with others
 #: to either tokenizer: ASCII signs, Latin, Greek and Cyrillic letters. A token of both then begins with the blank.
-_EDGE = re.compile("[!-~\u00a1-\u00ac\u00ae-\u024f\u0391-\u03a1\u03a3-\u03ff\u0400-\u0482\u048a-\u04ff]")
+_EDGE = "[!-~\u00a1-\u00ac\u00ae-\u024f\u0391-\u03a1\u03a3-\u03ff\u0400-\u0482\u048a-\u04ff]"
+_CUT = re.compile(f" (?={_EDGE})(?<={_EDGE} )")
 _NUMBER = np.dtype("<u4")
 
 
@@ -72,6 +74,7 @@ class Tokenizers:
 
 class _Encoder:
     """Both tokenizers in a task. They encode each different chunk of a text once, and a bounded number of characters a call.
+    Chunks are what lies between the cuts, each encoded by itself, without the blank before it.
 
     Ids lie one after the other in ``ids``; a chunk's are from ``begins`` on, ``counts`` many.
     """
@@ -96,54 +99,38 @@ class _Encoder:
         self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.counts = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.good = np.zeros(0, bool)
-        self.edges: dict[str, bool] = {}
-
-    def _chunks(self, text: str) -> list[str]:
-        """Parts of a text that both tokenizers encode by themselves; the blanks between them are left out."""
-        words, edges = text.split(" "), self.edges
-        out, begin = [], 0
-        for i in range(1, len(words)):
-            left, right = words[i - 1][-1:], words[i][:1]
-            for c in (left, right):
-                if c not in edges:
-                    edges[c] = bool(_EDGE.match(c))
-            if edges[left] and edges[right]:
-                out.append(words[begin] if begin == i - 1 else " ".join(words[begin:i]))
-                begin = i
-        out.append(" ".join(words[begin:]))
-        return out
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks, and note of each whether both sides spell a blank and the chunk."""
-        found: tuple[list, list] = ([], [])
-        good, begin = [], 0
+        begin = 0
         while begin < len(chunks):
             end, size = begin, 0
             while end < len(chunks) and size < CALL_CHARS:
                 size += len(chunks[end])
                 end += 1
             call = chunks[begin:end]
-            sides = ([x.ids for x in self.a.encode_batch_fast([" " + x for x in call], add_special_tokens=False)],
-                     self.b.encode(call, num_threads=1))
-            for side, ids in zip(found, sides, strict=True):
-                side += [np.array(x, np.int64) for x in ids]
-            for chunk, *ids in zip(call, *sides, strict=True):
-                raw = b" " + chunk.encode("utf-8", "surrogatepass")
-                good.append(all(b"".join([names[i] for i in x]) == raw for names, x in zip(self.spelled, ids, strict=True)))
+            raw = [b" " + x.encode("utf-8", "surrogatepass") for x in call]
+            good = np.ones(len(call), bool)
+            for k, sides in enumerate(([x.ids for x in self.a.encode_batch_fast([" " + x for x in call], add_special_tokens=False)],
+                                       self.b.encode(call, num_threads=1))):
+                flat, counts, names = list(chain.from_iterable(sides)), np.array(list(map(len, sides)), np.int64), self.spelled[k]
+                tokens = [names[i] for i in flat]
+                ends, at = np.r_[0, np.cumsum(list(map(len, tokens)))], np.r_[0, np.cumsum(counts)]
+                # All at once, and one by one only where a chunk is spelled otherwise.
+                if (np.diff(ends[at]) != list(map(len, raw))).any() or b"".join(tokens) != b"".join(raw):
+                    good &= [b"".join(tokens[i:j]) == x for i, j, x in zip(at, at[1:], raw, strict=False)]
+                self.counts[k] = np.concatenate([self.counts[k], counts])
+                self.ids[k] = np.concatenate([self.ids[k], np.array(flat, np.int64)])
+            self.known.update(zip(call, range(len(self.known), len(self.known) + len(call)), strict=True))
+            self.good = np.concatenate([self.good, good])
             begin = end
-        first = len(self.known)
-        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-        self.good = np.concatenate([self.good, np.array(good, bool)])
-        for k in (0, 1):
-            self.counts[k] = np.concatenate([self.counts[k], np.array(list(map(len, found[k])), np.int64)])
-            self.ids[k] = np.concatenate([self.ids[k], *found[k]])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """The ids of A and B for each text; None where there are none, or their bytes are not blank + text."""
         if len(self.known) > KNOWN_CHUNKS:
             self._forget()
-        split = [self._chunks(text) for text in texts]
-        flat = [x for chunks in split for x in chunks]
+        split = list(map(_CUT.split, texts))
+        flat = list(chain.from_iterable(split))
         new = [x for x in dict.fromkeys(flat) if x not in self.known]
         if new:
             self._learn(new)

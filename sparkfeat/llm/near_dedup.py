@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.llm.common import HOT_SHARE, join_groups
-from sparkfeat.llm.components import connected_components
+from sparkfeat.llm.components import PARTS, connected_components
 from sparkfeat.sources.staging import stage
 
 WORDS = 5
@@ -132,6 +132,25 @@ def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return float((x[both] / (below[both] + above[both] / ratio[both])).sum())
 
 
+def _similar(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether two texts, as shingles and counts, reach the similarity."""
+    both = np.union1d(x[0], y[0])
+    a, b = np.zeros(len(both)), np.zeros(len(both))
+    a[np.searchsorted(both, x[0])], b[np.searchsorted(both, y[0])] = x[1], y[1]
+    return probability_jaccard(a, b) >= SIMILARITY - 1e-12
+
+
+def _set(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(shingles, np.uint64), np.frombuffer(counts, np.int32).astype(float)
+
+
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        good = [_similar(_set(*x[:2]), _set(*x[2:])) for x in zip(
+            batch["shingles"], batch["counts"], batch["rep_shingles"], batch["rep_counts"], strict=True)]
+        yield batch.loc[np.array(good, bool), ["u", "v"]]
+
+
 class _Forest:
     """Which texts are linked already."""
 
@@ -148,11 +167,10 @@ class _Forest:
 
 
 def _links(frame: pd.DataFrame) -> pd.DataFrame:
-    """Verified links of one block of texts, or between two; those that follow from others are left out."""
+    """Verified links of one block of texts, or between two; those that follow from others, or from known classes, are left out."""
     frame = frame.drop_duplicates("text_no").reset_index(drop=True)
     n = len(frame)
-    shingles = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
-    counts = [np.frombuffer(x, np.int32).astype(float) for x in frame["counts"]]
+    shingles, counts = zip(*[_set(x, y) for x, y in zip(frame["shingles"], frame["counts"], strict=True)], strict=True)
     owner = np.repeat(np.arange(n), [len(x) for x in shingles])
     values, column = np.unique(np.concatenate(shingles), return_inverse=True)
     weight = np.concatenate(counts)
@@ -177,14 +195,13 @@ def _links(frame: pd.DataFrame) -> pd.DataFrame:
         bound[across[:, None] == across] = 0
     a, b = np.nonzero(np.triu(bound, 1) >= SIMILARITY - 1e-4)
     best = np.argsort(-bound[a, b], kind="stable")
-    forest, out = _Forest(n), []
+    forest, out, first = _Forest(n), [], {}
+    for i, known in enumerate(frame["known"].tolist()):
+        forest.join(i, first.setdefault(known, i))
     for i, j in zip(a[best].tolist(), b[best].tolist(), strict=True):
         if forest.find(i) == forest.find(j):
             continue
-        both = np.union1d(shingles[i], shingles[j])
-        x, y = np.zeros(len(both)), np.zeros(len(both))
-        x[np.searchsorted(both, shingles[i])], y[np.searchsorted(both, shingles[j])] = counts[i], counts[j]
-        if probability_jaccard(x, y) >= SIMILARITY - 1e-12:
+        if _similar((shingles[i], counts[i]), (shingles[j], counts[j])):
             forest.join(i, j)
             out.append((frame["text_no"].iloc[i], frame["text_no"].iloc[j]))
     return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
@@ -199,9 +216,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null ids alone is null. Rows that repeat are copies; an empty table gives no rows; further
     columns are ignored.
 
-    Candidate texts are grouped into components of shared bands; within a component every two
-    texts are compared, in blocks of TEXTS_IN_BLOCK, by the weight of their common shingles, so
-    that no link between them is lost and no pairs are listed.
+    Candidate texts are grouped into components of shared bands. Each text is first compared with the first text of
+    the bucket that most of its bands share; within a component, texts outside the largest class that this gives are
+    compared with all others, in blocks of TEXTS_IN_BLOCK, by the weight of their common shingles. So no link between
+    candidates is lost, no pairs are listed, and a component of copies costs as much as its texts.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     keep = [c for c in keep if c != id_col]
@@ -221,11 +239,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The few buckets with a large share of all texts come to their rows; see join_groups.
     hot = F.broadcast(stage(buckets.where(F.col("n") * HOT_SHARE > BANDS * texts.count()).drop("n")))
     rest = keys.join(hot.select("key"), "key", "left_anti").join(buckets.drop("n").hint("merge"), "key")
-    near = connected_components(keys.join(hot, "key").unionByName(rest).select(F.col("text_no").alias("u"), "v"))
-    near = near.unionByName(near.select(F.col("v").alias("u"), "v").distinct())
-    sizes = near.groupBy("v").agg(F.ceil(F.count("*") / TEXTS_IN_BLOCK).cast("int").alias("blocks"))
-    chosen = stage(join_groups(stage(near), sizes, "v").select(
-        F.col("u").alias("row"), F.col("v").alias("component"), "blocks", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("block")))
+    edges = stage(keys.join(hot, "key").unionByName(rest).where("text_no != v").groupBy(F.col("text_no").alias("u"), "v").agg(
+        F.count("*").alias("hits")))
+    near = connected_components(edges)
+    near = stage(near.unionByName(near.select(F.col("v").alias("u"), "v").distinct()))
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
@@ -235,13 +252,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 shingles=[s[0].tobytes() for s in sets], counts=[s[1].tobytes() for s in sets])
 
     # A text's number is that of the row it was first seen in.
-    found = carried.select("row", "text").join(chosen.hint("merge"), "row").select(
-        "component", "block", "blocks", F.col("row").alias("text_no"), "text").mapInPandas(
-        shingle, "component bigint, block int, blocks int, text_no bigint, shingles binary, counts binary")
-    paired = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
-        {"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    found = stage(carried.select(F.col("row").alias("text_no"), "text").join(near.select(
+        F.col("u").alias("text_no"), F.col("v").alias("component")).hint("merge"), "text_no").select("text_no", "component", "text").mapInPandas(
+        shingle, "text_no bigint, component bigint, shingles binary, counts binary"))
+
+    # Each text against the first text of most of its buckets: most links are found here, without any block.
+    part = F.pmod(F.xxhash64("u"), F.lit(PARTS)).alias("part")
+    first = stage(edges.groupBy("u").agg(F.max_by("v", F.struct("hits", -F.col("v"))).alias("v")).select("u", "v", part))
+    side = first.select("v", "part").distinct().join(found.select(
+        F.col("text_no").alias("v"), F.col("shingles").alias("rep_shingles"), F.col("counts").alias("rep_counts")), "v")
+    met = found.select(F.col("text_no").alias("u"), "shingles", "counts").join(first, "u").join(side, ["v", "part"])
+    known = stage(connected_components(met.mapInPandas(_verified, "u bigint, v bigint")))
+
+    # Within a component, texts outside the largest class so far are compared with all that are not of their class.
+    member = stage(found.select("text_no", "component").join(known.withColumnRenamed("u", "text_no"), "text_no", "left").select(
+        "text_no", "component", F.coalesce("v", "text_no").alias("known")))
+    sizes = member.groupBy("component", "known").agg(F.count("*").alias("n")).groupBy("component").agg(
+        F.max_by("known", F.struct("n", -F.col("known"))).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
+    blocks = stage(sizes.select("component", "largest", *[F.ceil(x / TEXTS_IN_BLOCK).cast("int").alias(name) for name, x in (
+        ("small", F.col("n") - F.col("most")), ("large", F.col("most")))]))
+    in_large = F.col("known") == F.col("largest")
+    placed = join_groups(member, blocks, "component").withColumns({
+        "block": F.when(in_large, F.col("small") + F.pmod(F.xxhash64("text_no"), F.col("large"))).otherwise(
+            F.pmod(F.xxhash64("text_no"), F.col("small"))).cast("int"),
+        "last": F.when(in_large, F.col("small") - 1).otherwise(F.col("small") + F.col("large") - 1)})
+    paired = found.drop("component").join(placed.hint("merge"), "text_no").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumns(
+        {"left": F.least("block", "other"), "right": F.greatest("block", "other")}).select(
+        "component", "block", "left", "right", "text_no", "known", "shingles", "counts")
     links = paired.groupBy("component", "left", "right").applyInPandas(_links, "u bigint, v bigint")
-    classes = connected_components(links)
+    classes = connected_components(known.unionByName(links))
 
     grouped = stage(texts.drop("bands").join(classes.withColumnRenamed("u", "text_no"), "text_no", "left").withColumn(
         "class", F.coalesce("v", "text_no")).drop("v"))

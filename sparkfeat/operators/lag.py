@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.nulls import clean, column
-from sparkfeat.operators.ranking import GROUP_LIMIT, largest_group, sliced
-from sparkfeat.sources.staging import checked_broadcast, stage
+from sparkfeat.operators.ranking import GROUP_LIMIT, largest_group
+from sparkfeat.sources.staging import checked_broadcast, stage, stage_bucketed
 
 _SLICE = "__slice"
 
@@ -20,14 +20,17 @@ def with_previous(df: DataFrame, key: str, order: str, value: str, out: str = "p
     ``order`` must be unique within a key. ``bounded_groups`` states that a key has few rows
     by construction (one per month, say) and uses a window as it is. Otherwise the largest
     key is measured, and beyond ``group_limit`` rows the table is cut into ordered slices:
-    a slice's first row takes its predecessor from the last row of the slice before.
+    a slice's first row takes its predecessor from the last row of the slice before. The slices are kept as
+    a table bucketed by slice, so that rows are moved once, to their slice.
     """
     rows = df.where(column(key).isNotNull())
     if bounded_groups or largest_group(rows, [key]) <= group_limit:
         window = Window.partitionBy(column(key)).orderBy(column(order))
         return rows.withColumn(out, F.lag(clean(rows, value)).over(window))
 
-    ranged = sliced(rows, [key, order], slices)
+    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(count, column(key), column(order)).withColumn(_SLICE, F.spark_partition_id())
+    ranged = stage_bucketed(ranged, count, [_SLICE])
     last = ranged.groupBy(_SLICE).agg(
         F.max_by(F.struct(column(key).alias("k"), clean(ranged, value).alias("v")),
                  F.struct(column(key), column(order))).alias("last"))

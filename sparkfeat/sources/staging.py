@@ -72,6 +72,23 @@ def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return frame
 
 
+def stage_bucketed(df: DataFrame, buckets: int, by: Sequence[str], sort: Sequence[str] = ()) -> DataFrame:
+    """Like :func:`stage`, with the rows in ``buckets`` files by hash of ``by``, each sorted by ``by`` and ``sort``.
+
+    Groupings and windows by ``by`` (and more columns) read the result without an exchange. Only a table of
+    the catalog can say so; its entry lasts until the frame knows its files.
+    """
+    spark = df.sparkSession
+    name, path = f"staged_{uuid.uuid4().hex}", f"{staging_root(spark)}/{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).bucketBy(buckets, *by).sortBy(*by, *sort).saveAsTable(name)
+    frame = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    scope = _OPEN.get()
+    if scope is not None:
+        scope.append(path)
+    return frame
+
+
 @contextmanager
 def staging_scope(spark: SparkSession) -> Iterator[None]:
     """Removes, at its end, all that operators staged inside the block.

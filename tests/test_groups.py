@@ -118,6 +118,18 @@ def test_sliced_lag_equals_the_window_on_one_hot_key(spark):
     assert rows(cut.select("o", "previous"), "o") == rows(window.select("o", "previous"), "o")
 
 
+def test_sliced_lag_moves_rows_once(spark):
+    """The rows are in their slices already: nothing but the broadcast of the carried rows is exchanged, and no table stays."""
+    before = spark.catalog.listTables()
+    df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").alias("o"), F.col("id").alias("v"))
+    cut = ops.with_previous(df, "k", "o", "v", group_limit=100, slices=9)
+    tree = plan(cut, "simple")
+    assert tree.count("Exchange") == tree.count("BroadcastExchange") == 1
+    assert cut.where("previous = o - 2").count() == 998 and cut.where("previous IS NULL").count() == 2
+    assert len(spark.catalog.listTables()) == len(before)
+
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 1])
 def test_factorize(spark, monkeypatch, limit):
     monkeypatch.setattr("sparkfeat.operators.ranking.running_total.__defaults__", (

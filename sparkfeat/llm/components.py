@@ -5,28 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkfeat.llm.common import HOT_SHARE
 from sparkfeat.sources.staging import stage
 
 
-#: Neighbours of a vertex are dealt to so many parts, so that the centre of a star is no task's alone.
-PARTS = 64
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """Large star: larger neighbours move to the smallest neighbour; small star: smaller ones do.
 
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large star: larger neighbours move to the smallest neighbour; small star: smaller ones do."""
+    ``total`` is about the number of edges. The few vertices with a large share of them, the centres of stars, are
+    broadcast with their smallest neighbour, so that their edges stay where they are.
+    """
     ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     ends = ends.where("u != v")
     if not large:
         ends = ends.where("v < u")
-    ends = ends.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
-    partial = ends.groupBy("u", "part").agg(F.min("v").alias("m"))
-    least = partial.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
-    # The least neighbour goes to each part of a vertex, which is at most a row for each edge.
-    spread = partial.select("u", "part").join(least, "u")
-    if large:
-        return ends.where("v > u").join(spread, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    moved = ends.join(spread, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    least = ends.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    centres = F.broadcast(least.where(F.col("n") * HOT_SHARE > total).select("u", "m"))
+    moving = ends.where("v > u") if large else ends
+    rest = moving.join(centres.select("u"), "u", "left_anti").join(least.drop("n"), "u")
+    moved = moving.join(centres, "u").unionByName(rest).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved if large else moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
 def _print(edges: DataFrame) -> tuple[int, int]:
@@ -40,10 +38,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates large and small stars, each round written to the shared folder, until the edges no
     longer change. The rounds grow with the logarithm of the size of a component.
     """
-    current, seen = stage(edges.where("u != v").select("u", "v").distinct()), None
-    while True:
-        current = stage(_star(_star(current, large=True), large=False).where("u != v").distinct())
+    current = stage(edges.where("u != v").select("u", "v").distinct())
+    seen = _print(current)  # stars with their smallest vertex as the centre are done after one round
+    while seen[0]:
+        current = stage(_star(_star(current, True, seen[0]), False, seen[0]).where("u != v").distinct())
         now = _print(current)
         if now == seen:
-            return current
+            break
         seen = now
+    return current

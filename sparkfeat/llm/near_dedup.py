@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.llm.common import HOT_SHARE, join_groups
-from sparkfeat.llm.components import PARTS, connected_components
+from sparkfeat.llm.components import connected_components
 from sparkfeat.sources.staging import stage
 
 WORDS = 5
@@ -31,6 +31,8 @@ BANDS, BAND_ROWS = 32, 5
 TEXTS_IN_BLOCK = 256
 BLOCK_BYTES = 3_000_000
 CACHE_WORDS = 250_000
+#: Texts that are compared with one text are dealt to so many parts.
+PARTS = 64
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -280,8 +282,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "other", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumns(
         {"left": F.least("block", "other"), "right": F.greatest("block", "other")}).select(
         "component", "block", "left", "right", "text_no", "known", "shingles", "counts")
-    links = paired.groupBy("component", "left", "right").applyInPandas(_links, "u bigint, v bigint")
-    classes = connected_components(known.unionByName(links))
+    links = stage(paired.groupBy("component", "left", "right").applyInPandas(_links, "u bigint, v bigint"))
+    classes = known if links.isEmpty() else connected_components(known.unionByName(links))
 
     grouped = stage(texts.drop("bands").join(classes.withColumnRenamed("u", "text_no"), "text_no", "left").withColumn(
         "class", F.coalesce("v", "text_no")).drop("v"))

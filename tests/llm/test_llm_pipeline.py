@@ -25,7 +25,7 @@ def documents(connection):
 
 def test_stage_names_and_columns():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "benchmark", "tokens"]
-    assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
 
 
 def test_exact_dedup_query(spark, connection):

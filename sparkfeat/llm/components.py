@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.llm.common import HOT_SHARE
+from sparkfeat.operators.ranking import GROUP_LIMIT
 from sparkfeat.sources.staging import stage
 
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """Large star: larger neighbours move to the smallest neighbour; small star: smaller ones do.
 
-    ``total`` is about the number of edges. The few vertices with a large share of them, the centres of stars, are
-    broadcast with their smallest neighbour, so that their edges stay where they are.
+    ``total`` is about the number of edges. Where they are too many for a task, the few vertices with a large share of
+    them, the centres of stars, are broadcast with their smallest neighbour, so that their edges stay where they are.
     """
     ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     ends = ends.where("u != v")
     if not large:
         ends = ends.where("v < u")
     least = ends.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    centres = F.broadcast(least.where(F.col("n") * HOT_SHARE > total).select("u", "m"))
     moving = ends.where("v > u") if large else ends
+    if total <= GROUP_LIMIT:
+        moved = moving.join(least.drop("n"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return moved if large else moved.unionByName(least.select("u", F.col("m").alias("v")))
+    centres = F.broadcast(least.where(F.col("n") * HOT_SHARE > total).select("u", "m"))
     rest = moving.join(centres.select("u"), "u", "left_anti").join(least.drop("n"), "u")
     moved = moving.join(centres, "u").unionByName(rest).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved if large else moved.unionByName(least.select("u", F.col("m").alias("v")))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from sparkfeat.llm import bpe, common, decontaminate, exact_dedup, hmm, html, licenses, line_dedup, near_dedup, patience, quality, repeats
+from sparkfeat.llm import components
 from sparkfeat.llm.components import _star, connected_components
 from sparkfeat.llm.queries import vocabulary_path
 
@@ -268,8 +269,9 @@ def test_near_duplicates_of_many_null_ids(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_star_centres_are_spread(spark):
+def test_star_centres_are_spread(spark, monkeypatch):
     edges = spark.range(1, 5000).selectExpr("id AS u", "0L AS v")
+    monkeypatch.setattr(components, "GROUP_LIMIT", 100)
     plan = _star(edges, True, 4999)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and plan.count("strategy=broadcast") >= 2
     assert connected_components(edges).where("v = 0").count() == 4999

@@ -71,10 +71,9 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, kind.ravel()
 
 
-def _anchors(data: np.ndarray) -> np.ndarray:
-    """For each string of the data, by its start, where its anchor is (the leftmost of equals)."""
-    out = np.empty(max(0, len(data) - LENGTH + 1), np.int64)
-    for begin in range(0, len(out), _PIECE):
+def _anchors(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each string of the data, by its start, where its anchor is (the leftmost of equals); a piece at a time."""
+    for begin in range(0, len(data) - LENGTH + 1, _PIECE):
         part = data[begin:begin + _PIECE + LENGTH - 1]
         h = part.astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(0x7F4A7C15)
         width = 1
@@ -90,24 +89,33 @@ def _anchors(data: np.ndarray) -> np.ndarray:
             width *= 2
         if width < STARTS:
             least = np.minimum(least[:width - STARTS], least[STARTS - width:])
-        out[begin:begin + len(least)] = (least & 0xFFFFF) + begin
-    return out
+        yield begin, (least & 0xFFFFF) + begin
 
 
 def _runs(texts: list[bytes]) -> list[bytes]:
-    """For each text its runs of strings with one anchor: length and anchor's offset, a byte each."""
+    """For each text its runs of strings with one anchor: length and anchor's offset, a byte each.
+
+    Only bytes and runs are held for all texts; what takes numbers for each string is done by piece.
+    """
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(lengths) - lengths
-    anchors = _anchors(np.frombuffer(b"".join(texts), np.uint8))
-    edge = np.zeros(len(anchors) + LENGTH + 1, np.int8)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    inside = np.zeros(len(data) + 1, np.int8)
     long = lengths >= LENGTH
-    edge[starts[long]] += 1
-    edge[(starts + lengths)[long] - LENGTH + 1] -= 1
-    inside = np.flatnonzero(np.cumsum(edge[:len(anchors)], dtype=np.int8))
-    mine = anchors[inside]
-    heads = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])) if len(mine) else np.zeros(0, np.int64)
-    begin = inside[heads]
-    pairs = np.stack([np.diff(np.append(heads, len(mine))), mine[heads] - begin], axis=1).astype(np.uint8)
+    inside[starts[long]] += 1
+    inside[(starts + lengths)[long] - LENGTH + 1] -= 1
+    np.cumsum(inside, dtype=np.int8, out=inside)
+    begins, places, ranks, seen, last = [], [], [], 0, -1
+    for first, anchors in _anchors(data):
+        at = np.flatnonzero(inside[first:first + len(anchors)])
+        mine = anchors[at]
+        heads = np.flatnonzero(np.append(last, mine[:-1]) != mine) if len(mine) else at
+        begins.append(at[heads] + first)
+        places.append(mine[heads])
+        ranks.append(heads + seen)
+        seen, last = seen + len(mine), mine[-1] if len(mine) else last
+    begin, place, rank = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (begins, places, ranks))
+    pairs = np.stack([np.diff(np.append(rank, seen)), place - begin], axis=1).astype(np.uint8)
     cuts = np.searchsorted(begin, starts[1:])
     return [p.tobytes() for p in np.split(pairs, cuts)]
 
@@ -170,12 +178,12 @@ class _Chunk:
         mask = np.where(doc > self.least[self.kind], _ALL, bits[self.kind])
         some = np.flatnonzero(mask)
         begin, size, mask = self.begin[self.chosen][some], self.size[self.chosen][some], mask[some]
-        edge = np.zeros(len(self.data) + 1, np.int32)
+        edge = np.zeros(len(self.data) + 1, np.int8)  # sums are at most LENGTH
         for j in range(STARTS):
             here = begin[(size > j) & ((mask >> np.uint64(j)) & np.uint64(1) == 1)] + j
             edge[here] += 1  # a start occurs once, so that no place is counted twice in one step
             edge[here + LENGTH] -= 1
-        return np.cumsum(edge[:-1]) > 0
+        return np.cumsum(edge[:-1], dtype=np.int8, out=edge[:-1]) > 0
 
     def results(self, removed: np.ndarray, with_text: bool) -> pd.DataFrame:
         out = []

@@ -4,9 +4,11 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sparkfeat.llm import bpe, common, decontaminate, exact_dedup, hmm, html, licenses, line_dedup, near_dedup, patience, quality, repeats
@@ -220,6 +222,26 @@ def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_hold_no_numbers_for_each_string():
+    """Runs of a chunk and its removed bytes take a few bytes a byte of text, not several numbers."""
+    random.seed(1)
+    text = "".join(random.choices("abcdefgh ", k=3_000_000)).encode()
+    tracemalloc.start()
+    try:
+        runs = repeats._runs([text, text])
+        assert tracemalloc.get_traced_memory()[1] < 10 * 2 * len(text)
+        frame = pd.DataFrame({"row": [0, 1], "id": [1, 2], "place": [1, 2], "data": [text, text], "runs": runs})
+        chunk = repeats._Chunk(frame)
+        chunk.contexts(np.sort(chunk.hash[:1000]), 1)
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        removed = chunk.removed({})
+        assert tracemalloc.get_traced_memory()[1] - before < 4 * 2 * len(text)
+    finally:
+        tracemalloc.stop()
+    assert removed[len(text):].any() and not removed[:len(text)].any()
+
+
 # Near duplicates
 
 

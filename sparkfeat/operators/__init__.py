@@ -11,7 +11,7 @@ from sparkfeat.operators.lag import lag_difference, lag_ratio, with_previous
 from sparkfeat.operators.lookups import left_join_all, lookup
 from sparkfeat.operators.narrow import narrow_types, narrowing_report
 from sparkfeat.operators.profile import (
-    distinct_profile, entity_profile, smoothed_group_mean, successive_aggregate,
+    by_whole_keys, distinct_profile, entity_profile, smoothed_group_mean, successive_aggregate,
     successive_features, two_level_profile, value_counts,
 )
 from sparkfeat.operators.project import (

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfeat.functions.nulls import clean, column
-from sparkfeat.sources.staging import stage
+from sparkfeat.sources.staging import stage, stage_bucketed
+
+# The rows that a task of a table staged by key takes at least and, unless tasks are many, at most.
+ROWS_IN_TASK = (25_000, 250_000)
+
+# Sets are made in place for so many names at most: each row becomes names x names cells.
+SETS_IN_PLACE = 16
 
 # A GROUPING SETS clause takes at most 64 columns; wider lists go in several passes.
 SETS_AT_ONCE = 50
@@ -41,11 +48,52 @@ def aggregate(value: Column, how: str) -> Column:
     return _SIMPLE[how](value)
 
 
-def by_each(rows: DataFrame, names: Sequence[str], *exprs: Column, key: str | None = None) -> DataFrame:
+def by_whole_keys(df: DataFrame, key: str, profile: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """``profile(rows, together)`` with the rows of each key brought together once.
+
+    Where keys have few rows each, a wide aggregate that combines before its shuffle sends nearly a buffer, many
+    times as long as the row, for each row. Here rows are staged in buckets of ``key``: groupings by it, and by
+    it and more columns, need no exchange, and ``together`` says so. Keys of more rows than a task should take are
+    profiled apart as they lie, where combining first leaves one buffer a key and task.
+    ``df`` is read three times: pass a staged frame.
+    """
+    rows = df.where(column(key).isNotNull())
+    least, most = ROWS_IN_TASK
+    counts = rows.groupBy(column(key).alias("__key")).agg(F.count(F.lit(1)).alias("n"))
+    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
+    total = total or 0
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, math.ceil(total / most), min(partitions, math.ceil(total / least)))
+
+    def placed(part: DataFrame) -> DataFrame:
+        return stage_bucketed(part.repartition(buckets, column(key)), buckets, [key])
+
+    if (largest or 0) <= most:
+        return profile(placed(rows), True)
+    # Fewer keys than buckets.
+    large = F.broadcast(stage(counts.where(F.col("n") > most).select("__key")))
+    is_large = column(key) == F.col("__key")
+    rest = profile(placed(rows.join(large, is_large, "left_anti")), True)
+    return rest.unionByName(profile(rows.join(large, is_large, "left_semi"), False))
+
+
+def by_each(rows: DataFrame, names: Sequence[str], *exprs: Column, key: str | None = None,
+            together: bool = False) -> DataFrame:
     """Aggregate by each of ``names`` (and ``key``) apart; in a set the other names are NULL.
 
-    One pass, and one shuffle, for every ``SETS_AT_ONCE`` names.
+    One pass, and one shuffle, for every ``SETS_AT_ONCE`` names. With ``together`` the rows of a key are in one
+    partition (see :func:`by_whole_keys`), which a GROUPING SETS clause would forget: the sets are made as an
+    array in the row, and nothing is shuffled.
     """
+    if together and key is not None and len(names) <= SETS_IN_PLACE:
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        others = [column(f) for f in rows.columns if f not in {key, *names}]
+        sets = F.array(*[
+            F.struct(F.lit(i).alias("__set"), *[
+                (column(n) if n == own else F.lit(None).cast(kinds[n])).alias(n) for n in names])
+            for i, own in enumerate(names)])
+        cells = rows.select(column(key), *others, F.inline(sets))
+        return cells.groupBy(column(key), "__set", *[column(n) for n in names]).agg(*exprs).drop("__set")
     fixed = [] if key is None else [column(key)]
     passes = []
     for begin in range(0, len(names), SETS_AT_ONCE):
@@ -65,12 +113,13 @@ def _bitmask_distinct(value: Column, low: int, high: int) -> Column:
 
 
 def distinct_profile(df: DataFrame, key: str, cols: Sequence[str], approximate: bool = False,
-                     suffix: str = "nunique") -> DataFrame:
+                     suffix: str = "nunique", together: bool = False) -> DataFrame:
     """Exact distinct counts of several columns per key, NULL not counted.
 
     One grouping set per column de-duplicates (key, value) pairs before and after the first
     shuffle, so a hot key is spread over its values, and no task holds a set of them. The
     second grouping counts what is left. ``approximate`` uses sketches instead, in one pass.
+    ``together`` is that of :func:`by_each`.
     """
     rows = df.where(column(key).isNotNull())
     if approximate:
@@ -78,7 +127,8 @@ def distinct_profile(df: DataFrame, key: str, cols: Sequence[str], approximate:
             F.approx_count_distinct(clean(rows, c)).alias(f"{c}_{suffix}") for c in cols])
     slim = rows.select(column(key), *[clean(rows, c).alias(f"__d{i}") for i, c in enumerate(cols)])
     names = [f"__d{i}" for i in range(len(cols))]
-    pairs = by_each(slim, names, F.grouping_id().alias("__set"), key=key)
+    number = F.count(F.lit(1)) if together else F.grouping_id()
+    pairs = by_each(slim, names, number.alias("__rows"), key=key, together=together)
     # Within the set of one column all the others are NULL, so count() sees only its values.
     return pairs.groupBy(column(key)).agg(*[
         F.count(n).alias(f"{c}_{suffix}") for n, c in zip(names, cols)])
@@ -87,7 +137,8 @@ def distinct_profile(df: DataFrame, key: str, cols: Sequence[str], approximate:
 def entity_profile(df: DataFrame, key: str, spec: Mapping[str, Sequence[str]],
                    count_name: str | None = "transactions_count",
                    domains: Mapping[str, tuple[int, int]] | None = None,
-                   approximate: bool = False, distinct_from: DataFrame | None = None) -> DataFrame:
+                   approximate: bool = False, distinct_from: DataFrame | None = None,
+                   together: bool = False) -> DataFrame:
     """Aggregate ``{column: [sum, mean, max, min, std, count, nunique]}`` by ``key``.
 
     Outputs are named ``{column}_{statistic}``; the row count comes with the same grouping.
@@ -95,7 +146,8 @@ def entity_profile(df: DataFrame, key: str, spec: Mapping[str, Sequence[str]],
     rows, and joined on the key: inside one wide aggregate Spark would carry every other
     aggregate's buffer along with each distinct value. ``distinct_from`` may name the same rows
     before lookups that only the other aggregates need. ``domains`` declares the ranges of whole
-    numbers for which a bit mask counts distinct values inside the wide aggregate.
+    numbers for which a bit mask counts distinct values inside the wide aggregate. ``together`` is that of
+    :func:`by_each`.
     """
     domains = domains or {}
     for name in domains:
@@ -124,7 +176,7 @@ def entity_profile(df: DataFrame, key: str, spec: Mapping[str, Sequence[str]],
         result = rows.groupBy(column(key)).agg(*exprs)
     else:
         source = rows if distinct_from is None else distinct_from
-        distinct = distinct_profile(source, key, wide_distinct, approximate)
+        distinct = distinct_profile(source, key, wide_distinct, approximate, together=together)
         result = rows.groupBy(column(key)).agg(*exprs).join(distinct, key, "left") if exprs else distinct
     return result.select(column(key), *[column(name) for name in order])
 
@@ -157,11 +209,13 @@ def successive_aggregate(df: DataFrame, key: str, field1: str, field2: str) -> D
         for how in SUCCESSIVE_STATISTICS])
 
 
-def successive_features(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def successive_features(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]],
+                        together: bool = False) -> DataFrame:
     """:func:`successive_aggregate` of many pairs, on the keys that the first pair keeps.
 
     All first fields are grouping sets of a single pass: one scan, one shuffle by
-    (key, field value), one by key, and no join, however many pairs there are.
+    (key, field value), one by key, and no join, however many pairs there are. ``together`` is that of
+    :func:`by_each`.
     """
     firsts = list(dict.fromkeys(f1 for f1, _ in pairs))
     seconds = list(dict.fromkeys(f2 for _, f2 in pairs))
@@ -171,7 +225,7 @@ def successive_features(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]
         column(key),
         *[clean(df, f1).alias(g) for f1, g in group.items()],
         *[clean(df, f2).alias(m) for f2, m in measure.items()])
-    means = by_each(rows, list(group.values()), *[F.avg(m).alias(f"{m}_mean") for m in measure.values()], key=key)
+    means = by_each(rows, list(group.values()), *[F.avg(m).alias(f"{m}_mean") for m in measure.values()], key=key, together=together)
     # Catalyst moves this below the first aggregation: rows without the set's field stop there.
     means = means.where(_any_filled(list(group.values())))
     # A set's own column is NULL in every other set, and where the field itself is missing.

@@ -13,7 +13,7 @@ from sparkfeat.operators.group_means import mean_encode, with_group_mean
 from sparkfeat.operators.lag import lag_ratio
 from sparkfeat.operators.lookups import left_join_all
 from sparkfeat.operators.profile import (
-    CALENDAR_DOMAINS, aggregate, entity_profile, successive_features, two_level_profile,
+    CALENDAR_DOMAINS, aggregate, by_whole_keys, entity_profile, successive_features, two_level_profile,
 )
 from sparkfeat.operators.project import cast_columns, map_values, month_diff, one_hot, time_features
 from sparkfeat.operators.ratios import ratio_features, recency_features
@@ -110,13 +110,22 @@ def card_profile(rows: DataFrame, merchant_cols: Sequence[str], as_of: str,
                  distinct_cols: Sequence[str] = DISTINCT_COLUMNS, stage_rows: bool = False) -> DataFrame:
     """The aggregated card with its recency and ratio columns.
 
-    The rows are read three times; ``stage_rows`` writes them once if joins made them.
+    The rows are read three times; ``stage_rows`` writes them if joins made them, and again by card.
     """
     if stage_rows:
-        rows = stage(rows)
-    with_means = with_group_mean(rows, CATEGORIES, "purchase_amount")
+        return by_whole_keys(_with_means(stage(rows)), "card_id",
+                             lambda part, together: _profile(part, part, merchant_cols, as_of, distinct_cols, together))
+    return _profile(_with_means(rows), rows, merchant_cols, as_of, distinct_cols)
+
+
+def _with_means(rows: DataFrame) -> DataFrame:
+    return with_group_mean(rows, CATEGORIES, "purchase_amount")
+
+
+def _profile(with_means: DataFrame, rows: DataFrame, merchant_cols: Sequence[str], as_of: str,
+             distinct_cols: Sequence[str], together: bool = False) -> DataFrame:
     profile = entity_profile(with_means, "card_id", profile_spec(merchant_cols, distinct_cols),
-                             domains=CALENDAR_DOMAINS, distinct_from=rows)
+                             domains=CALENDAR_DOMAINS, distinct_from=rows, together=together)
     return ratio_features(recency_features(profile, as_of))
 
 
@@ -158,14 +167,21 @@ def card_features(transactions: DataFrame, merchant_cols: Sequence[str], as_of:
 
     The rows are read five times, each time only the columns in use. If ``transactions`` is
     itself the result of joins rather than a stored table, ``stage_rows`` writes the prepared
-    rows once so that those joins do not run five times. ``prefix`` goes before every column but
+    rows so that those joins do not run five times, and then once more by card, so that the
+    rows are shuffled once instead of their aggregates five times. ``prefix`` goes before every column but
     ``card_id``, to join the profiles of several transaction tables to one card table.
     """
     rows = transaction_rows(transactions, as_of, flags)
+
+    def features_of(with_means: DataFrame, rows: DataFrame, together: bool = False) -> DataFrame:
+        return left_join_all(
+            _profile(with_means, rows, merchant_cols, as_of, distinct_cols, together),
+            [monthly_profile(rows), successive_features(rows, "card_id", SUCCESSIVE_PAIRS, together)],
+            "card_id")
+
     if stage_rows:
-        rows = stage(rows)
-    features = left_join_all(
-        card_profile(rows, merchant_cols, as_of, distinct_cols),
-        [monthly_profile(rows), successive_features(rows, "card_id", SUCCESSIVE_PAIRS)],
-        "card_id")
+        features = by_whole_keys(_with_means(stage(rows)), "card_id",
+                                 lambda part, together: features_of(part, part, together))
+    else:
+        features = features_of(_with_means(rows), rows)
     return features.select("card_id", *[column(c).alias(f"{prefix}{c}") for c in features.columns if c != "card_id"])

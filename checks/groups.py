@@ -106,10 +106,10 @@ def rows(spark, sf):
 
 @check("entity_profile", PROFILE_SQL)
 def entity_profile(spark, sf):
-    prepared = rows(spark, sf)
-    with_means = ops.with_group_mean(prepared, cards.CATEGORIES, "purchase_amount")
+    with_means = ops.with_group_mean(stage(rows(spark, sf)), cards.CATEGORIES, "purchase_amount")
     spec = cards.profile_spec(MERCHANT_COLS, DISTINCT_COLS)
-    return _plain(ops.entity_profile(with_means, "card_id", spec, distinct_from=prepared))
+    return _plain(ops.by_whole_keys(with_means, "card_id", lambda part, together: ops.entity_profile(
+        part, "card_id", spec, together=together)))
 
 
 @check("distinct_profile", f"""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import plan, rows, same
 from sparkfeat import operators as ops
+from sparkfeat.operators import profile
 from sparkfeat.plans import cards
 
 
@@ -183,3 +184,37 @@ def test_ratios_survive_zero_divisors(spark):
     assert out["card_active_ratio"] is None  # -1 // 30 + 1 is 0
     assert out["card_merch_act_ratio3"] is None and out["energy_ratio6"] is None
     assert out["card_merch_gain_ratio12"] == 3.0 / 1e-15
+
+
+SPEC = {"x": ["sum", "mean", "std", "nunique"], "f": ["nunique"], "g": ["nunique", "count"]}
+
+
+def _by_key(df):
+    return ops.by_whole_keys(df, "k", lambda part, together: ops.entity_profile(part, "k", SPEC, together=together).join(
+        ops.successive_features(part, "k", [("f", "x"), ("g", "x"), ("f", "f")], together=together), "k", "left"))
+
+
+def _plain_profile(df):
+    return ops.entity_profile(df, "k", SPEC).join(
+        ops.successive_features(df, "k", [("f", "x"), ("g", "x"), ("f", "f")]), "k", "left")
+
+
+@pytest.mark.parametrize("most", [250_000, 40])
+def test_rows_brought_together_by_key_give_the_same_profile(spark, monkeypatch, most):
+    """With few rows for a task the largest keys are profiled apart."""
+    monkeypatch.setattr(profile, "ROWS_IN_TASK", (20, most))
+    df = spark.range(600).selectExpr(
+        "if(id % 7 = 0, null, if(id < 300, 'hot', concat('k', id % 31))) AS k", "if(id % 5 = 0, null, id % 4) AS f",
+        "if(id % 3 = 0, null, cast(id % 6 as string)) AS g", "if(id % 11 = 0, double('nan'), id / 8) AS x")
+    got, want = rows(_by_key(df), "k"), rows(_plain_profile(df), "k")
+    assert len(got) == len(want) == 32
+    assert all(same(a, b) for mine, theirs in zip(got, want) for a, b in zip(mine, theirs))
+    assert rows(_by_key(df.where("k is null")), "k") == []
+
+
+def test_wide_aggregates_of_staged_rows_are_not_shuffled(spark):
+    """One buffer for each row would be sent: keys have few rows, and a buffer is many times as long as a row."""
+    import checks.groups as groups
+    for query in (groups.entity_profile, groups.card_features):
+        tree = plan(query(spark, "/root/testdata/sf0.001")).split("\n\n")[0]
+        assert tree.count("Exchange") - tree.count("BroadcastExchange") == 0

@@ -343,6 +343,9 @@ def lookup_large(spark, sf):
                       small=False).select("doc_id", "q")
 
 
+# A file is written by one task. Small tables make one file, large ones more of them.
+CSV_FILE_BYTES = 256 << 20
+
 _AWKWARD = """
 SELECT doc_id, concat('  ', CASE WHEN doc_id % 3 = 0 THEN concat('say "', text, '", ', {char}(92), 'n back', {char}(92), ' ')
  WHEN doc_id % 3 = 1 THEN concat(text, {char}(10), {char}(13), {char}(10), '"') ELSE concat(text, ' ') END) AS text,
@@ -361,10 +364,11 @@ def csv_roundtrip_text(spark, sf):
 
 @check("csv_multi_line", _AWKWARD.format(char="chr", documents="documents"))
 def csv_multi_line(spark, sf):
-    """One file whose records span lines, read in byte ranges by many tasks."""
+    """Files whose records span lines, as large as a task should write, each read in byte ranges by many tasks."""
     documents = spark.sql(_AWKWARD.replace("{char}", "char"), documents=table(spark, sf, "documents"))
+    total = documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     path = f"{staging_root(spark)}/{uuid.uuid4().hex}"
-    write_table(documents.coalesce(1), path)
+    write_table(documents.coalesce(total // CSV_FILE_BYTES + 1), path)
     return read_table(spark, path, schema=documents.schema, split_bytes=0)
 
 

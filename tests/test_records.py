@@ -87,3 +87,20 @@ def test_only_large_files_are_split(spark, tmp_path):
     assert "FileScan csv" in plan(read_table(spark, path, schema=SCHEMA), "simple")
     assert "FileScan csv" not in plan(read_table(spark, path, schema=SCHEMA, split_bytes=10), "simple")
     assert read_table(spark, path, schema=SCHEMA, split_bytes=10).where(F.col("id") >= 0).count() == 20
+
+
+def test_files_of_the_query_do_not_grow_with_the_table(spark, monkeypatch):
+    """Each file is written by one task, which took the whole table when there was only one."""
+    import checks.rows as queries
+    sizes = []
+    monkeypatch.setattr(queries, "CSV_FILE_BYTES", 100_000, raising=False)
+    monkeypatch.setattr(queries, "table", lambda *a: spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(16))
+
+    def read(spark, path, **options):
+        sizes.extend(r[0] for r in spark.read.format("binaryFile").load(path).select("length").collect())
+        return read_table(spark, path, **options)
+
+    monkeypatch.setattr(queries, "read_table", read)
+    frame = queries.csv_multi_line(spark, "/root/testdata/sf0.001")
+    assert len(sizes) > 3 and max(sizes) < 250_000
+    assert frame.select("doc_id").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()

@@ -7,8 +7,8 @@ strings have equal anchors, so that all places of a string meet in the shard of
 2. The sorted anchor hashes of all chunks are merged; those in one document only drop out.
 3. Each chunk looks its anchors up by binary search in the merged list and sends the different
    contexts that are left, with their smallest document, to the shard of the anchor.
-4. A shard sorts the suffixes of its contexts (Larsson-Sadakane), takes common prefixes (Kasai) and
-   so finds for each string the smallest document. The answer is a bit for each string.
+4. A shard, one range of anchors after the other, sorts the suffixes of its contexts (Larsson-Sadakane), takes
+   common prefixes (Kasai) and so finds for each string the smallest document. The answer is a bit for each string.
 5. Each chunk merges the answers into spans.
 
 Lists travel packed, a row for each chunk and shard. A passage in many documents is sent once by a
@@ -39,6 +39,7 @@ CONTEXT = LENGTH + STARTS - 1
 HALF = (LENGTH - ANCHOR + 1) // 2 + ANCHOR
 CHUNK_BYTES = 12 << 20
 SHARD_BYTES = 16 << 20
+RANGE_BYTES = 2 << 20
 _PIECE = 1 << 16
 _NO_ID = np.iinfo(np.int64).max
 _ALL = np.uint64((1 << STARTS) - 1)
@@ -228,15 +229,42 @@ def _merge_anchors(lists: pd.DataFrame) -> pd.DataFrame:
 
 
 def _smallest_documents(lists: pd.DataFrame) -> pd.DataFrame:
-    """For each context of each chunk a bit for each of its strings: a smaller document has it."""
-    parts, docs, offsets = [], [], []
+    """For each context of each chunk a bit for each of its strings: a smaller document has it.
+
+    Contexts with different anchors have no string in common, so that a shard is worked on by ranges of a hash
+    of the anchor, and what takes numbers for each byte is held for one range.
+    """
+    parts, docs, offsets, bits = [], [], [], []
     for data in lists["data"]:
         n = len(data) // (9 + CONTEXT)
         docs.append(np.frombuffer(data, np.int64, n))
         offsets.append(np.frombuffer(data, np.uint8, n, 8 * n))
         parts.append(np.frombuffer(data, np.uint8, n * CONTEXT, 9 * n).reshape(n, CONTEXT))
-    sizes = [len(d) for d in docs]
-    rows, doc, offset = np.concatenate(parts), np.concatenate(docs), np.concatenate(offsets).astype(np.int64)
+        bits.append(np.zeros(n, np.uint64))
+    ranges = max(1, -(-sum(map(len, docs)) * CONTEXT // RANGE_BYTES))
+    numbers = [_anchor_range(rows, offset, ranges) for rows, offset in zip(parts, offsets, strict=True)]
+    for number in range(ranges):
+        chosen = [np.flatnonzero(x == number) for x in numbers]
+        rows, doc, offset = (np.concatenate([x[at] for x, at in zip(every, chosen, strict=True)]) for every in (parts, docs, offsets))
+        if not len(rows):
+            continue
+        found = np.split(_smaller(rows, doc, offset.astype(np.int64)), np.cumsum([len(at) for at in chosen])[:-1])
+        for all_bits, at, part in zip(bits, chosen, found, strict=True):
+            all_bits[at] = part
+    return pd.DataFrame({"chunk": lists["chunk"].to_numpy(), "shard": lists["shard"].to_numpy(), "data": [b.tobytes() for b in bits]})
+
+
+def _anchor_range(rows: np.ndarray, offset: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each context's anchor, by the half of its hash that does not choose the shard."""
+    if not len(rows):
+        return np.zeros(0, np.uint16)
+    at = np.arange(len(rows)) * CONTEXT + offset
+    low = _row_hash(sliding_window_view(rows.ravel(), ANCHOR)[at]) & np.uint64(0xFFFFFFFF)
+    return (low * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
+
+
+def _smaller(rows: np.ndarray, doc: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """For each context a bit for each of its strings: a context here of a smaller document has it."""
     first, kind = _distinct(rows)
     least = np.full(len(first), _NO_ID, np.int64)
     np.minimum.at(least, kind, doc)
@@ -250,9 +278,7 @@ def _smallest_documents(lists: pd.DataFrame) -> pd.DataFrame:
         entry = np.flatnonzero(place[kind] >= 0)
         smaller = by_string[place[kind[entry]]] < doc[entry][:, None]
         bits[entry] = (smaller.astype(np.uint64) << np.arange(STARTS, dtype=np.uint64)).sum(1, dtype=np.uint64)
-    cuts = np.cumsum(sizes)[:-1]
-    return pd.DataFrame({"chunk": lists["chunk"].to_numpy(), "shard": lists["shard"].to_numpy(),
-                         "data": [b.tobytes() for b in np.split(bits, cuts)]})
+    return bits
 
 
 def _worth_sorting(rows: np.ndarray, offset: np.ndarray) -> np.ndarray:

@@ -242,6 +242,33 @@ def test_repeats_hold_no_numbers_for_each_string():
     assert removed[len(text):].any() and not removed[:len(text)].any()
 
 
+def test_repeats_of_a_shard_are_found_by_ranges_of_anchors():
+    """What takes numbers for each byte of a shard's contexts is held for a range; each string still meets its like."""
+    random.seed(2)
+    text = "".join(random.choices("abcdefgh ", k=1_000_000)).encode()
+    edited = b"".join(b"#" + text[i + 1:i + 100] for i in range(0, len(text), 100))
+    frames = [pd.DataFrame({"row": [0], "id": [i], "place": [i], "data": [t], "runs": repeats._runs([t])})
+              for i, t in enumerate((text, edited))]
+    chunks = [repeats._Chunk(frame) for frame in frames]
+    for chunk in chunks:
+        chunk.contexts(np.unique(chunk.hash), 1)
+    lists = pd.DataFrame([(i, *packed) for i, chunk in enumerate(chunks) for packed in chunk.packed_contexts()],
+                         columns=["chunk", "shard", "data"])
+    tracemalloc.start()
+    try:
+        answers = repeats._smallest_documents(lists)
+        assert tracemalloc.get_traced_memory()[1] < 8 * lists["data"].map(len).sum()
+    finally:
+        tracemalloc.stop()
+    first, second = (chunk.removed({0: data}) for chunk, data in zip(chunks, answers["data"], strict=True))
+    assert not first.any() and (second[:len(text)] == (np.arange(len(text)) % 100 > 0)).all()
+
+
+def test_repeats_by_small_ranges_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "RANGE_BYTES", 300)
+    test_repeats_equal_brute_force(spark, monkeypatch, 4)
+
+
 # Near duplicates
 
 

@@ -51,16 +51,17 @@ _LEARNERS = {
 
 
 def _prepared(df: DataFrame, features: Sequence[str], label: str, fold_col: str, key: str) -> DataFrame:
-    """Key, label, fold and gap-free features of the labelled rows.
+    """Key, label, fold and the gap-free features, as a vector, of the labelled rows.
 
     Written divided by fold, so that training on k - 1 folds and scoring one read only the
-    files of those folds.
+    files of those folds. A fit reads its rows several times; the vectors are made once, here.
     """
     cells = [F.coalesce(clean(df, c).cast("double"), F.lit(MISSING)).alias(f"__f{i}")
              for i, c in enumerate(features)]
     rows = df.select(column(key).alias("__key"), column(label).cast("double").alias("__label"),
                      column(fold_col).cast("int").alias("__fold"), *cells)
-    return rows.where(F.col("__label").isNotNull())
+    assembler = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(features))], outputCol="__features")
+    return assembler.transform(rows.where(F.col("__label").isNotNull())).select("__key", "__label", "__fold", "__features")
 
 
 def learner_params(params: Mapping, learner: str = "trees") -> dict:
@@ -107,22 +108,19 @@ class OutOfFold:
                 for fold, model in self.models.items()}
 
 
-def _fit_folds(rows: DataFrame, features: Sequence[str], params: Mapping, task: str, seed: int, parallelism: int,
+def _fit_folds(rows: DataFrame, params: Mapping, task: str, seed: int, parallelism: int,
                learner: str = "trees", stop_early: float | None = None) -> OutOfFold:
     if stop_early is not None and learner != "trees":
         raise ValueError("only trees stop by a held-out fold")
-    assembler = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(features))],
-                                outputCol="__features")
-    assembled = assembler.transform(rows)
     fold_numbers = sorted(row["__fold"] for row in rows.select("__fold").distinct().collect())
 
     def fitted(fold: int):
         model = _model(task, params, seed, learner)
         held_out = F.col("__fold") == fold
         if stop_early is None:
-            return model.fit(assembled.where(~held_out))
+            return model.fit(rows.where(~held_out))
         model.setParams(validationIndicatorCol="__held_out", validationTol=stop_early)
-        return model.fit(assembled.withColumn("__held_out", held_out))
+        return model.fit(rows.withColumn("__held_out", held_out))
 
     # Only the submission of Spark jobs is threaded, as in Spark ML's own cross-validation.
     with ThreadPool(max(1, min(parallelism, len(fold_numbers)))) as pool:
@@ -130,7 +128,8 @@ def _fit_folds(rows: DataFrame, features: Sequence[str], params: Mapping, task:
 
     score = vector_to_array("probability")[1] if task == "binary" else F.col("prediction")
     scored = [
-        model.transform(assembled.where(F.col("__fold") == fold))
+        # Without the raw column the probability comes straight from the features.
+        model.transform(rows.where(F.col("__fold") == fold), {model.rawPredictionCol: ""} if task == "binary" else {})
         .select("__key", "__label", "__fold", score.alias("__score"))
         for fold, model in zip(fold_numbers, models)
     ]
@@ -149,7 +148,7 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, fold_col: st
     searches; keep a test set apart for an unbiased score.
     """
     rows = stage(_prepared(df, features, label, fold_col, key), partition_by=["__fold"])
-    found = _fit_folds(rows, features, params or {}, task, seed, parallelism, learner, stop_early)
+    found = _fit_folds(rows, params or {}, task, seed, parallelism, learner, stop_early)
     named = found.predictions.select(F.col("__key").alias(key), F.col("__label").alias(label),
                                      F.col("__fold").alias(fold_col), F.col("__score").alias("prediction"))
     return OutOfFold(named, found.models)
@@ -233,7 +232,7 @@ def random_search(df: DataFrame, features: Sequence[str], label: str, key: str,
     with staged(_prepared(df, features, label, fold_col, key), partition_by=["__fold"]) as rows:
 
         def trial(params: dict):
-            scored = _fit_folds(rows, features, params, task, seed, parallelism, learner, stop_early).predictions
+            scored = _fit_folds(rows, params, task, seed, parallelism, learner, stop_early).predictions
             return score_of(scored.select(F.col("__key").alias("key"), F.col("__label").alias("label"),
                                           F.col("__score").alias("prediction")))
 

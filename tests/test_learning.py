@@ -166,6 +166,22 @@ def test_oof_regression(planted):
     assert ops.neg_rmse(out, "y", "prediction").first()[0] == 0.0
 
 
+@pytest.mark.parametrize("learner, params", [("trees", {"maxIter": 1, "maxDepth": 1}), ("linear", {})])
+def test_fits_read_stored_vectors(planted, monkeypatch, learner, params):
+    """A fit reads its rows several times: they are stored as vectors, not assembled by a function at each reading."""
+    kind, seen = scoring._LEARNERS[learner, "binary"], []
+    fit = kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, df, *more: (seen.append(plan(df)), fit(self, df, *more))[1])
+    folded = ops.stratified_folds(planted, "y", "key", k=2)
+    stop = {"stop_early": 0.01} if learner == "trees" else {}
+    found = plans.out_of_fold(folded, ["n0", "copy"], "y", "fold", "key", params, learner=learner, **stop)
+    assert len(seen) == 2 and not any("UDF" in text for text in seen)
+    scored = plan(found.predictions)
+    assert scored.count("UDF") and "rawPrediction" not in scored
+    assert found.models[0].getRawPredictionCol() == "rawPrediction"
+    assert ops.exact_auc(found.predictions, "y", "prediction").first()["auc"] == 1.0
+
+
 def test_search_is_reproducible(planted):
     space = {"maxDepth": (1, 2), "stepSize": (0.1, 1.0)}
     args = dict(space=space, n_trials=2, folds=2, fixed={"maxIter": 1})

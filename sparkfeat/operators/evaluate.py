@@ -23,13 +23,17 @@ def exact_auc(df: DataFrame, label: str, score: str, by: str | None = None,
     return result.withColumnRenamed("__by", by) if by else result
 
 
-def _tally(df: DataFrame, label: str, score: str, by: str | None) -> DataFrame:
-    """Positives and negatives per distinct score."""
-    rows = df.select(*([column(by).alias("__by")] if by else []),
+def _tally(df: DataFrame, label: str, score: str, by: str | None, count: str | None = None) -> DataFrame:
+    """Positives and negatives per distinct score; a row stands for ``count`` of them."""
+    rows = df.select(*([column(by).alias("__by")] if by else []), *([column(count).alias("__count")] if count else []),
                      clean(df, score).alias("__score"), clean(df, label).cast("double").alias("__label"))
     rows = rows.where(F.col("__score").isNotNull() & F.col("__label").isNotNull())
-    return rows.groupBy(*(["__by"] if by else []), "__score").agg(
-        F.count_if(F.col("__label") > 0).alias("pos"), F.count_if(F.col("__label") <= 0).alias("neg"))
+    positive, negative = F.col("__label") > 0, F.col("__label") <= 0
+    if count:
+        pos, neg = (F.sum(F.when(side, F.col("__count")).otherwise(0)) for side in (positive, negative))
+    else:
+        pos, neg = F.count_if(positive), F.count_if(negative)
+    return rows.groupBy(*(["__by"] if by else []), "__score").agg(pos.alias("pos"), neg.alias("neg"))
 
 
 def _auc(tally: DataFrame, by: str | None, out: str, group_limit: int = GROUP_LIMIT,
@@ -42,10 +46,13 @@ def _auc(tally: DataFrame, by: str | None, out: str, group_limit: int = GROUP_LI
     return ordered.groupBy(*groups).agg(F.try_divide(wins, pairs).alias(out))
 
 
-def neg_rmse(df: DataFrame, label: str, prediction: str, out: str = "neg_rmse") -> DataFrame:
-    """Minus the root of the mean squared error, so that larger is better."""
+def neg_rmse(df: DataFrame, label: str, prediction: str, out: str = "neg_rmse", count: str | None = None) -> DataFrame:
+    """Minus the root of the mean squared error, so that larger is better; a row stands for ``count`` of them."""
     error = clean(df, prediction).cast("double") - clean(df, label).cast("double")
-    return df.agg((-F.sqrt(F.avg(error * error))).alias(out))
+    if count is None:
+        return df.agg((-F.sqrt(F.avg(error * error))).alias(out))
+    times = F.when(error.isNotNull(), column(count))
+    return df.agg((-F.sqrt(F.try_divide(F.sum(error * error * times), F.sum(times)))).alias(out))
 
 
 def metric_row(metric: DataFrame, name: str, higher_is_better: bool = True) -> DataFrame:
@@ -55,11 +62,11 @@ def metric_row(metric: DataFrame, name: str, higher_is_better: bool = True) -> D
                          F.lit(higher_is_better).alias("higher_is_better"))
 
 
-def auc_metric(df: DataFrame, label: str = "label", prediction: str = "prediction") -> float:
+def auc_metric(df: DataFrame, label: str = "label", prediction: str = "prediction", count: str | None = None) -> float:
     """The AUC as a number, for a search; nothing stays behind in the staging folder."""
-    with staged(_tally(df, label, prediction, None)) as tally:
+    with staged(_tally(df, label, prediction, None, count)) as tally:
         return _auc(tally, None, "auc").first()["auc"]
 
 
-def neg_rmse_metric(df: DataFrame, label: str = "label", prediction: str = "prediction") -> float:
-    return neg_rmse(df, label, prediction).first()["neg_rmse"]
+def neg_rmse_metric(df: DataFrame, label: str = "label", prediction: str = "prediction", count: str | None = None) -> float:
+    return neg_rmse(df, label, prediction, count=count).first()["neg_rmse"]

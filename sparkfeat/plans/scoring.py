@@ -8,7 +8,8 @@ import math
 import random
 import time
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing import TimeoutError as WaitedTooLong
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from sparkfeat.functions.nulls import clean, column
 from sparkfeat.operators.evaluate import auc_metric, neg_rmse_metric
 from sparkfeat.operators.folds import FOLDS, SEED, hashed_folds, stratified_folds
+from sparkfeat.plans import boosting
 from sparkfeat.sources.staging import stage, staged
 
 # Trees here need a number in every cell; missing ones go far outside the usual range, where
@@ -200,6 +202,33 @@ def _within(spark: SparkSession, seconds: float, work: Callable[[], object]) ->
             return False, None
 
 
+@contextmanager
+def _cells(rows: DataFrame, features: Sequence[str], names: set, bins: int | None, task: str) -> Iterator[DataFrame | None]:
+    """Rows counted by their bins, written, if boosting of cells knows all parameters and rows share cells; else None."""
+    cells = None
+    if bins and names <= boosting.KNOWN:
+        cells = boosting.counted(rows, len(features), bins, task == "binary")
+    if cells is None:
+        yield None
+        return
+    with staged(cells) as written:
+        yield written
+
+
+def _score_cells(cells: DataFrame, params: Mapping, task: str, seed: int, parallelism: int, stop_early: float | None) -> float:
+    """The score of a trial whose folds are boosted from cells: that of its rows, as rows of a cell are alike."""
+    fold_numbers = sorted(row["__fold"] for row in cells.select("__fold").distinct().collect())
+    with ExitStack() as files:
+
+        def fitted(fold: int):
+            return boosting.boosted(cells, _model(task, params, seed, "trees"), fold, task == "binary", stop_early, files)
+
+        with ThreadPool(max(1, min(parallelism, len(fold_numbers)))) as pool:
+            scored = pool.map(inheritable_thread_target(cells.sparkSession)(fitted), fold_numbers)
+        measure = auc_metric if task == "binary" else neg_rmse_metric
+        return measure(reduce(DataFrame.unionByName, scored), "__label", "__score", "__n")
+
+
 def random_search(df: DataFrame, features: Sequence[str], label: str, key: str,
                   fold_col: str | None = None, space: Mapping[str, tuple] | None = None,
                   n_trials: int | None = None, timeout: float = TIME_LIMIT, task: str = "binary",
@@ -217,6 +246,9 @@ def random_search(df: DataFrame, features: Sequence[str], label: str, key: str,
     ``stratify_by``, which may be a class apart from a continuous label; without that by the label of
     a binary task, and for a regression they are plain hash folds. ``learner`` and
     ``stop_early`` are those of :func:`out_of_fold`; the space is that of the learner unless another is given.
+
+    Trees learn from rows counted by their bins where a count stands for many rows (see ``boosting``), and
+    from the rows themselves where it does not, where ``metric`` needs a row for each key and where ``maxBins`` is searched.
     """
     if space is None:
         space = SEARCH_SPACE if learner == "trees" else PENALTY_SPACE
@@ -229,9 +261,15 @@ def random_search(df: DataFrame, features: Sequence[str], label: str, key: str,
     score_of = metric or (auc_metric if task == "binary" else neg_rmse_metric)
     generator = random.Random(seed)
     started, trials = time.monotonic(), []
-    with staged(_prepared(df, features, label, fold_col, key), partition_by=["__fold"]) as rows:
+    names = {*space, *(fixed or {})}
+    by_bins = learner == "trees" and metric is None and "maxBins" not in space
+    bins = (fixed or {}).get("maxBins", boosting.BINS) if by_bins else None
+    with (staged(_prepared(df, features, label, fold_col, key), partition_by=["__fold"]) as rows,
+          _cells(rows, features, names, bins, task) as cells):
 
         def trial(params: dict):
+            if cells is not None:
+                return _score_cells(cells, params, task, seed, parallelism, stop_early)
             scored = _fit_folds(rows, params, task, seed, parallelism, learner, stop_early).predictions
             return score_of(scored.select(F.col("__key").alias("key"), F.col("__label").alias("label"),
                                           F.col("__score").alias("prediction")))

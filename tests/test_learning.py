@@ -2,6 +2,7 @@
 
 import itertools
 import json
+from contextlib import ExitStack
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from helpers import plan, rows, same
 from sparkfeat import operators as ops
 from sparkfeat import plans
-from sparkfeat.plans import scoring, selection
+from sparkfeat.plans import boosting, scoring, selection
+from sparkfeat.sources import stage
 
 
 @pytest.fixture(scope="module")
@@ -299,3 +301,116 @@ def test_time_limit_ends_the_running_trial(spark):
     assert [r["is_best"] for r in done.collect()] == [True]
     with pytest.raises(Exception):
         plans.random_search(df, ["a"], "y", "key", space={"maxDepth": (1, 2)}, fixed={"maxIter": -1}, n_trials=1, end_running=True)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 63, 64, 65, 127, 1000])
+def test_rows_kept_of_a_cell_are_as_of_single_draws(spark, n):
+    draws = spark.range(20000)
+    for rate in (0.01, 0.5, 0.77):
+        found = draws.select(boosting.kept_of(F.lit(n), rate, F.col("id"), F.lit(7)).alias("k")).agg(
+            F.avg("k"), F.var_samp("k"), F.min("k"), F.max("k")).first()
+        spread = n * rate * (1 - rate)
+        assert abs(found[0] - n * rate) <= 5 * (spread / 20000) ** 0.5 and found[1] == pytest.approx(spread, rel=0.15)
+        assert 0 <= found[2] <= found[3] <= n
+    assert draws.select(boosting.kept_of(F.lit(n), 1.0, F.col("id")).alias("k")).distinct().collect()[0][0] == n
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Rows of few different values, so that many share all their bins."""
+    def below(i, n):
+        return F.pmod(F.xxhash64("key", F.lit(i)), F.lit(n))
+
+    df = spark.range(0, 3000, 1, 1).select(F.col("id").alias("key"), (F.col("id") % 2).cast("int").alias("fold")).select(
+        "key", "fold", below(1, 9).cast("double").alias("a"), (below(2, 7) * 1.7 - 3).alias("b"), below(3, 1000).alias("z"))
+    return df.withColumns({"y": (F.col("a") * F.col("b") + F.col("z") / 60 > 5).cast("int"),
+                           "t": F.round(F.col("a") * F.col("b") / 4 + F.col("z") / 900)}).cache()
+
+
+@pytest.fixture
+def cells_wanted(monkeypatch):
+    monkeypatch.setattr(boosting, "LEAST_ROWS", 0)
+    monkeypatch.setattr(boosting, "ROWS_A_CELL", 2)
+
+
+@pytest.mark.parametrize("task, label, stop, params", [
+    ("binary", "y", 0.03, {"maxIter": 6, "maxDepth": 3, "stepSize": 0.8, "minInstancesPerNode": 70}),
+    ("binary", "y", None, {"maxIter": 2, "minInstancesPerNode": 800}),
+    ("regression", "t", 0.02, {"maxIter": 4, "maxDepth": 2, "stepSize": 0.7, "minInstancesPerNode": 40, "minInfoGain": 0.01})])
+def test_boosting_of_cells_equals_that_of_rows(repeated, cells_wanted, task, label, stop, params):
+    """Nothing is drawn here, so that the scores have to be those of Spark ML's boosting, row for row."""
+    out = plans.out_of_fold(repeated, ["a", "b"], label, "fold", "key", params, task, parallelism=2, stop_early=stop)
+    prepared = stage(scoring._prepared(repeated, ["a", "b"], label, "fold", "key"))
+    found = stage(boosting.counted(prepared, 2, 32, task == "binary"))
+    assert found.agg(F.sum("__n")).first()[0] == 3000 > 4 * found.count()
+    for fold in (0, 1):
+        with ExitStack() as files:
+            scored = boosting.boosted(found, scoring._model(task, params, scoring.SEED, "trees"), fold, task == "binary", stop, files)
+            by_cell = sorted((r["__label"], r["__score"]) for r in scored.collect() for _ in range(r["__n"]))
+        by_row = sorted((float(r[0]), r[1]) for r in out.predictions.where(F.col("fold") == fold).select(label, "prediction").collect())
+        assert [p[0] for p in by_cell] == [p[0] for p in by_row]
+        assert [p[1] for p in by_cell] == pytest.approx([p[1] for p in by_row], abs=1e-9)
+
+
+def _no_fit(self, df, *more):
+    raise AssertionError("learned from rows")
+
+
+def test_search_learns_from_cells(spark, repeated, cells_wanted, monkeypatch):
+    """With few features a search reads its rows to count them, not for each level of each tree; the seed alone decides."""
+    from pathlib import Path
+
+    from sparkfeat.sources import staging_root
+    args = dict(folds=2, fixed={"maxIter": 2}, n_trials=1, parallelism=2, stop_early=0.01,
+                space={"maxDepth": (2, 3), "maxLeaves": (4, 8), "stepSize": (0.3, 1.0), "minInstancesPerNode": (30, 60),
+                       "subsamplingRate": (0.4, 0.9), "featureSubsetStrategy": (0.6, 1.0)})
+    by_rows = plans.random_search(repeated, ["a", "b"], "y", "key", metric=scoring.auc_metric, **args).collect()
+    root = Path(staging_root(spark).removeprefix("file:"))
+    monkeypatch.setattr(scoring._LEARNERS["trees", "binary"], "fit", _no_fit)
+    found = rows(plans.random_search(repeated, ["a", "b"], "y", "key", fold_col="fold", **args), "trial")
+    before = len(list(root.iterdir()))
+    assert rows(plans.random_search(repeated.repartition(5), ["a", "b"], "y", "key", fold_col="fold", **args), "trial") == found
+    assert len(list(root.iterdir())) == before
+    assert [r[1] for r in found] == [r["params"] for r in by_rows]
+    assert all(abs(r[2] - other["score"]) < 0.05 for r, other in zip(found, by_rows)) and min(r[2] for r in found) > 0.8
+    planted = repeated.withColumn("copy", F.col("y").cast("double"))
+    assert max(r[2] for r in rows(plans.random_search(planted, ["a", "copy"], "y", "key", fold_col="fold", **args))) == 1.0
+    values = plans.random_search(repeated, ["a", "b"], "t", "key", fold_col="fold", task="regression", **args).collect()
+    assert all(-0.9 * repeated.agg(F.stddev("t")).first()[0] < r["score"] < 0 for r in values)
+
+
+def test_search_learns_from_rows_where_cells_do_not_serve(repeated, cells_wanted, monkeypatch):
+    """Hardly shared cells, searched bins, a metric by key, parameters that cells do not know and labels out of range."""
+    monkeypatch.setattr(scoring._LEARNERS["trees", "binary"], "fit", _no_fit)
+    args = dict(space={"maxDepth": (1, 2)}, folds=2, fixed={"maxIter": 1}, n_trials=1)
+    spread = repeated.withColumn("own", F.col("key") * 1.0).withColumn("other", F.xxhash64("key") * 1.0)
+    for features, label, more in [
+            (["own", "other"], "y", {}), (["a"], "y", {"metric": lambda df: 1.0}), (["a"], "t", {}),
+            (["a"], "y", {"space": {"maxBins": (9, 32)}}), (["a"], "y", {"fixed": {"lossType": "logistic"}})]:
+        with pytest.raises(AssertionError, match="learned from rows"):
+            plans.random_search(spread, features, label, "key", "fold", **{**args, **more})
+    with pytest.raises(ValueError):
+        plans.random_search(repeated, ["a"], "y", "key", "fold", **{**args, "fixed": {"maxIter": -1}})
+
+
+def test_bins_hold_each_of_few_values_and_heavy_ones_apart(spark, cells_wanted):
+    df = spark.range(4000).select(
+        F.col("id").alias("key"), F.lit(0).alias("fold"), (F.col("id") % 2).alias("y"), F.lit(5.0).alias("same"),
+        F.when(F.col("id") == 7, -2.5).otherwise(F.when(F.col("id") % 3 == 0, -0.0).otherwise(0.0)).alias("few"),
+        F.when(F.col("id") % 5 < 2, 0.0).otherwise((F.col("id") - 2000) / 7).alias("heavy"))
+    found = {}
+    for c in ("same", "few", "heavy"):
+        cells = boosting.counted(scoring._prepared(df, [c], "y", "fold", "key"), 1, 32, True)
+        found[c] = sorted(r[0] for r in cells.groupBy("__bins").agg(F.sum("__n")).select("sum(__n)").collect())
+    assert found["same"] == [4000] and found["few"] == [1, 3999]
+    assert found["heavy"][-1] == 1600 and 18 <= len(found["heavy"]) <= 32 and max(found["heavy"][:-1]) < 200
+    infinite = df.withColumn("few", F.lit(float("inf")))
+    assert boosting.counted(scoring._prepared(infinite, ["few"], "y", "fold", "key"), 1, 32, True) is None
+
+
+def test_metrics_of_counted_rows(spark):
+    df = spark.range(60).select((F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 7).cast("double").alias("prediction"),
+                                (F.col("id") % 4).alias("n"))
+    single = df.withColumn("one", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).where("n > 0 AND one <= n")
+    for metric in (scoring.auc_metric, scoring.neg_rmse_metric):
+        assert same(metric(df, count="n"), metric(single))
